@@ -6,10 +6,10 @@ positions, so row numbers need no window over a whole asset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ohmwatch.config import BLOCK_ROWS, HOUR, TIME
+from ohmwatch.config import BLOCK_ROWS, HOUR, KEY, TIME
+from ohmwatch.functions.guards import add
 
 POS = "__pos"
 BLOCK = "__block"
@@ -21,29 +21,47 @@ def check_step(step: int) -> int:
     return step
 
 
-def seconds(ts: str | Column) -> Column:
-    column = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_seconds(column.cast("timestamp"))
+def seconds(ts: str = TIME) -> str:
+    return f"unix_seconds(CAST({ts} AS TIMESTAMP))"
 
 
-def position(step: int = HOUR, ts: str | Column = TIME) -> Column:
+def position(step: int = HOUR, ts: str = TIME) -> str:
     """Number of whole steps since the epoch: the bucket a time stamp falls in."""
-    return F.floor(seconds(ts) / F.lit(step)).cast("bigint")
+    return f"CAST(floor({seconds(ts)} / {step}) AS BIGINT)"
 
 
-def stamp(pos: Column, step: int, like: DataFrame, name: str = TIME) -> Column:
+def stamp(pos: str, step: int, like: DataFrame, name: str = TIME) -> str:
     """Start of a bucket, in the type of the frame's time column."""
-    return F.timestamp_seconds(pos * F.lit(step)).cast(like.schema[name].dataType)
+    return f"CAST(timestamp_seconds({pos} * {step}) AS {like.schema[name].dataType.simpleString()})"
 
 
-def block_of(pos: Column, block_rows: int = BLOCK_ROWS) -> Column:
-    return F.floor(pos / F.lit(block_rows)).cast("bigint")
+def block_of(pos: str, block_rows: int = BLOCK_ROWS) -> str:
+    return f"CAST(floor(({pos}) / {block_rows}) AS BIGINT)"
 
 
 def with_blocks(df: DataFrame, step: int = HOUR, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    placed = df.withColumn(POS, position(step))
-    return placed.withColumn(BLOCK, block_of(F.col(POS), block_rows))
+    return add(add(df, {POS: position(step)}), {BLOCK: block_of(POS, block_rows)})
 
 
 def without_blocks(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    return df.select(*[c for c in df.columns if not c.startswith("__")])
+
+
+def over(partition: tuple[str, ...], order: str, frame: str | None = None) -> str:
+    """Text of an OVER clause."""
+    rows = f" ROWS BETWEEN {frame}" if frame else ""
+    return f"OVER (PARTITION BY {', '.join(partition)} ORDER BY {order}{rows})"
+
+
+TO_DATE = "UNBOUNDED PRECEDING AND CURRENT ROW"
+BEFORE = "UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def forward(frame: str | None = None, *extra: str) -> str:
+    """Rows of a block in time order."""
+    return over((KEY, BLOCK, *extra), POS, frame)
+
+
+def backward(frame: str | None = None, *extra: str) -> str:
+    """Rows of a block from its end: a running frame here is "all rows after"."""
+    return over((KEY, BLOCK, *extra), f"{POS} DESC", frame)

@@ -1,15 +1,13 @@
 """Scalar diagnostics: gas ratios, zones, thermal ageing, health, risk, bands.
 
-Pure column expressions; each one compiles into whole-stage code.
+Every function returns SQL text (see ``guards``); all of it compiles into
+whole-stage code.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from ohmwatch.config import (
     CRITICAL,
     DUVAL_CODES,
@@ -23,45 +21,41 @@ from ohmwatch.config import (
     TDCG_LEVELS,
     WARNING,
 )
-from ohmwatch.functions.guards import clip, sum_present
+from ohmwatch.functions.guards import clip, num, sum_present
 
 
-def ratio(top: str, bottom: str) -> Column:
+def ratio(top: str, bottom: str) -> str:
     """Quotient kept finite by a tiny constant in the denominator."""
-    return F.col(top) / (F.col(bottom) + F.lit(EPS))
+    return f"{top} / ({bottom} + {num(EPS)})"
 
 
-def duval_percentages() -> dict[str, Column]:
+def duval_percentages() -> dict[str, str]:
     """Shares of CH4, C2H4 and H2 in their sum; H2 stands in for acetylene."""
-    total = F.col("CH4") + F.col("C2H4") + clip(F.col("H2"), low=0.0)
-    share = lambda gas: F.lit(100.0) * F.col(gas) / (total + F.lit(EPS))
-    return {f"duval_pct_{gas}": share(gas) for gas in ("CH4", "C2H4", "H2")}
+    total = f"CH4 + C2H4 + ({clip('H2', low=0)})"
+    return {
+        f"duval_pct_{gas}": f"100D * {gas} / ({total} + {num(EPS)})"
+        for gas in ("CH4", "C2H4", "H2")
+    }
 
 
-def duval_zone(ch4: Column, c2h4: Column, h2: Column) -> Column:
+def duval_zone(ch4="duval_pct_CH4", c2h4="duval_pct_C2H4", h2="duval_pct_H2") -> str:
     """Zone of the simplified triangle; the first rule that holds decides."""
-    rules = (
-        ("PD", h2 > 98),
-        ("T1", ch4 > 80),
-        ("T2", (c2h4 > 20) & (c2h4 <= 50) & (ch4 > 40)),
-        ("T3", c2h4 > 50),
-        ("D1", (h2 > 40) & (h2 <= 98) & (ch4 < 40)),
-        ("D2", (h2 > 20) & (h2 <= 40)),
-    )
-    zone = F
-    for name, holds in rules:
-        zone = zone.when(holds, F.lit(name))
-    return zone.otherwise(F.lit("DT"))
+    return f"""CASE
+        WHEN {h2} > 98 THEN 'PD'
+        WHEN {ch4} > 80 THEN 'T1'
+        WHEN {c2h4} > 20 AND {c2h4} <= 50 AND {ch4} > 40 THEN 'T2'
+        WHEN {c2h4} > 50 THEN 'T3'
+        WHEN {h2} > 40 AND {h2} <= 98 AND {ch4} < 40 THEN 'D1'
+        WHEN {h2} > 20 AND {h2} <= 40 THEN 'D2'
+        ELSE 'DT' END"""
 
 
-def duval_code(zone: Column) -> Column:
-    code = F
-    for name, number in DUVAL_CODES.items():
-        code = code.when(zone == name, F.lit(number))
-    return code.otherwise(F.lit(DUVAL_CODES["DT"]))
+def duval_code(zone: str = "duval_zone") -> str:
+    cases = " ".join(f"WHEN '{name}' THEN {code}" for name, code in DUVAL_CODES.items())
+    return f"CASE {zone} {cases} ELSE {DUVAL_CODES['DT']} END"
 
 
-def rogers_ratios() -> dict[str, Column]:
+def rogers_ratios() -> dict[str, str]:
     return {
         "rogers_R1": ratio("CH4", "H2"),
         "rogers_R3": ratio("C2H4", "CH4"),
@@ -69,113 +63,108 @@ def rogers_ratios() -> dict[str, Column]:
     }
 
 
-def rogers_code(r1: Column, r3: Column) -> Column:
+def rogers_code(r1: str = "rogers_R1", r3: str = "rogers_R3") -> str:
     """Fault code; a low first ratio decides before the third one is looked at."""
-    return (
-        F.when(r1 < 0.1, 1)
-        .when((r3 < 1) & (r1 < 1), 0)
-        .when((r3 < 1) & (r1 >= 1), 2)
-        .when((r3 >= 1) & (r3 < 3), 3)
-        .when(r3 >= 3, 4)
-        .otherwise(0)
-    )
+    return f"""CASE
+        WHEN {r1} < 0.1D THEN 1
+        WHEN {r3} < 1 AND {r1} < 1 THEN 0
+        WHEN {r3} < 1 AND {r1} >= 1 THEN 2
+        WHEN {r3} >= 1 AND {r3} < 3 THEN 3
+        WHEN {r3} >= 3 THEN 4
+        ELSE 0 END"""
 
 
-def load_ratio(rated_kva: float = RATED_KVA) -> Column:
-    return F.col("load_kva") / F.lit(float(rated_kva))
+def load_ratio(rated_kva: float = RATED_KVA) -> str:
+    return f"load_kva / {num(rated_kva)}"
 
 
-def overload(rated_kva: float = RATED_KVA) -> Column:
-    return clip(load_ratio(rated_kva) - F.lit(1.0), low=0.0)
+def overload(rated_kva: float = RATED_KVA) -> str:
+    return clip(f"{load_ratio(rated_kva)} - 1D", low=0)
 
 
-def aging_factor() -> Column:
+def aging_factor() -> str:
     """Relative ageing rate of the insulation, 1 at 98 degrees, at most 50."""
-    return clip(F.exp((F.col("hot_spot_temp") - F.lit(98.0)) / F.lit(6.0)), high=50.0)
-
-
-def temp_gradient() -> Column:
-    return F.col("top_oil_temp") - F.col("ambient_temp")
+    return clip("exp((hot_spot_temp - 98D) / 6D)", high=50)
 
 
-def hot_spot_gradient() -> Column:
-    return F.col("hot_spot_temp") - F.col("top_oil_temp")
+TEMP_GRADIENT = "top_oil_temp - ambient_temp"
+HOT_SPOT_GRADIENT = "hot_spot_temp - top_oil_temp"
 
 
-def cyclic_time(ts: str = "ts") -> dict[str, Column]:
+def cyclic_time(ts: str = "ts") -> dict[str, str]:
     """Hour, weekday (Monday 0) and month as points on a circle."""
-    parts = {
-        "hour": (F.hour(ts), 24),
-        "dow": (F.weekday(ts), 7),
-        "month": (F.month(ts), 12),
-    }
+    parts = {"hour": (f"hour({ts})", 24), "dow": (f"weekday({ts})", 7), "month": (f"month({ts})", 12)}
     out = {}
     for name, (value, period) in parts.items():
-        angle = F.lit(2 * math.pi) * value / F.lit(float(period))
-        out[f"{name}_sin"] = F.sin(angle)
-        out[f"{name}_cos"] = F.cos(angle)
+        angle = f"{num(2 * math.pi)} * {value} / {num(period)}"
+        out[f"{name}_sin"] = f"sin({angle})"
+        out[f"{name}_cos"] = f"cos({angle})"
     return out
 
 
-def tdcg(present: tuple[str, ...] = GASES) -> Column:
+def tdcg(present: tuple[str, ...] = GASES) -> str:
     """Total dissolved combustible gas; a missing gas counts as zero."""
-    return sum_present([F.col(g) for g in present])
+    return sum_present(list(present))
 
 
-def tdcg_level(total: Column) -> Column:
+def tdcg_level(total: str) -> str:
     """0 to 3: how many of the published levels the total has passed."""
-    low, middle, high = TDCG_LEVELS
-    return F.when(total > high, 3).when(total > middle, 2).when(total > low, 1).otherwise(0)
+    low, middle, high = (num(x) for x in TDCG_LEVELS)
+    return (
+        f"CASE WHEN {total} > {high} THEN 3 WHEN {total} > {middle} THEN 2 "
+        f"WHEN {total} > {low} THEN 1 ELSE 0 END"
+    )
 
 
-def health_index() -> Column:
+def health_index() -> str:
     """Weighted score 0-100 of eight sensors; any missing sensor gives missing."""
     parts = [
-        F.lit(weight)
-        * clip(F.lit(1.0) - (F.col(name) - F.lit(level)) / F.lit(span), low=0.0, high=1.0)
+        f"{num(weight)} * ({clip(f'1D - ({name} - {num(level)}) / {num(span)}', 0, 1)})"
         for name, (weight, level, span) in HEALTH_WEIGHTS.items()
     ]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total + part
-    return clip(total * F.lit(100.0), low=0.0, high=100.0)
+    return clip(f"100D * ({' + '.join(parts)})", 0, 100)
+
 
+def _loaded(rated_kva: float) -> str:
+    return f"({clip(load_ratio(rated_kva), low=0)})"
 
-def oil_rise(rated_kva: float = RATED_KVA) -> Column:
+
+def oil_rise(rated_kva: float = RATED_KVA) -> str:
     """Steady-state oil temperature for the present load and ambient air."""
-    loaded = clip(load_ratio(rated_kva), low=0.0)
-    return F.col("ambient_temp") + F.lit(55.0) * F.pow(loaded, F.lit(1.6))
+    return f"ambient_temp + 55D * pow({_loaded(rated_kva)}, 1.6D)"
 
 
-def expected_hot_spot(rated_kva: float = RATED_KVA) -> Column:
-    loaded = clip(load_ratio(rated_kva), low=0.0)
-    return F.col("top_oil_temp") + F.lit(23.0) * F.pow(loaded, F.lit(1.3))
+def expected_hot_spot(rated_kva: float = RATED_KVA) -> str:
+    return f"top_oil_temp + 23D * pow({_loaded(rated_kva)}, 1.3D)"
 
 
-def health_score(probability: Column) -> Column:
-    return clip((F.lit(1.0) - probability) * F.lit(100.0), low=0.0, high=100.0)
+def health_score(probability: str = "failure_proba") -> str:
+    return clip(f"(1D - {probability}) * 100D", 0, 100)
 
 
-def risk_level(score: Column) -> Column:
+def risk_level(score: str = "health_score") -> str:
     """Risk class of a health score; a score of exactly 0 is critical."""
-    critical, warning = RISK_BOUNDS
+    critical, warning = (num(x) for x in RISK_BOUNDS)
     return (
-        F.when(score <= critical, F.lit(CRITICAL))
-        .when(score <= warning, F.lit(WARNING))
-        .when(score.isNotNull(), F.lit(NORMAL))
+        f"CASE WHEN {score} <= {critical} THEN '{CRITICAL}' WHEN {score} <= {warning} "
+        f"THEN '{WARNING}' WHEN {score} IS NOT NULL THEN '{NORMAL}' END"
     )
 
 
-def severity(value: Column, limit: Column) -> Column:
-    return F.when(value > limit * F.lit(SEVERE_FACTOR), F.lit(CRITICAL)).otherwise(F.lit(WARNING))
+def severity(value: str = "value", limit: str = "threshold") -> str:
+    return (
+        f"CASE WHEN {value} > {limit} * {num(SEVERE_FACTOR)} "
+        f"THEN '{CRITICAL}' ELSE '{WARNING}' END"
+    )
 
 
-def alert_text(parameter: Column, value: Column, limit: Column) -> Column:
+def alert_text(parameter: str = "parameter", value: str = "value", limit: str = "threshold") -> str:
     # Wording of an alert.
-    return F.format_string(
-        "%s = %.1f > seuil %s (%s)", parameter, value, limit.cast("string"), severity(value, limit)
+    return (
+        f"format_string('%s = %.1f > seuil %s (%s)', {parameter}, {value}, "
+        f"CAST({limit} AS STRING), {severity(value, limit)})"
     )
 
 
-def excess_percent(value: Column, limit: Column) -> Column:
-    return F.round((value - limit) / limit * F.lit(100.0), 1)
+def excess_percent(value: str = "value", limit: str = "threshold") -> str:
+    return f"round(({value} - {limit}) / {limit} * 100D, 1)"

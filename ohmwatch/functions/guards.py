@@ -1,39 +1,61 @@
-"""NULL-aware helpers: missing stays missing, and NaN never enters the engine."""
+"""NULL-aware helpers: missing stays missing, and NaN never enters the engine.
 
-from __future__ import annotations
+Expressions are SQL text for ``F.expr`` / ``selectExpr``: a wide select is then
+one call into the JVM instead of hundreds.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def clip(value: Column, low: float | None = None, high: float | None = None) -> Column:
+def num(value: float) -> str:
+    """A DOUBLE literal (a bare decimal point would make a DECIMAL)."""
+    return f"{float(value)!r}D"
+
+
+def clip(value: str, low: float | None = None, high: float | None = None) -> str:
     """Bound a value; a missing value stays missing (least/greatest skip NULL)."""
     out = value
     if low is not None:
-        out = F.greatest(out, F.lit(float(low)))
+        out = f"greatest({out}, {num(low)})"
     if high is not None:
-        out = F.least(out, F.lit(float(high)))
-    return F.when(value.isNotNull(), out)
+        out = f"least({out}, {num(high)})"
+    return f"CASE WHEN ({value}) IS NOT NULL THEN {out} END"
 
 
-def sum_present(columns: list[Column]) -> Column:
+def sum_present(columns: list[str]) -> str:
     """Row-wise sum that counts missing addends as zero."""
-    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0.0)) for c in columns])
+    return " + ".join(f"coalesce({c}, 0D)" for c in columns)
+
+
+def aliased(columns: dict[str, str]) -> list[str]:
+    return [f"{text} AS `{name}`" for name, text in columns.items()]
+
+
+def add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add or replace columns given as SQL text, in one projection."""
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    return df.selectExpr(*kept, *aliased(columns))
+
+
+def replace(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Replace columns given as SQL text, keeping the column order."""
+    return df.selectExpr(
+        *[f"{columns[c]} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns]
+    )
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in every floating-point column."""
-    floating = {
-        f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-    }
-    return df.select(
-        *[
-            F.when(~F.isnan(c), F.col(c)).alias(c) if c in floating else F.col(c)
-            for c in df.columns
-        ]
+    return replace(
+        df,
+        {
+            f.name: f"CASE WHEN NOT isnan(`{f.name}`) THEN `{f.name}` END"
+            for f in df.schema.fields
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        },
     )
 
 

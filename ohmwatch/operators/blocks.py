@@ -13,31 +13,27 @@ Three building blocks replace it:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.config import BLOCK_ROWS, BROADCAST_ROWS, HOUR, KEY, SALTS, TIME
-from ohmwatch.functions.axis import BLOCK, POS, block_of, position, with_blocks
+from ohmwatch.config import BLOCK_ROWS, BROADCAST_ROWS, HOUR, KEY, SALTS, TIE, TIME
+from ohmwatch.functions.axis import (
+    BEFORE,
+    BLOCK,
+    POS,
+    TO_DATE,
+    block_of,
+    over,
+    position,
+    with_blocks,
+)
+from ohmwatch.functions.guards import add
 from ohmwatch.session import shared_dir
 
 HOME = "__home"
 SALT = "__salt"
 
 
-def forward(*extra: str):
-    """Rows of a block in time order."""
-    return Window.partitionBy(KEY, BLOCK, *extra).orderBy(POS)
-
-
-def backward(*extra: str):
-    return Window.partitionBy(KEY, BLOCK, *extra).orderBy(F.col(POS).desc())
-
-
-def to_date_rows(spec):
-    """All rows up to the current one: evaluated incrementally, O(1) per row."""
-    return spec.rowsBetween(Window.unboundedPreceding, 0)
-
-
 def with_halo(
     df: DataFrame,
     back: int = 0,
@@ -50,62 +46,42 @@ def with_halo(
     One shuffle on (asset, block) then serves every window of that reach.
     ``HOME`` marks the one copy of a row that belongs to the result.
     """
-    pos = F.col(POS)
-    placed = df.withColumn(POS, position(step))
-    first = block_of(pos - F.lit(ahead), block_rows)
-    last = block_of(pos + F.lit(back), block_rows)
-    copied = placed.select("*", F.explode(F.sequence(first, last)).alias(BLOCK))
-    return copied.withColumn(HOME, F.col(BLOCK) == block_of(pos, block_rows)).repartition(
-        KEY, BLOCK
-    )
+    first = block_of(f"{POS} - {ahead}", block_rows)
+    last = block_of(f"{POS} + {back}", block_rows)
+    placed = add(df, {POS: position(step)})
+    copied = placed.selectExpr("*", f"explode(sequence({first}, {last})) AS {BLOCK}")
+    return add(copied, {HOME: f"{BLOCK} = {block_of(POS, block_rows)}"}).repartition(KEY, BLOCK)
 
 
 def home_rows(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(HOME))
+    return df.filter(HOME)
 
 
 def prefix_over_blocks(
-    blocks: DataFrame, keys: list[str], block: str, sums: list[str]
+    blocks: DataFrame, keys: tuple[str, ...], block: str, sums: list[str]
 ) -> DataFrame:
     """Exclusive running sums over block rows (one row per key and block)."""
-    spec = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select(
-        *keys, block, *[F.coalesce(F.sum(s).over(spec), F.lit(0)).alias(f"{s}__before") for s in sums]
+    spec = over(keys, block, BEFORE)
+    return blocks.selectExpr(
+        *keys, block, *[f"coalesce(sum({s}) {spec}, 0) AS {s}__before" for s in sums]
     )
 
 
 def running_totals(
-    df: DataFrame,
-    values: dict[str, Column],
-    keys: list[str],
-    block: str,
-    order: list[str | Column],
+    df: DataFrame, values: dict[str, str], keys: tuple[str, ...], block: str, order: str
 ) -> DataFrame:
     """Running sum of each value along ``order``, exact across blocks.
 
     ``block`` must be a monotone coarsening of ``order`` within the keys.
     """
-    staged = df.withColumns({f"__v_{n}": v for n, v in values.items()})
-    totals = staged.groupBy(*keys, block).agg(
-        *[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in values]
+    totals = df.groupBy(*keys, block).agg(
+        *[F.expr(f"sum({v})").alias(f"__t_{n}") for n, v in values.items()]
     )
     before = prefix_over_blocks(totals, keys, block, [f"__t_{n}" for n in values])
-    spec = Window.partitionBy(*keys, block).orderBy(*order)
-    local = staged.select(
-        "*",
-        *[
-            F.sum(f"__v_{n}").over(spec.rowsBetween(Window.unboundedPreceding, 0)).alias(f"__l_{n}")
-            for n in values
-        ],
-    )
-    joined = local.join(before, [*keys, block])
-    total = joined.withColumns(
-        {n: F.col(f"__l_{n}") + F.col(f"__t_{n}__before") for n in values}
-    )
-    return total.drop(
-        *[f"__v_{n}" for n in values],
-        *[f"__l_{n}" for n in values],
-        *[f"__t_{n}__before" for n in values],
+    spec = over((*keys, block), order, TO_DATE)
+    local = df.selectExpr("*", *[f"sum({v}) {spec} AS __l_{n}" for n, v in values.items()])
+    return local.join(before, [*keys, block]).selectExpr(
+        *df.columns, *[f"__l_{n} + __t_{n}__before AS {n}" for n in values]
     )
 
 
@@ -119,23 +95,16 @@ def row_index(
     """Row number (from 1) and row count per asset, in time order, for any gaps."""
     placed = with_blocks(df, step, block_rows)
     counts = placed.groupBy(KEY, BLOCK).agg(F.count("*").alias("__c"))
-    per_asset = Window.partitionBy(KEY)
-    sized = counts.select(
+    sized = counts.selectExpr(
         KEY,
         BLOCK,
-        F.coalesce(
-            F.sum("__c").over(
-                per_asset.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("__before"),
-        F.sum("__c").over(per_asset).alias(total),
+        f"coalesce(sum(__c) {over((KEY,), BLOCK, BEFORE)}, 0) AS __before",
+        f"sum(__c) OVER (PARTITION BY {KEY}) AS {total}",
     )
-    order = [c for c in (TIME, "reading_id") if c in df.columns]
-    spec = Window.partitionBy(KEY, BLOCK).orderBy(*order)
-    numbered = placed.withColumn("__local", F.row_number().over(spec)).join(sized, [KEY, BLOCK])
-    return numbered.withColumn(index, F.col("__local") + F.col("__before")).drop(
-        "__local", "__before", POS, BLOCK
+    order = ", ".join(c for c in (TIME, TIE) if c in df.columns)
+    numbered = placed.selectExpr("*", f"row_number() {over((KEY, BLOCK), order)} AS __local")
+    return numbered.join(sized, [KEY, BLOCK]).selectExpr(
+        *df.columns, f"__local + __before AS {index}", total
     )
 
 
@@ -160,6 +129,6 @@ def attach(
     small = held(small)
     if small.limit(limit + 1).count() <= limit:
         return df.join(F.broadcast(small), list(keys), how)
-    salted = small.withColumn(SALT, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    spread = df.withColumn(SALT, F.pmod(F.xxhash64(TIME), F.lit(SALTS)).cast("int"))
+    salted = small.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS {SALT}")
+    spread = df.selectExpr("*", f"CAST(pmod(xxhash64({TIME}), {SALTS}) AS INT) AS {SALT}")
     return spread.join(salted, [*keys, SALT], how).drop(SALT)

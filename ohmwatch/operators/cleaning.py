@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmwatch.config import BLOCK_ROWS, BOUNDS, HOUR, KEY, NO_FAULT, REQUIRED, TIE, TIME
 from ohmwatch.functions.axis import (
+    BEFORE,
     BLOCK,
     POS,
+    TO_DATE,
+    backward,
+    block_of,
     check_step,
+    forward,
+    over,
     position,
     stamp,
     with_blocks,
-    without_blocks,
 )
-from ohmwatch.functions.guards import numeric_columns, other_columns
-from ohmwatch.operators.blocks import backward, forward, row_index, to_date_rows
+from ohmwatch.functions.guards import num, numeric_columns, other_columns, replace
+from ohmwatch.operators.blocks import row_index
 
 IDS = (KEY, TIME, TIE)
 
@@ -30,25 +33,28 @@ def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> Data
     return df
 
 
-def _outside(column: str, low: float, high: float) -> Column:
-    return (F.col(column) < F.lit(low)) | (F.col(column) > F.lit(high))
+def _outside(column: str, low: float, high: float) -> str:
+    return f"(`{column}` < {num(low)} OR `{column}` > {num(high)})"
 
 
 def bound_violations(df: DataFrame, bounds: dict = BOUNDS) -> DataFrame:
     """Out-of-range cells per column, only columns that have some.  One scan."""
     present = {c: b for c, b in bounds.items() if c in df.columns}
-    counted = df.agg(*[F.count_if(_outside(c, *b)).alias(c) for c, b in present.items()])
-    return counted.unpivot([], list(present), "parameter", "n_out").filter(F.col("n_out") > 0)
+    counted = df.agg(
+        *[F.expr(f"count_if({_outside(c, *b)}) AS `{c}`") for c, b in present.items()]
+    )
+    return counted.unpivot([], list(present), "parameter", "n_out").filter("n_out > 0")
 
 
 def mask_bounds(df: DataFrame, bounds: dict = BOUNDS) -> DataFrame:
     """Replace physically impossible values by missing."""
-    return df.withColumns(
+    return replace(
+        df,
         {
-            c: F.when(~_outside(c, *bounds[c]), F.col(c))
+            c: f"CASE WHEN NOT {_outside(c, *bounds[c])} THEN `{c}` END"
             for c in df.columns
             if c in bounds
-        }
+        },
     )
 
 
@@ -62,8 +68,8 @@ def keep_first(df: DataFrame) -> DataFrame:
     The rank filter is applied before the shuffle too (window group limit), so
     a large group of copies costs one row per map task.
     """
-    spec = Window.partitionBy(KEY, TIME).orderBy(TIE)
-    return df.withColumn("__rank", F.row_number().over(spec)).filter("__rank = 1").drop("__rank")
+    ranked = df.selectExpr("*", f"row_number() {over((KEY, TIME), TIE)} AS __rank")
+    return ranked.filter("__rank = 1").drop("__rank")
 
 
 def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
@@ -85,12 +91,16 @@ def resample(
     found_numeric, found_other = split_columns(df)
     numeric = found_numeric if numeric is None else numeric
     categorical = found_other if categorical is None else categorical
-    means = [F.avg(c).alias(c) for c in numeric]
-    order = F.struct(*[c for c in (TIME, TIE) if c in df.columns])
-    lasts = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in categorical]
-    grouped = df.groupBy(KEY, position(step).alias(POS)).agg(*means, *lasts)
-    return grouped.select(
-        KEY, stamp(F.col(POS), step, df).alias(TIME), *numeric, *categorical
+    order = f"struct({', '.join(c for c in (TIME, TIE) if c in df.columns)})"
+    grouped = df.groupBy(KEY, F.expr(position(step)).alias(POS)).agg(
+        *[F.expr(f"avg(`{c}`) AS `{c}`") for c in numeric],
+        *[
+            F.expr(f"max_by(`{c}`, CASE WHEN `{c}` IS NOT NULL THEN {order} END) AS `{c}`")
+            for c in categorical
+        ],
+    )
+    return grouped.selectExpr(
+        KEY, f"{stamp(POS, step, df)} AS {TIME}", *[f"`{c}`" for c in [*numeric, *categorical]]
     )
 
 
@@ -102,17 +112,16 @@ def time_grid(df: DataFrame, step: int = HOUR, block_rows: int = BLOCK_ROWS) ->
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = df.groupBy(KEY).agg(
-        F.min(position(step)).alias("__lo"), F.max(position(step)).alias("__hi")
+        F.expr(f"min({position(step)}) AS __lo"), F.expr(f"max({position(step)}) AS __hi")
     )
-    size = F.lit(block_rows)
-    first, last = (F.floor(F.col(c) / size).cast("bigint") for c in ("__lo", "__hi"))
-    blocks = bounds.select(
-        KEY, "__lo", "__hi", F.explode(F.sequence(first, last)).alias(BLOCK)
+    first, last = block_of("__lo", block_rows), block_of("__hi", block_rows)
+    blocks = bounds.selectExpr(
+        KEY, "__lo", "__hi", f"explode(sequence({first}, {last})) AS {BLOCK}"
     ).repartition(partitions, KEY, BLOCK)
-    start = F.greatest(F.col("__lo"), F.col(BLOCK) * size)
-    end = F.least(F.col("__hi"), (F.col(BLOCK) + 1) * size - 1)
-    points = blocks.select(KEY, F.explode(F.sequence(start, end)).alias(POS))
-    return points.select(KEY, stamp(F.col(POS), step, df).alias(TIME))
+    start = f"greatest(__lo, {BLOCK} * {block_rows})"
+    end = f"least(__hi, ({BLOCK} + 1) * {block_rows} - 1)"
+    points = blocks.selectExpr(KEY, f"explode(sequence({start}, {end})) AS {POS}")
+    return points.selectExpr(KEY, f"{stamp(POS, step, df)} AS {TIME}")
 
 
 def on_grid(
@@ -130,61 +139,63 @@ def align(left: DataFrame, right: DataFrame) -> DataFrame:
 def _with_neighbours(
     df: DataFrame, columns: list[str], step: int, block_rows: int
 ) -> DataFrame:
-    """Add ``__p_c`` / ``__n_c``: nearest non-missing (pos, value) at or before / after.
+    """Add ``__p_c`` / ``__n_c``: nearest non-missing value at or before / after a row,
+    and ``__pp_c`` / ``__np_c``, their positions.
 
     Inside a block two running windows find them; beyond its borders the last
     and first known values of the other blocks do, from one summary row per block.
     """
     placed = with_blocks(df, step, block_rows).repartition(KEY, BLOCK)
-    point = {c: F.when(F.col(c).isNotNull(), F.struct(POS, F.col(c).alias("v"))) for c in columns}
-    up, down = to_date_rows(forward()), to_date_rows(backward())
-    local = placed.select(
-        "*", *[F.last(point[c], ignorenulls=True).over(up).alias(f"__p_{c}") for c in columns]
+    known = {c: f"CASE WHEN `{c}` IS NOT NULL THEN {POS} END" for c in columns}
+    up, down = forward(TO_DATE), backward(TO_DATE)
+    local = placed.selectExpr(
+        "*",
+        *[f"last(`{c}`, true) {up} AS `__p_{c}`" for c in columns],
+        *[f"last({known[c]}, true) {up} AS `__pp_{c}`" for c in columns],
     )
-    local = local.select(
-        "*", *[F.last(point[c], ignorenulls=True).over(down).alias(f"__n_{c}") for c in columns]
+    local = local.selectExpr(
+        "*",
+        *[f"last(`{c}`, true) {down} AS `__n_{c}`" for c in columns],
+        *[f"last({known[c]}, true) {down} AS `__np_{c}`" for c in columns],
     )
-
-    def edge(c: str, pick, choose) -> Column:
-        known = F.when(F.col(c).isNotNull(), F.col(POS))
-        return F.when(
-            F.count(c) > 0, F.struct(pick(known).alias(POS), choose(F.col(c), known).alias("v"))
-        )
-
+    edges = {"__p_": "max_by", "__n_": "min_by", "__pp_": "max", "__np_": "min"}
     summary = placed.groupBy(KEY, BLOCK).agg(
-        *[edge(c, F.max, F.max_by).alias(f"__l_{c}") for c in columns],
-        *[edge(c, F.min, F.min_by).alias(f"__f_{c}") for c in columns],
+        *[
+            F.expr(f"{f}(`{c}`, {known[c]}) AS `{p}{c}`")
+            if f.endswith("_by")
+            else F.expr(f"{f}({known[c]}) AS `{p}{c}`")
+            for c in columns
+            for p, f in edges.items()
+        ]
     )
-    earlier = Window.partitionBy(KEY).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    later = (
-        Window.partitionBy(KEY)
-        .orderBy(F.col(BLOCK).desc())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = summary.select(
+    earlier, later = over((KEY,), BLOCK, BEFORE), over((KEY,), f"{BLOCK} DESC", BEFORE)
+    carried = summary.selectExpr(
         KEY,
         BLOCK,
-        *[F.last(f"__l_{c}", ignorenulls=True).over(earlier).alias(f"__cp_{c}") for c in columns],
-        *[F.last(f"__f_{c}", ignorenulls=True).over(later).alias(f"__cn_{c}") for c in columns],
+        *[
+            f"last(`{p}{c}`, true) {earlier if p in ('__p_', '__pp_') else later} AS `__c{p}{c}`"
+            for c in columns
+            for p in edges
+        ],
     )
-    joined = local.join(carried, [KEY, BLOCK])
-    return joined.withColumns(
-        {f"__p_{c}": F.coalesce(f"__p_{c}", f"__cp_{c}") for c in columns}
-        | {f"__n_{c}": F.coalesce(f"__n_{c}", f"__cn_{c}") for c in columns}
+    return local.join(carried, [KEY, BLOCK]).selectExpr(
+        *df.columns,
+        POS,
+        *[f"coalesce(`{p}{c}`, `__c{p}{c}`) AS `{p}{c}`" for c in columns for p in edges],
     )
 
 
-def _between(c: str) -> Column:
+def _between(c: str) -> str:
     """Straight line in time between the known neighbours of a missing value."""
-    p, n = F.col(f"__p_{c}"), F.col(f"__n_{c}")
-    span = F.nullif(n[POS] - p[POS], F.lit(0))
-    return p["v"] + (n["v"] - p["v"]) * ((F.col(POS) - p[POS]) / span)
+    return (
+        f"`__p_{c}` + (`__n_{c}` - `__p_{c}`) * "
+        f"(({POS} - `__pp_{c}`) / nullif(`__np_{c}` - `__pp_{c}`, 0))"
+    )
 
 
-def _fill(df: DataFrame, rules: dict[str, Column], step: int, block_rows: int) -> DataFrame:
-    keep = df.columns
+def _fill(df: DataFrame, rules: dict[str, str], step: int, block_rows: int) -> DataFrame:
     near = _with_neighbours(df, list(rules), step, block_rows)
-    return without_blocks(near.withColumns(rules)).select(*keep)
+    return replace(near, rules).select(*df.columns)
 
 
 def interpolate(
@@ -192,9 +203,8 @@ def interpolate(
 ) -> DataFrame:
     """Interior gaps linearly in time, trailing gaps by the last value, leading stay."""
     rules = {
-        c: F.when(F.col(c).isNotNull(), F.col(c).cast("double"))
-        .when(F.col(f"__n_{c}").isNotNull(), _between(c))
-        .otherwise(F.col(f"__p_{c}")["v"])
+        c: f"CASE WHEN `{c}` IS NOT NULL THEN CAST(`{c}` AS DOUBLE) "
+        f"WHEN `__n_{c}` IS NOT NULL THEN {_between(c)} ELSE `__p_{c}` END"
         for c in columns
     }
     return _fill(df, rules, step, block_rows)
@@ -203,13 +213,13 @@ def interpolate(
 def forward_fill(
     df: DataFrame, columns: list[str], step: int = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    return _fill(df, {c: F.col(f"__p_{c}")["v"] for c in columns}, step, block_rows)
+    return _fill(df, {c: f"`__p_{c}`" for c in columns}, step, block_rows)
 
 
 def backward_fill(
     df: DataFrame, columns: list[str], step: int = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    return _fill(df, {c: F.col(f"__n_{c}")["v"] for c in columns}, step, block_rows)
+    return _fill(df, {c: f"`__n_{c}`" for c in columns}, step, block_rows)
 
 
 def fill_series(
@@ -225,15 +235,9 @@ def fill_series(
     A single shuffle of the series serves every column and rule.
     """
     rules = {
-        c: F.coalesce(
-            F.col(c).cast("double"), _between(c), F.col(f"__p_{c}")["v"], F.col(f"__n_{c}")["v"]
-        )
-        for c in numeric
-    }
-    rules |= {
-        c: F.coalesce(F.col(f"__p_{c}")["v"], F.col(f"__n_{c}")["v"], F.lit(constant))
-        for c in categorical
+        c: f"coalesce(CAST(`{c}` AS DOUBLE), {_between(c)}, `__p_{c}`, `__n_{c}`)" for c in numeric
     }
+    rules |= {c: f"coalesce(`__p_{c}`, `__n_{c}`, '{constant}')" for c in categorical}
     return _fill(df, rules, step, block_rows)
 
 
@@ -243,8 +247,8 @@ def constant_fill(df: DataFrame, values: dict) -> DataFrame:
 
 def missing_cells(df: DataFrame) -> DataFrame:
     """Number of missing cells in the whole table."""
-    per_row = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("bigint") for c in df.columns])
-    return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("n_missing"))
+    per_row = " + ".join(f"CAST(`{c}` IS NULL AS BIGINT)" for c in df.columns)
+    return df.agg(F.expr(f"coalesce(sum({per_row}), 0) AS n_missing"))
 
 
 def chronological_split(
@@ -252,11 +256,12 @@ def chronological_split(
 ) -> DataFrame:
     """Add ``part``: the first share of each asset's rows is 'train', the rest 'test'."""
     indexed = row_index(df, step=step, block_rows=block_rows)
-    cut = F.floor(F.col("__n") * F.lit(1 - test_ratio))
-    part = F.when(F.col("__rn") <= cut, F.lit("train")).otherwise(F.lit("test"))
-    return indexed.withColumn("part", part).drop("__rn", "__n")
+    cut = f"floor(__n * {num(1 - test_ratio)})"
+    return indexed.selectExpr(
+        *df.columns, f"CASE WHEN __rn <= {cut} THEN 'train' ELSE 'test' END AS part"
+    )
 
 
 def train_test(df: DataFrame, test_ratio: float = 0.2, **kw) -> tuple[DataFrame, DataFrame]:
     marked = chronological_split(df, test_ratio, **kw)
-    return tuple(marked.filter(F.col("part") == p).drop("part") for p in ("train", "test"))
+    return tuple(marked.filter(f"part = '{p}'").drop("part") for p in ("train", "test"))

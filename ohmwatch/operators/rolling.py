@@ -9,12 +9,12 @@ states are merged (Chan et al. 1983 for the variance).  That is O(1) per row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ohmwatch.config import BLOCK_ROWS, HOUR, ROLLING_COLUMNS, ROLLING_WINDOWS
-from ohmwatch.functions.axis import POS, without_blocks
-from ohmwatch.operators.blocks import backward, forward, home_rows, to_date_rows, with_halo
+from ohmwatch.config import BLOCK_ROWS, HOUR, KEY, ROLLING_COLUMNS, ROLLING_WINDOWS, TIME
+from ohmwatch.functions.axis import POS, TO_DATE, backward, forward, over, without_blocks
+from ohmwatch.functions.guards import add, aliased
+from ohmwatch.operators.blocks import home_rows, with_halo
 
 STATS = ("mean", "std", "max")
 SLIDING_LIMIT = 48
@@ -28,81 +28,79 @@ def column_name(column: str, stat: str, window: int) -> str:
     return f"{column}_{stat}_{window}h"
 
 
-def _state(column: str, spec, stats: tuple[str, ...]) -> Column:
-    value = F.col(column).cast("double")
-    parts = [F.count(value).over(spec).alias("n")]
-    if {"mean", "std"} & set(stats):
-        parts += [F.avg(value).over(spec).alias("mean")]
-    if "std" in stats:
-        parts += [F.var_pop(value).over(spec).alias("var")]
-    if "max" in stats:
-        parts += [F.max(value).over(spec).alias("max")]
-    if "min" in stats:
-        parts += [F.min(value).over(spec).alias("min")]
-    return F.struct(*parts)
+def _state(column: str, spec: str, stats: tuple[str, ...]) -> str:
+    """Partial state of a running scan, as a struct."""
+    value = f"CAST(`{column}` AS DOUBLE)"
+    wanted = {
+        "n": ("count", True),
+        "mean": ("avg", {"mean", "std"} & set(stats)),
+        "var": ("var_pop", "std" in stats),
+        "max": ("max", "max" in stats),
+        "min": ("min", "min" in stats),
+    }
+    parts = [f"'{k}', {f}({value}) {spec}" for k, (f, needed) in wanted.items() if needed]
+    return f"named_struct({', '.join(parts)})"
 
 
-def _merged(tail: Column, head: Column, in_use: Column, stats: tuple[str, ...], need: int):
+def _merged(tail: str, head: str, in_use: str, stats: tuple[str, ...], need: int):
     """Statistics of the union of two disjoint partial states."""
-    n_tail = F.when(in_use, tail["n"]).otherwise(F.lit(0))
-    n_head = head["n"]
-    n = n_tail + n_head
-    enough = n >= need
-    out = {}
-    if {"mean", "std"} & set(stats):
-        m_tail = F.coalesce(tail["mean"], F.lit(0.0))
-        m_head = F.coalesce(head["mean"], F.lit(0.0))
-        total = F.nullif(n, F.lit(0))
-        out["mean"] = F.when(enough, (m_tail * n_tail + m_head * n_head) / total)
-    if "std" in stats:
-        gap = m_head - m_tail
-        spread = (
-            F.coalesce(tail["var"], F.lit(0.0)) * n_tail
-            + F.coalesce(head["var"], F.lit(0.0)) * n_head
-            + gap * gap * n_tail * n_head / total
-        )
-        out["std"] = F.when(
-            enough & (n > 1), F.sqrt(spread / F.nullif(n - F.lit(1), F.lit(0)))
+    n_tail, n_head = f"if({in_use}, {tail}.n, 0)", f"{head}.n"
+    n = f"({n_tail} + {n_head})"
+    m_tail, m_head = f"coalesce({tail}.mean, 0D)", f"coalesce({head}.mean, 0D)"
+    gap = f"({m_head} - {m_tail})"
+    spread = (
+        f"coalesce({tail}.var, 0D) * {n_tail} + coalesce({head}.var, 0D) * {n_head} "
+        f"+ {gap} * {gap} * {n_tail} * {n_head} / {n}"
+    )
+    out = {
+        "mean": f"CASE WHEN {n} >= {need} THEN "
+        f"({m_tail} * {n_tail} + {m_head} * {n_head}) / {n} END",
+        "std": f"CASE WHEN {n} >= {max(need, 2)} THEN sqrt(({spread}) / ({n} - 1)) END",
+    }
+    for stat, pick in (("max", "greatest"), ("min", "least")):
+        out[stat] = (
+            f"CASE WHEN {n} >= {need} THEN "
+            f"{pick}(CASE WHEN {in_use} THEN {tail}.{stat} END, {head}.{stat}) END"
         )
-    for stat, pick in (("max", F.greatest), ("min", F.least)):
-        if stat in stats:
-            out[stat] = F.when(enough, pick(F.when(in_use, tail[stat]), head[stat]))
-    return out
+    return {s: out[s] for s in stats}
 
 
 def _scanned(df: DataFrame, columns, window: int, stats, need: int) -> DataFrame:
     chunk, tail, head, moved = (f"__{k}{window}" for k in ("chunk", "tail", "head", "moved"))
-    keep = df.columns
-    cut = df.withColumn(chunk, F.floor(F.col(POS) / F.lit(window)))
-    up, down = to_date_rows(forward(chunk)), to_date_rows(backward(chunk))
-    cut = cut.withColumn(head, F.struct(*[_state(c, up, stats).alias(c) for c in columns]))
-    cut = cut.withColumn(
-        tail, F.struct(F.col(chunk).alias("at"), *[_state(c, down, stats).alias(c) for c in columns])
+    cut = add(df, {chunk: f"floor({POS} / {window})"})
+    for name, spec in ((head, forward(TO_DATE, chunk)), (tail, backward(TO_DATE, chunk))):
+        states = ", ".join(f"'{c}', {_state(c, spec, stats)}" for c in columns)
+        cut = cut.selectExpr("*", f"named_struct('at', {chunk}, {states}) AS {name}")
+    # State of the row the frame starts at; where no such row exists, of the first row.
+    cut = cut.selectExpr(
+        "*",
+        f"coalesce(lag({tail}, {window - 1}) {forward()}, "
+        f"first({tail}) {forward(TO_DATE)}) AS {moved}",
     )
-    # State of the row the frame starts at; before that row existed, of the first row.
-    start = F.coalesce(
-        F.lag(tail, window - 1).over(forward()), F.first(tail).over(to_date_rows(forward()))
-    )
-    cut = cut.withColumn(moved, start)
-    in_use = F.col(moved)["at"] < F.col(chunk)
-    out = []
+    out = {}
     for c in columns:
-        merged = _merged(F.col(moved)[c], F.col(head)[c], in_use, stats, need)
-        out += [merged[s].alias(column_name(c, s, window)) for s in stats]
-    return cut.select(*keep, *out)
+        merged = _merged(
+            f"{moved}.`{c}`", f"{head}.`{c}`", f"({moved}.at < {chunk})", stats, need
+        )
+        out |= {column_name(c, s, window): merged[s] for s in stats}
+    return cut.selectExpr(*df.columns, *aliased(out))
+
+
+FUNCTIONS = {"mean": "avg", "std": "stddev_samp", "max": "max", "min": "min"}
+
+
+def _framed(columns, window: int, stats, need: int, spec: str) -> dict[str, str]:
+    return {
+        column_name(c, s, window): f"CASE WHEN count(`{c}`) {spec} >= {need} "
+        f"THEN {FUNCTIONS[s]}(`{c}`) {spec} END"
+        for c in columns
+        for s in stats
+    }
 
 
 def _slid(df: DataFrame, columns, window: int, stats, need: int) -> DataFrame:
-    frame = forward().rowsBetween(-(window - 1), 0)
-    functions = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
-    out = []
-    for c in columns:
-        enough = F.count(c).over(frame) >= need
-        out += [
-            F.when(enough, functions[s](c).over(frame)).alias(column_name(c, s, window))
-            for s in stats
-        ]
-    return df.select("*", *out)
+    frame = forward(f"{window - 1} PRECEDING AND CURRENT ROW")
+    return df.selectExpr("*", *aliased(_framed(columns, window, stats, need, frame)))
 
 
 def rolling_columns(
@@ -141,16 +139,10 @@ def rolling(
     return without_blocks(home_rows(out))
 
 
-def per_asset_rolling(df: DataFrame, columns, windows, stats=STATS, key="asset_id", ts="ts"):
+def per_asset_rolling(df: DataFrame, columns, windows, stats=STATS) -> DataFrame:
     """The plain window over whole assets: the yardstick the block form is tested against."""
-    out = []
+    out = {}
     for w in windows:
-        frame = Window.partitionBy(key).orderBy(ts).rowsBetween(-(w - 1), 0)
-        functions = {"mean": F.avg, "std": F.stddev_samp, "max": F.max}
-        for c in columns:
-            enough = F.count(c).over(frame) >= min_rows(w)
-            out += [
-                F.when(enough, functions[s](c).over(frame)).alias(column_name(c, s, w))
-                for s in stats
-            ]
-    return df.select("*", *out)
+        frame = over((KEY,), TIME, f"{w - 1} PRECEDING AND CURRENT ROW")
+        out |= _framed(columns, w, stats, min_rows(w), frame)
+    return df.selectExpr("*", *aliased(out))

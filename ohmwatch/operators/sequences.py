@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmwatch.config import (
@@ -20,15 +20,18 @@ from ohmwatch.config import (
     TIME,
 )
 from ohmwatch.functions import diagnostics as d
-from ohmwatch.functions.axis import BLOCK, POS, position, seconds, with_blocks, without_blocks
-from ohmwatch.operators.blocks import (
-    attach,
+from ohmwatch.functions.axis import (
+    BLOCK,
+    POS,
+    TO_DATE,
     forward,
-    home_rows,
-    running_totals,
-    to_date_rows,
-    with_halo,
+    over,
+    seconds,
+    with_blocks,
+    without_blocks,
 )
+from ohmwatch.functions.guards import add, aliased, num
+from ohmwatch.operators.blocks import attach, home_rows, running_totals, with_halo
 from ohmwatch.operators.rolling import column_name, rolling_columns
 
 # Rows after which 0.85^k is below the resolution of a double.
@@ -39,9 +42,9 @@ SMOOTHING_BLOCK = 2048
 
 def change_columns(
     columns: list[str] = list(CHANGE_COLUMNS), periods: tuple[int, ...] = CHANGE_PERIODS
-) -> dict[str, Column]:
+) -> dict[str, str]:
     return {
-        f"{c}_roc_{p}h": F.col(c) - F.lag(c, p).over(forward()) for c in columns for p in periods
+        f"{c}_roc_{p}h": f"`{c}` - lag(`{c}`, {p}) {forward()}" for c in columns for p in periods
     }
 
 
@@ -55,15 +58,12 @@ def rate_of_change(
     """Difference to the value ``p`` rows earlier (not divided by the period)."""
     columns = [c for c in (columns or CHANGE_COLUMNS) if c in df.columns]
     haloed = with_halo(df, back=max(periods), step=step, block_rows=block_rows)
-    return without_blocks(home_rows(haloed.select("*", *_named(change_columns(columns, periods)))))
+    changed = haloed.selectExpr("*", *aliased(change_columns(columns, periods)))
+    return without_blocks(home_rows(changed))
 
 
-def _named(columns: dict[str, Column]) -> list[Column]:
-    return [c.alias(name) for name, c in columns.items()]
-
-
-def lag_columns(target: str, n_lags: int = N_LAGS) -> dict[str, Column]:
-    return {f"{target}_lag{k}": F.lag(target, k).over(forward()) for k in range(1, n_lags + 1)}
+def lag_columns(target: str, n_lags: int = N_LAGS) -> dict[str, str]:
+    return {f"{target}_lag{k}": f"lag(`{target}`, {k}) {forward()}" for k in range(1, n_lags + 1)}
 
 
 def lags_and_future(
@@ -78,24 +78,23 @@ def lags_and_future(
     haloed = with_halo(df, back=n_lags, ahead=horizon or 0, step=step, block_rows=block_rows)
     columns = lag_columns(target, n_lags)
     if horizon is not None:
-        columns["future_target"] = F.lead(target, horizon).over(forward())
-    return without_blocks(home_rows(haloed.select("*", *_named(columns))))
+        columns["future_target"] = f"lead(`{target}`, {horizon}) {forward()}"
+    return without_blocks(home_rows(haloed.selectExpr("*", *aliased(columns))))
 
 
 def cumulative(
     df: DataFrame,
-    values: dict[str, Column],
+    values: dict[str, str],
     step: int = HOUR,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Running sum per asset; missing where the addend is missing, total carries on."""
     placed = with_blocks(df, step, block_rows)
     summed = running_totals(
-        placed, {n: F.coalesce(v, F.lit(0.0)) for n, v in values.items()}, [KEY], BLOCK, [POS]
-    )
-    return without_blocks(
-        summed.withColumns({n: F.when(v.isNotNull(), F.col(n)) for n, v in values.items()})
+        placed, {n: f"coalesce({v}, 0D)" for n, v in values.items()}, (KEY,), BLOCK, POS
     )
+    shown = {n: f"CASE WHEN ({v}) IS NOT NULL THEN {n} END" for n, v in values.items()}
+    return without_blocks(add(summed, shown))
 
 
 def failure_label(
@@ -116,16 +115,16 @@ def failure_label(
     haloed = with_halo(df, back=window, ahead=window, step=step, block_rows=block_rows)
     lowest = column_name(health, "min", window)
     seen = rolling_columns(haloed, [health], (window,), ("min",), need=1)
-    whole = Window.partitionBy(KEY, BLOCK)
-    ahead = seen.select(
+    whole = f"OVER (PARTITION BY {KEY}, {BLOCK})"
+    ahead = seen.selectExpr(
         "*",
-        F.lead(lowest, window).over(forward()).alias("__next"),
-        F.max_by(lowest, POS).over(whole).alias("__last"),
-        F.count("*").over(whole).alias("__rows"),
+        f"lead({lowest}, {window}) {forward()} AS __next",
+        f"max_by({lowest}, {POS}) {whole} AS __last",
+        f"count(*) {whole} AS __rows",
     )
-    decisive = F.coalesce("__next", F.when(F.col("__rows") > window, F.col("__last")))
-    label = F.coalesce((decisive < F.lit(level)).cast("int"), F.lit(0))
-    return without_blocks(home_rows(ahead.withColumn("failure_label", label))).drop(lowest)
+    decisive = f"coalesce(__next, CASE WHEN __rows > {window} THEN __last END)"
+    label = f"coalesce(CAST({decisive} < {num(level)} AS INT), 0)"
+    return without_blocks(home_rows(add(ahead, {"failure_label": label}))).drop(lowest)
 
 
 def expected_oil(
@@ -142,17 +141,17 @@ def expected_oil(
     factoring out 0.85^i turns the sum into one running window.
     """
     haloed = with_halo(df, back=SMOOTHING_REACH, step=step, block_rows=block_rows)
-    x = d.oil_rise(rated_kva)
-    offset = (F.col(POS) - F.min(POS).over(to_date_rows(forward()))).alias("__i")
-    staged = haloed.select("*", x.alias("__x"), offset)
-    grow = F.pow(F.lit(1.0 / SMOOTHING), F.col("__i"))
-    weight = F.when(F.col("__i") == 0, F.lit(1.0)).otherwise(F.lit(1.0 - SMOOTHING))
-    summed = F.sum(weight * grow * F.col("__x")).over(to_date_rows(forward()))
-    smoothed = staged.withColumn("expected_oil_temp", summed / grow)
+    staged = haloed.selectExpr(
+        "*",
+        f"{d.oil_rise(rated_kva)} AS __x",
+        f"{POS} - min({POS}) {forward(TO_DATE)} AS __i",
+    )
+    grow = f"pow({num(1 / SMOOTHING)}, __i)"
+    weight = f"if(__i = 0, 1D, {num(1 - SMOOTHING)})"
+    summed = f"sum({weight} * {grow} * __x) {forward(TO_DATE)}"
+    smoothed = staged.selectExpr("*", f"{summed} / {grow} AS expected_oil_temp")
     return without_blocks(
-        home_rows(smoothed).withColumn(
-            "oil_residual", F.col("top_oil_temp") - F.col("expected_oil_temp")
-        )
+        home_rows(add(smoothed, {"oil_residual": "top_oil_temp - expected_oil_temp"}))
     )
 
 
@@ -164,19 +163,16 @@ def density_blocks(df: DataFrame, target_rows: int = 200_000) -> DataFrame:
     """
     facts = df.groupBy(KEY).agg(
         F.count("*").alias("__c"),
-        F.min(seconds(TIME)).alias("__from"),
-        F.max(seconds(TIME)).alias("__to"),
-    )
-    width = F.greatest(
-        F.lit(1),
-        F.floor((F.col("__to") - F.col("__from") + 1) * (F.lit(float(target_rows)) / F.col("__c"))),
+        F.expr(f"min({seconds()})").alias("__from"),
+        F.expr(f"max({seconds()})").alias("__to"),
     )
-    sized = facts.select(KEY, width.cast("bigint").alias("__width"))
-    return (
-        attach(df, sized)
-        .withColumn(BLOCK, F.floor(seconds(TIME) / F.col("__width")).cast("bigint"))
-        .drop("__width")
+    sized = facts.selectExpr(
+        KEY,
+        f"greatest(1, CAST(floor((__to - __from + 1) * ({num(target_rows)} / __c)) AS BIGINT)) "
+        "AS __width",
     )
+    placed = attach(df, sized)
+    return add(placed, {BLOCK: f"CAST(floor({seconds()} / __width) AS BIGINT)"}).drop("__width")
 
 
 def fault_episodes(
@@ -191,46 +187,51 @@ def fault_episodes(
     block can continue elsewhere; a running count over one summary row per
     block numbers these chains, and a final aggregation joins their pieces.
     """
-    order = [TIME, TIE] if TIE in df.columns else [TIME]
-    slim = df.select(KEY, *order, F.coalesce(column, F.lit(normal)).alias("kind"))
+    order = ", ".join(c for c in (TIME, TIE) if c in df.columns)
+    slim = df.selectExpr(KEY, *order.split(", "), f"coalesce(`{column}`, '{normal}') AS kind")
     placed = density_blocks(slim, target_rows).repartition(KEY, BLOCK)
-    spec = Window.partitionBy(KEY, BLOCK).orderBy(*order)
-    changed = F.lag("kind").over(spec).isNull() | (F.lag("kind").over(spec) != F.col("kind"))
-    marked = placed.withColumn("__new", changed.cast("int"))
-    numbered = marked.withColumn("__run", F.sum("__new").over(to_date_rows(spec)))
+    spec = over((KEY, BLOCK), order)
+    marked = placed.selectExpr(
+        "*", f"CAST(NOT (lag(kind) {spec} <=> kind) AS INT) AS __new"
+    )
+    numbered = marked.selectExpr(
+        "*", f"sum(__new) {over((KEY, BLOCK), order, TO_DATE)} AS __run"
+    )
     runs = numbered.groupBy(KEY, BLOCK, "__run", "kind").agg(
         F.min(TIME).alias("start_ts"), F.max(TIME).alias("end_ts"), F.count("*").alias("n_rows")
     )
 
-    rank = F.struct(*order)
     summary = placed.groupBy(KEY, BLOCK).agg(
-        F.min_by("kind", rank).alias("__first"),
-        F.max_by("kind", rank).alias("__lastk"),
-        (F.min("kind") == F.max("kind")).alias("__single"),
+        F.expr(f"min_by(kind, struct({order})) AS __first"),
+        F.expr(f"max_by(kind, struct({order})) AS __final"),
+        F.expr("CAST(min(kind) <> max(kind) AS INT) AS __mixed"),
     )
-    by_block = Window.partitionBy(KEY).orderBy(BLOCK)
-    continues = F.coalesce(F.lag("__lastk").over(by_block) == F.col("__first"), F.lit(False))
-    summary = summary.withColumn("__fresh", (~continues).cast("int"))
-    upto = F.sum(F.col("__fresh") + (~F.col("__single")).cast("int")).over(to_date_rows(by_block))
-    chains = summary.select(
-        KEY,
-        BLOCK,
-        upto.alias("__tail_chain"),
-        (upto - (~F.col("__single")).cast("int")).alias("__head_chain"),
+    by_block = over((KEY,), BLOCK)
+    fresh = summary.selectExpr(
+        "*", f"CAST(NOT (lag(__final) {by_block} <=> __first) AS INT) AS __fresh"
     )
-
-    last_run = F.max("__run").over(Window.partitionBy(KEY, BLOCK))
-    edges = runs.withColumn("__top", last_run).join(chains, [KEY, BLOCK])
-    chain = F.when(F.col("__run") == 1, F.col("__head_chain")).when(
-        F.col("__run") == F.col("__top"), F.col("__tail_chain")
+    chains = fresh.selectExpr(
+        KEY, BLOCK, "__mixed", f"sum(__fresh + __mixed) {over((KEY,), BLOCK, TO_DATE)} AS __chain"
     )
-    inner = F.when(chain.isNull(), F.struct(BLOCK, "__run"))
-    pieces = edges.filter(F.col("kind") != normal).select(
-        KEY, "kind", chain.alias("__chain"), inner.alias("__inner"), "start_ts", "end_ts", "n_rows"
+
+    placed_runs = runs.selectExpr(
+        "*", f"max(__run) OVER (PARTITION BY {KEY}, {BLOCK}) AS __top"
+    ).join(chains, [KEY, BLOCK])
+    pieces = placed_runs.filter(f"kind <> '{normal}'").selectExpr(
+        KEY,
+        "kind",
+        # A block's first run belongs to the chain its summary row opened or
+        # continued, its last run to the chain it left open; others stand alone.
+        "CASE WHEN __run = 1 THEN __chain - __mixed WHEN __run = __top THEN __chain END AS __link",
+        f"CASE WHEN __run > 1 AND __run < __top THEN {BLOCK} END AS __alone",
+        "CASE WHEN __run > 1 AND __run < __top THEN __run END AS __which",
+        "start_ts",
+        "end_ts",
+        "n_rows",
     )
-    merged = pieces.groupBy(KEY, "kind", "__chain", "__inner").agg(
+    merged = pieces.groupBy(KEY, "kind", "__link", "__alone", "__which").agg(
         F.min("start_ts").alias("start_ts"),
         F.max("end_ts").alias("end_ts"),
         F.sum("n_rows").alias("n_rows"),
     )
-    return merged.select(KEY, F.col("kind").alias(column), "start_ts", "end_ts", "n_rows")
+    return merged.selectExpr(KEY, f"kind AS `{column}`", "start_ts", "end_ts", "n_rows")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmwatch.config import (
@@ -21,67 +21,62 @@ from ohmwatch.config import (
     TIME,
 )
 from ohmwatch.functions import diagnostics as d
-from ohmwatch.functions.axis import BLOCK, POS, with_blocks, without_blocks
-from ohmwatch.operators.blocks import (
-    HOME,
+from ohmwatch.functions.axis import (
+    BLOCK,
+    POS,
+    TO_DATE,
     backward,
     forward,
-    home_rows,
-    prefix_over_blocks,
-    to_date_rows,
-    with_halo,
+    with_blocks,
+    without_blocks,
 )
-from ohmwatch.operators.rolling import column_name, min_rows, rolling_columns
+from ohmwatch.functions.guards import add, aliased
+from ohmwatch.operators.blocks import HOME, home_rows, prefix_over_blocks, with_halo
+from ohmwatch.operators.rolling import STATS, column_name, min_rows, rolling_columns
 from ohmwatch.operators.sequences import change_columns
 
-STATS = ("mean", "std", "max")
-
 
 def gas_diagnostics(df: DataFrame) -> DataFrame:
     """Duval shares, zone and code, Rogers ratios and code."""
-    shares = df.withColumns(d.duval_percentages() | d.rogers_ratios())
-    zone = d.duval_zone(*[F.col(f"duval_pct_{g}") for g in ("CH4", "C2H4", "H2")])
-    return shares.withColumns(
-        {
-            "duval_zone": zone,
-            "duval_zone_code": d.duval_code(zone),
-            "rogers_code": d.rogers_code(F.col("rogers_R1"), F.col("rogers_R3")),
-        }
-    )
+    shares = add(df, d.duval_percentages() | d.rogers_ratios())
+    zoned = add(shares, {"duval_zone": d.duval_zone(), "rogers_code": d.rogers_code()})
+    return add(zoned, {"duval_zone_code": d.duval_code()})
 
 
-def thermal_features(df: DataFrame, rated_kva: float = RATED_KVA) -> DataFrame:
+def thermal_columns(columns: list[str], rated_kva: float = RATED_KVA) -> dict[str, str]:
     """Load ratio, gradients and ageing rate, as far as the inputs are there."""
-    has = set(df.columns).issuperset
-    out = {}
-    if has({"load_kva"}):
-        out["load_ratio"] = d.load_ratio(rated_kva)
-    if has({"top_oil_temp", "ambient_temp"}):
-        out["temp_gradient"] = d.temp_gradient()
-    if has({"hot_spot_temp", "top_oil_temp"}):
-        out["hot_spot_gradient"] = d.hot_spot_gradient()
-    if has({"hot_spot_temp"}):
-        out["aging_factor"] = d.aging_factor()
-    return df.withColumns(out) if out else df
+    needs = {
+        "load_ratio": ({"load_kva"}, d.load_ratio(rated_kva)),
+        "temp_gradient": ({"top_oil_temp", "ambient_temp"}, d.TEMP_GRADIENT),
+        "hot_spot_gradient": ({"hot_spot_temp", "top_oil_temp"}, d.HOT_SPOT_GRADIENT),
+        "aging_factor": ({"hot_spot_temp"}, d.aging_factor()),
+    }
+    return {n: text for n, (inputs, text) in needs.items() if inputs <= set(columns)}
+
+
+def thermal_features(df: DataFrame, rated_kva: float = RATED_KVA) -> DataFrame:
+    return add(df, thermal_columns(df.columns, rated_kva))
 
 
 def time_features(df: DataFrame) -> DataFrame:
-    return df.withColumns(d.cyclic_time(TIME)) if TIME in df.columns else df
+    return add(df, d.cyclic_time(TIME)) if TIME in df.columns else df
 
 
-def gas_totals(df: DataFrame) -> DataFrame:
-    present = tuple(g for g in GASES if g in df.columns)
-    if not present:
-        return df
-    out = {"TDCG": d.tdcg(present)}
+def gas_total_columns(columns: list[str]) -> dict[str, str]:
+    present = tuple(g for g in GASES if g in columns)
+    out = {"TDCG": d.tdcg(present)} if present else {}
     if {"H2", "CH4"} <= set(present):
         out["H2_CH4_ratio"] = d.ratio("H2", "CH4")
     if {"CO", "H2"} <= set(present):
         out["CO_H2_ratio"] = d.ratio("CO", "H2")
-    return df.withColumns(out)
+    return out
 
 
-def cumulative_values(df: DataFrame, rated_kva: float) -> dict[str, Column]:
+def gas_totals(df: DataFrame) -> DataFrame:
+    return add(df, gas_total_columns(df.columns))
+
+
+def cumulative_values(df: DataFrame, rated_kva: float) -> dict[str, str]:
     out = {}
     if "load_kva" in df.columns:
         out["cumulative_overload"] = d.overload(rated_kva)
@@ -116,40 +111,33 @@ def build_features(
     moving = rolling_columns(haloed, rolled, windows, STATS)
     changes = change_columns(changing, periods)
     totals = cumulative_values(base, rated_kva)
-    up = to_date_rows(forward())
-    running = {f"__run_{n}": F.sum(F.when(F.col(HOME), v)).over(up) for n, v in totals.items()}
-    moving = moving.select(
-        "*", *[c.alias(n) for n, c in changes.items()], *[c.alias(n) for n, c in running.items()]
-    )
+    running = {
+        f"__run_{n}": f"sum(CASE WHEN {HOME} THEN {v} END) {forward(TO_DATE)}"
+        for n, v in totals.items()
+    }
+    moving = moving.selectExpr("*", *aliased(changes | running))
     if fill:
         gappy = [column_name(c, s, w) for w in windows for c in rolled for s in STATS] + list(changes)
-        down = to_date_rows(backward())
-        kept = [c for c in moving.columns if c not in set(gappy)]
-        moving = moving.select(
-            *kept,
-            *[F.coalesce(c, F.last(c, ignorenulls=True).over(down)).alias(c) for c in gappy],
+        moving = add(
+            moving, {c: f"coalesce(`{c}`, last(`{c}`, true) {backward(TO_DATE)})" for c in gappy}
         )
     home = home_rows(moving)
+    sums = {}
     if totals:
-        sums = [f"__t_{n}" for n in totals]
         per_block = (
             with_blocks(base, step, block_rows)
             .groupBy(KEY, BLOCK)
-            .agg(*[F.sum(F.coalesce(v, F.lit(0.0))).alias(s) for s, v in zip(sums, totals.values())])
-        )
-        before = prefix_over_blocks(per_block, [KEY], BLOCK, sums)
-        home = home.join(before, [KEY, BLOCK]).withColumns(
-            {
-                n: F.when(
-                    v.isNotNull(), F.col(f"__run_{n}") + F.col(f"__t_{n}__before")
-                )
-                for n, v in totals.items()
-            }
+            .agg(*[F.expr(f"sum({v}) AS __t_{n}") for n, v in totals.items()])
         )
-    wide = without_blocks(home)
-    for part in (gas_diagnostics, lambda x: thermal_features(x, rated_kva), time_features, gas_totals):
-        wide = part(wide)
-    return wide
+        before = prefix_over_blocks(per_block, (KEY,), BLOCK, [f"__t_{n}" for n in totals])
+        home = home.join(before, [KEY, BLOCK])
+        sums = {
+            n: f"CASE WHEN ({v}) IS NOT NULL THEN __run_{n} + __t_{n}__before END"
+            for n, v in totals.items()
+        }
+    local = sums | thermal_columns(base.columns, rated_kva) | gas_total_columns(base.columns)
+    wide = without_blocks(add(home, local | d.cyclic_time(TIME)))
+    return gas_diagnostics(wide)
 
 
 def feature_columns(df: DataFrame, exclude_targets: bool = True) -> list[str]:
