@@ -31,7 +31,7 @@ def ratio(top: str, bottom: str) -> str:
 
 def duval_percentages() -> dict[str, str]:
     """Shares of CH4, C2H4 and H2 in their sum; H2 stands in for acetylene."""
-    total = f"CH4 + C2H4 + ({clip('H2', low=0)})"
+    total = f"CH4 + C2H4 + ({clip('H2', 'H2', low=0)})"
     return {
         f"duval_pct_{gas}": f"100D * {gas} / ({total} + {num(EPS)})"
         for gas in ("CH4", "C2H4", "H2")
@@ -79,12 +79,12 @@ def load_ratio(rated_kva: float = RATED_KVA) -> str:
 
 
 def overload(rated_kva: float = RATED_KVA) -> str:
-    return clip(f"{load_ratio(rated_kva)} - 1D", low=0)
+    return clip(f"{load_ratio(rated_kva)} - 1D", "load_kva", low=0)
 
 
 def aging_factor() -> str:
     """Relative ageing rate of the insulation, 1 at 98 degrees, at most 50."""
-    return clip("exp((hot_spot_temp - 98D) / 6D)", high=50)
+    return clip("exp((hot_spot_temp - 98D) / 6D)", "hot_spot_temp", high=50)
 
 
 TEMP_GRADIENT = "top_oil_temp - ambient_temp"
@@ -119,14 +119,14 @@ def tdcg_level(total: str) -> str:
 def health_index() -> str:
     """Weighted score 0-100 of eight sensors; any missing sensor gives missing."""
     parts = [
-        f"{num(weight)} * ({clip(f'1D - ({name} - {num(level)}) / {num(span)}', 0, 1)})"
+        f"{num(weight)} * least(greatest(1D - ({name} - {num(level)}) / {num(span)}, 0D), 1D)"
         for name, (weight, level, span) in HEALTH_WEIGHTS.items()
     ]
-    return clip(f"100D * ({' + '.join(parts)})", 0, 100)
+    return clip(f"100D * ({' + '.join(parts)})", list(HEALTH_WEIGHTS), 0, 100)
 
 
 def _loaded(rated_kva: float) -> str:
-    return f"({clip(load_ratio(rated_kva), low=0)})"
+    return f"({clip(load_ratio(rated_kva), 'load_kva', low=0)})"
 
 
 def oil_rise(rated_kva: float = RATED_KVA) -> str:
@@ -139,7 +139,7 @@ def expected_hot_spot(rated_kva: float = RATED_KVA) -> str:
 
 
 def health_score(probability: str = "failure_proba") -> str:
-    return clip(f"(1D - {probability}) * 100D", 0, 100)
+    return clip(f"(1D - {probability}) * 100D", probability, 0, 100)
 
 
 def risk_level(score: str = "health_score") -> str:

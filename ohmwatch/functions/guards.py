@@ -15,14 +15,19 @@ def num(value: float) -> str:
     return f"{float(value)!r}D"
 
 
-def clip(value: str, low: float | None = None, high: float | None = None) -> str:
-    """Bound a value; a missing value stays missing (least/greatest skip NULL)."""
+def clip(value: str, inputs: str | list[str], low=None, high=None) -> str:
+    """Bound a value; missing where one of its ``inputs`` is missing.
+
+    ``least`` and ``greatest`` skip NULL, so the input columns are asked instead.
+    """
     out = value
     if low is not None:
         out = f"greatest({out}, {num(low)})"
     if high is not None:
         out = f"least({out}, {num(high)})"
-    return f"CASE WHEN ({value}) IS NOT NULL THEN {out} END"
+    needed = [inputs] if isinstance(inputs, str) else inputs
+    present = " AND ".join(f"{c} IS NOT NULL" for c in needed)
+    return f"CASE WHEN {present} THEN {out} END"
 
 
 def sum_present(columns: list[str]) -> str:

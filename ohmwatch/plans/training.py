@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ohmwatch.config import LABEL_WINDOW
+from ohmwatch.config import LABEL_LEVEL, LABEL_WINDOW
 from ohmwatch.functions import diagnostics as d
 from ohmwatch.functions.guards import add
 from ohmwatch.learning.models import TrainingSettings, train_classifiers, train_forecasts
@@ -14,14 +14,19 @@ from ohmwatch.plans.prepare import prepare
 from ohmwatch.sources import store
 
 
-def labelled_features(series: DataFrame, label_window: int = LABEL_WINDOW, **feature_args) -> DataFrame:
+def labelled_features(
+    series: DataFrame,
+    label_window: int = LABEL_WINDOW,
+    label_level: float = LABEL_LEVEL,
+    **feature_args,
+) -> DataFrame:
     """Feature table with health index and look-ahead label, computed after cleaning.
 
     No back-fill: early rows without a full window stay incomplete and are left
     out of training, so nothing later leaks into them.
     """
     rated = add(series, {"health_index": d.health_index()})
-    marked = failure_label(rated, label_window)
+    marked = failure_label(rated, label_window, label_level)
     return build_features(marked, **({"fill": False} | feature_args))
 
 
@@ -30,6 +35,7 @@ def run_training(
     folder: str,
     settings: TrainingSettings | None = None,
     label_window: int = LABEL_WINDOW,
+    label_level: float = LABEL_LEVEL,
     **feature_args,
 ) -> dict[str, DataFrame]:
     """Prepare, build features, fit all models, keep models and metrics in ``folder``.
@@ -42,7 +48,7 @@ def run_training(
     settings = settings or TrainingSettings()
     prepare(readings).write.mode("overwrite").parquet(f"{folder}/series")
     series = spark.read.parquet(f"{folder}/series")
-    labelled_features(series, label_window, **feature_args).write.mode("overwrite").parquet(
+    labelled_features(series, label_window, label_level, **feature_args).write.mode("overwrite").parquet(
         f"{folder}/features"
     )
     features = spark.read.parquet(f"{folder}/features")
