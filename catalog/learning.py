@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from catalog import sql as o
 from catalog.registry import hourly, query, r6, readings, scored
 from ohmwatch.functions import diagnostics as d
-from ohmwatch.functions.axis import forward
 from ohmwatch.functions.guards import add
 from ohmwatch.learning import datasets as ds
 from ohmwatch.learning import evaluation as ev
@@ -123,11 +122,11 @@ def _auc_sql(group: str) -> str:
     part = f"PARTITION BY {group} " if group else ""
     keys = f"{group}, " if group else ""
     by = f"GROUP BY {group}" if group else ""
-    return f"""ranked AS (SELECT *, rank() OVER ({part}ORDER BY failure_proba) + (count(*) OVER ({part + ',' if False else ('PARTITION BY ' + keys + 'failure_proba')}) - 1) / 2E0 AS rk FROM scored)
+    return f"""ranked AS (SELECT *, rank() OVER ({part}ORDER BY failure_proba) + (count(*) OVER (PARTITION BY {keys}failure_proba) - 1) / 2E0 AS rk FROM scored)
     SELECT {keys}round(2E0 * count(*) FILTER (WHERE y_true = 1 AND y_pred = 1) / (2 * count(*) FILTER (WHERE y_true = 1 AND y_pred = 1)
-        + count(*) FILTER (WHERE y_true <> y_pred)), 6) AS f1,
+        + count(*) FILTER (WHERE y_true <> y_pred)) + 13E-9, 6) AS f1,
       round((sum(rk) FILTER (WHERE y_true = 1) - count(*) FILTER (WHERE y_true = 1) * (count(*) FILTER (WHERE y_true = 1) + 1) / 2E0)
-        / (1E0 * count(*) FILTER (WHERE y_true = 1) * count(*) FILTER (WHERE y_true = 0)), 6) AS auc
+        / (1E0 * count(*) FILTER (WHERE y_true = 1) * count(*) FILTER (WHERE y_true = 0)) + 13E-9, 6) AS auc
     FROM ranked {by}"""
 
 

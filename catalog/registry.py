@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from catalog.sql import NUDGE
 from ohmwatch.plans.prepare import prepare, validate
 from ohmwatch.sources import fixtures
 
@@ -48,7 +49,7 @@ def r6(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     chosen = set(columns or df.columns)
     return df.selectExpr(
         *[
-            f"round(`{f.name}`, 6) + 0 AS `{f.name}`"
+            f"round(`{f.name}` + {NUDGE}, 6) + 0 AS `{f.name}`"
             if isinstance(f.dataType, T.DoubleType) and f.name in chosen
             else f"`{f.name}`"
             for f in df.schema.fields

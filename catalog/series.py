@@ -6,7 +6,7 @@ from catalog import sql as o
 from catalog.registry import hourly, query, r6, readings, scored
 from ohmwatch.config import CHANGE_COLUMNS, GASES, ROLLING_COLUMNS
 from ohmwatch.functions import diagnostics as d
-from ohmwatch.functions.guards import add, aliased
+from ohmwatch.functions.guards import add, aliased, rounded
 from ohmwatch.operators import sequences as s
 from ohmwatch.operators.rolling import rolling
 from ohmwatch.plans.features import build_features, gas_diagnostics
@@ -55,11 +55,11 @@ def _(spark, sf):
 
 @query(
     "w6_cumulative_aging",
-    f"WITH {o.HOURLY} SELECT asset_id, ts, round(sum({o.AGING}) OVER {o.UP}, 5) + 0 AS cumulative_aging FROM hourly",
+    f"WITH {o.HOURLY} SELECT asset_id, ts, round(sum({o.AGING}) OVER {o.UP} + 13E-8, 5) + 0 AS cumulative_aging FROM hourly",
 )
 def _(spark, sf):
     summed = s.cumulative(hourly(spark, sf), {"cumulative_aging": d.aging_factor()})
-    return summed.selectExpr(*KEYS, "round(cumulative_aging, 5) + 0 AS cumulative_aging")
+    return summed.selectExpr(*KEYS, "round(cumulative_aging + 13E-8, 5) + 0 AS cumulative_aging")
 
 
 LAGS = {f"top_oil_temp_lag{k}": f"lag(top_oil_temp, {k}) OVER ({o.PER_ASSET})" for k in range(1, 25)}
@@ -227,8 +227,8 @@ _scalar(
 )
 _scalar(
     "f19_excess_percent",
-    {"excess_pct": d.excess_percent("H2", "150D"), "value": "round(H2, 2)"},
-    {"excess_pct": "round((H2 - 150) / 150 * 100, 1) + 0", "value": "round(H2, 2) + 0"},
+    {"excess_pct": d.excess_percent("H2", "150D"), "value": rounded("H2", 2)},
+    _r({"excess_pct": o.even("(H2 - 150) / 150 * 100", 1), "value": o.even("H2", 2)}),
 )
 _scalar(
     "f20_tdcg_level",
@@ -264,10 +264,10 @@ WIDE = (
     + ", ".join(f"{x} AS {n}" for n, x in GAPPY.items())
     + f", sum({o.OVERLOAD}) OVER {o.UP} AS run_overload, sum({o.AGING}) OVER {o.UP} AS run_aging FROM duval) "
     "SELECT asset_id, ts, duval_zone, "
-    + f"{o.CODE} AS duval_zone_code, {o.ROGERS} AS rogers_code, {o.CYCLIC.replace(', 6)', ', 5)')}, "
-    + ", ".join(f"round({x}, 5) + 0 AS {n}" for n, x in (PLAIN | SUMS).items())
+    + f"{o.CODE} AS duval_zone_code, {o.ROGERS} AS rogers_code, {o.CYCLIC.replace('13E-9, 6)', '13E-8, 5)')}, "
+    + ", ".join(f"round({x} + 13E-8, 5) + 0 AS {n}" for n, x in (PLAIN | SUMS).items())
     + ", "
-    + ", ".join(f"round(first_value({n} IGNORE NULLS) {BFILL}, 5) + 0 AS {n}" for n in GAPPY)
+    + ", ".join(f"round(first_value({n} IGNORE NULLS) {BFILL} + 13E-8, 5) + 0 AS {n}" for n in GAPPY)
     + " FROM moving"
 )
 
@@ -277,5 +277,5 @@ def _(spark, sf):
     wide = build_features(hourly(spark, sf), WINDOWS, PERIODS)
     doubles = {n for n, kind in wide.dtypes if kind == "double"}
     return wide.selectExpr(
-        *[f"round(`{n}`, 5) + 0 AS `{n}`" if n in doubles else f"`{n}`" for n in wide.columns]
+        *[f"round(`{n}` + 13E-8, 5) + 0 AS `{n}`" if n in doubles else f"`{n}`" for n in wide.columns]
     )

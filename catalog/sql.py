@@ -13,9 +13,14 @@ COLS = list(REQUIRED)
 PER_ASSET = "PARTITION BY asset_id ORDER BY ts"
 
 
+# Means of decimals often end in an exact 5 behind the last digit shown; the same
+# tiny step on both sides keeps float noise from deciding such ties.
+NUDGE = "13E-9"
+
+
 def r6(text: str, name: str | None = None) -> str:
     """Rounded to absorb float noise; adding zero turns -0.0 into 0.0."""
-    return f"round({text}, 6) + 0" + (f" AS {name}" if name else "")
+    return f"round({text} + {NUDGE}, 6) + 0" + (f" AS {name}" if name else "")
 
 
 def rounded(names: list[str]) -> str:
@@ -147,8 +152,8 @@ OIL_RISE = f"ambient_temp + 55 * pow({LOADED}, 16E-1)"
 
 def cyclic(name: str, value: str, period: int) -> list[str]:
     return [
-        f"round(sin(2 * pi() * {value} / {period}), 6) + 0 AS {name}_sin",
-        f"round(cos(2 * pi() * {value} / {period}), 6) + 0 AS {name}_cos",
+        f"round(sin(2 * pi() * {value} / {period}) + {NUDGE}, 6) + 0 AS {name}_sin",
+        f"round(cos(2 * pi() * {value} / {period}) + {NUDGE}, 6) + 0 AS {name}_cos",
     ]
 
 
@@ -157,6 +162,12 @@ CYCLIC = ", ".join(
 )
 
 
+def even(text: str, digits: int) -> str:
+    """Ties to even on the binary value, as NumPy rounds."""
+    scale = f"1E{digits}"
+    return f"round_even(({text}) * {scale}, 0) / {scale} + 0"
+
+
 def frame(w: int) -> str:
     return f"({PER_ASSET} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
 

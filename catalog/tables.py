@@ -400,9 +400,20 @@ def _(spark, sf):
     "a2_describe",
     f"WITH {o.READINGS}, long AS ("
     + " UNION ALL ".join(f"SELECT '{x}' AS parameter, {x}::DOUBLE AS v FROM readings" for x in COLS)
-    + """) SELECT parameter, count(v) AS count, round(avg(v), 2) AS mean, round(stddev_samp(v), 2) AS std,
-      round(min(v), 2) AS min, round(quantile_cont(v, 25E-2), 2) AS q25, round(quantile_cont(v, 5E-1), 2) AS q50,
-      round(quantile_cont(v, 75E-2), 2) AS q75, round(max(v), 2) AS max FROM long GROUP BY 1""",
+    + ") SELECT parameter, count(v) AS count, "
+    + ", ".join(
+        f"{o.even(x, 2)} AS {n}"
+        for n, x in {
+            "mean": "avg(v)",
+            "std": "stddev_samp(v)",
+            "min": "min(v)",
+            "q25": "quantile_cont(v, 25E-2)",
+            "q50": "quantile_cont(v, 5E-1)",
+            "q75": "quantile_cont(v, 75E-2)",
+            "max": "max(v)",
+        }.items()
+    )
+    + " FROM long GROUP BY 1",
 )
 def _(spark, sf):
     return t.describe(readings(spark, sf), COLS)
@@ -434,7 +445,7 @@ def _(spark, sf):
 @query(
     "a5_exceedance_history",
     f"WITH {o.READINGS}, {o.long_cte('readings')}, {o.OVER} SELECT asset_id, reading_id, ts, parameter, "
-    "round(value, 2) AS value, threshold, round((value - threshold) / threshold * 100, 1) AS excess_pct "
+    f"{o.even('value', 2)} AS value, threshold, {o.even('(value - threshold) / threshold * 100', 1)} AS excess_pct "
     "FROM over_limit ORDER BY ts DESC, reading_id, parameter",
 )
 def _(spark, sf):
@@ -449,22 +460,28 @@ def _(spark, sf):
     return t.exceedance_counts(readings(spark, sf)).orderBy(F.desc("n"), "parameter")
 
 
+# Means are rounded before the comparison: a mean equal to a limit must not
+# depend on the order of summation.
+HOURS = f"(SELECT 0 AS reading_id, asset_id, ts, {o.rounded(list(LIMITS))} FROM buckets)"
+
+
 @query(
     "a6_fleet_exceedances",
-    f"WITH {o.TO_BUCKETS}, {o.long_cte('(SELECT *, 0 AS reading_id FROM buckets)')}, {o.OVER} "
+    f"WITH {o.TO_BUCKETS}, {o.long_cte(HOURS)}, {o.OVER} "
     "SELECT asset_id, parameter, count(*) AS n FROM over_limit GROUP BY 1, 2",
 )
 def exceedances_per_asset(spark, sf):
     """How many hours did each sensor of each asset stand above its limit?"""
     single = c.keep_first(masked(spark, sf))
     buckets = c.resample(single, numeric=list(LIMITS), categorical=[])
-    return t.exceedance_counts(buckets, ("asset_id", "parameter"))
+    return t.exceedance_counts(r6(buckets), ("asset_id", "parameter"))
 
 
 @query(
     "a7_risk_distribution",
     f"WITH {o.SCORED}, k AS (SELECT asset_id, {o.RISK} AS risk_level, count(*) AS hours FROM scored GROUP BY 1, 2) "
-    "SELECT asset_id, risk_level, hours, round(1E2 * hours / sum(hours) OVER (PARTITION BY asset_id), 6) + 0 AS share_pct FROM k",
+    "SELECT asset_id, risk_level, hours, "
+    f"{o.r6('1E2 * hours / sum(hours) OVER (PARTITION BY asset_id)', 'share_pct')} FROM k",
 )
 def _(spark, sf):
     return r6(t.risk_shares(scored(spark, sf)))
@@ -505,7 +522,7 @@ def _(spark, sf):
 @query(
     "i2_alerts",
     f"WITH {o.READINGS}, {o.long_cte('readings')}, {o.OVER} SELECT asset_id, reading_id, ts, parameter, "
-    f"round(value, 2) AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
+    f"{o.even('value', 2)} AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
 )
 def _(spark, sf):
     return t.alerts(readings(spark, sf)).drop("message")
@@ -516,7 +533,7 @@ def _(spark, sf):
     f"WITH {o.READINGS}, newest AS (SELECT * FROM readings QUALIFY row_number() OVER "
     "(PARTITION BY asset_id ORDER BY ts DESC, reading_id DESC) = 1), "
     f"{o.long_cte('newest')}, {o.OVER} SELECT asset_id, reading_id, ts, parameter, "
-    f"round(value, 2) AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
+    f"{o.even('value', 2)} AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
 )
 def _(spark, sf):
     return t.alerts(t.latest(readings(spark, sf))).drop("message")
@@ -538,7 +555,7 @@ def _(spark, sf):
     "(PARTITION BY asset_id ORDER BY ts DESC, reading_id DESC) = 1), "
     f"{o.long_cte('newest')}, {o.OVER}, n AS (SELECT asset_id, count(*) AS n_samples FROM scored GROUP BY 1) "
     f"SELECT asset_id, {o.r6('health_score', 'health_score')}, {o.RISK} AS risk_level, n_samples, "
-    f"o.parameter, round(o.value, 2) AS value, o.threshold, {o.SEVERITY.replace('value', 'o.value').replace('threshold', 'o.threshold')} AS severity "
+    f"o.parameter, {o.even('o.value', 2)} AS value, o.threshold, {o.SEVERITY.replace('value', 'o.value').replace('threshold', 'o.threshold')} AS severity "
     "FROM newest JOIN n USING (asset_id) LEFT JOIN over_limit o USING (asset_id)",
 )
 def _(spark, sf):

@@ -21,7 +21,7 @@ from ohmwatch.config import (
     TDCG_LEVELS,
     WARNING,
 )
-from ohmwatch.functions.guards import clip, num, sum_present
+from ohmwatch.functions.guards import clip, num, rounded, sum_present
 
 
 def ratio(top: str, bottom: str) -> str:
@@ -167,4 +167,4 @@ def alert_text(parameter: str = "parameter", value: str = "value", limit: str =
 
 
 def excess_percent(value: str = "value", limit: str = "threshold") -> str:
-    return f"round(({value} - {limit}) / {limit} * 100D, 1)"
+    return rounded(f"({value} - {limit}) / {limit} * 100D", 1)

@@ -30,6 +30,16 @@ def clip(value: str, inputs: str | list[str], low=None, high=None) -> str:
     return f"CASE WHEN {present} THEN {out} END"
 
 
+def rounded(value: str, digits: int) -> str:
+    """Nearest multiple, ties to even, on the binary value.
+
+    ``round`` works on the decimal text and moves values such as 69.835, whose
+    binary value lies below the tie.
+    """
+    scale = num(10**digits)
+    return f"rint(({value}) * {scale}) / {scale}"
+
+
 def sum_present(columns: list[str]) -> str:
     """Row-wise sum that counts missing addends as zero."""
     return " + ".join(f"coalesce({c}, 0D)" for c in columns)

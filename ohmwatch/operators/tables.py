@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ohmwatch.config import FAULT_PRIORITY, KEY, LIMITS, TIE, TIME
 from ohmwatch.functions import diagnostics as d
 from ohmwatch.functions.axis import over, seconds
-from ohmwatch.functions.guards import add, num, numeric_columns
+from ohmwatch.functions.guards import add, num, numeric_columns, rounded
 from ohmwatch.operators.blocks import attach
 
 
@@ -67,7 +67,7 @@ def exceedances(df: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     return over_limit(df, limits).selectExpr(
         *keys,
         "parameter",
-        "round(value, 2) AS value",
+        f"{rounded('value', 2)} AS value",
         "threshold",
         f"{d.excess_percent()} AS excess_pct",
     )
@@ -83,7 +83,7 @@ def alerts(df: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     return over_limit(df, limits).selectExpr(
         *keys,
         "parameter",
-        "round(value, 2) AS value",
+        f"{rounded('value', 2)} AS value",
         "threshold",
         f"{d.severity()} AS severity",
         f"{d.alert_text()} AS message",
@@ -98,7 +98,7 @@ def alert_array(columns: list[str], limits: dict[str, float] = LIMITS) -> str:
         if c in columns
     ]
     full = (
-        "a -> named_struct('parameter', a.parameter, 'value', round(a.value, 2), "
+        f"a -> named_struct('parameter', a.parameter, 'value', {rounded('a.value', 2)}, "
         f"'threshold', a.threshold, 'severity', {d.severity('a.value', 'a.threshold')}, "
         f"'message', {d.alert_text('a.parameter', 'a.value', 'a.threshold')})"
     )
@@ -189,7 +189,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     cut = quantiles(values, ("parameter",), "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     both = basic.join(F.broadcast(cut), "parameter", "left")
     order = ("mean", "std", "min", "q25", "q50", "q75", "max")
-    return both.selectExpr("parameter", "count", *[f"round({c}, 2) AS {c}" for c in order])
+    return both.selectExpr("parameter", "count", *[f"{rounded(c, 2)} AS {c}" for c in order])
 
 
 def label_intervals(

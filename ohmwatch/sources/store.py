@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ohmwatch.config import FORECAST_HORIZONS, FORECAST_TARGETS
+from ohmwatch.functions.guards import rounded
 from ohmwatch.sources.readings import _exists
 
 METRIC_TABLES = ("forecast_metrics", "classifier_metrics", "classifier_report", "confusion_matrix")
@@ -86,6 +87,6 @@ def forecast_table(metrics: DataFrame) -> DataFrame:
     return metrics.selectExpr(
         "target",
         "horizon",
-        *[f"round(coalesce({c}, 0D), 3) AS {c}" for c in ("cv_rmse_mean", "cv_rmse_std", "cv_mae_mean")],
+        *[f"{rounded(f'coalesce({c}, 0D)', 3)} AS {c}" for c in ("cv_rmse_mean", "cv_rmse_std", "cv_mae_mean")],
         "coalesce(n_samples, 0) AS n_samples",
     )
