@@ -110,5 +110,6 @@ DROPPED_COLUMNS = ("fault_type", "degradation_factor")
 # Rows of one asset that one task works on (plus halo): about a year of hours.
 BLOCK_ROWS = 8192
 # A side is broadcast only after its rows were counted and are not more than this.
-BROADCAST_ROWS = 100_000
-SALTS = 64
+BROADCAST_ROWS = 200_000
+# A key is hot when it holds more than this part of all rows; so many keys at most are.
+HOT_KEYS = 1000

@@ -5,7 +5,6 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -14,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.config import FORECAST_HORIZONS, FORECAST_TARGETS, N_LAGS, N_SPLITS
+from ohmwatch.config import FORECAST_HORIZONS, FORECAST_TARGETS, KEY, N_LAGS, N_SPLITS, TIME
 from ohmwatch.learning.datasets import (
     FUTURE,
     LABEL,
@@ -28,6 +27,7 @@ from ohmwatch.learning.evaluation import (
     confusion_counts,
     f1_and_auc,
     matrix_from_counts,
+    over_folds,
     regression_errors,
     report_from_counts,
 )
@@ -126,8 +126,11 @@ def model_inputs(model: PipelineModel) -> list[str]:
     return model.stages[0].getInputCols()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def _stored(df: DataFrame) -> DataFrame:
+    """Written once to the shared folder: every fit scans it, no executor holds it."""
+    path = run_dir(df.sparkSession, "fit")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _all(jobs, parallel: int) -> list:
@@ -139,24 +142,18 @@ def _all(jobs, parallel: int) -> list:
 
 
 def cross_validate_forecast(
-    dataset: DataFrame, inputs: list[str], settings: TrainingSettings
+    folded: DataFrame, inputs: list[str], settings: TrainingSettings
 ) -> DataFrame:
     """RMSE and MAE per fold, every fold trained on the rows before it."""
-    folded = _kept(fold_numbers(dataset, settings.n_splits))
 
     def one(k: int):
-        model = fit(
-            train_rows(folded, k, settings.gap), inputs, FUTURE, settings.forecaster, final=False
-        )
+        train = train_rows(folded, k, settings.gap)
+        model = fit(train, inputs, FUTURE, settings.forecaster, final=False)
         tested = model.transform(folded.filter(f"fold = {k}"))
         return regression_errors(tested, (), FUTURE, "prediction").withColumn("fold", F.lit(k))
 
-    folds = _all(
-        [lambda k=k: one(k) for k in range(1, settings.n_splits + 1)], settings.parallel_fits
-    )
-    table = _small(folds)
-    folded.unpersist()
-    return table
+    folds = range(1, settings.n_splits + 1)
+    return _small(_all([lambda k=k: one(k) for k in folds], settings.parallel_fits))
 
 
 def _small(parts: list[DataFrame]) -> DataFrame:
@@ -177,26 +174,21 @@ def train_forecasts(
         if target not in features.columns:
             continue
         for name, horizon in settings.horizons.items():
-            data = _kept(forecast_dataset(features, target, horizon, columns, settings.n_lags))
-            if not enough_rows(data, settings.n_splits):
-                data.unpersist()
+            data = forecast_dataset(features, target, horizon, columns, settings.n_lags)
+            inputs = [c for c in data.columns if c not in (FUTURE, KEY, TIME)]
+            folded = _stored(fold_numbers(data, settings.n_splits))
+            if not enough_rows(folded, settings.n_splits):
                 continue
-            inputs = [c for c in data.columns if c not in (FUTURE, "asset_id", "ts")]
-            folds = cross_validate_forecast(data, inputs, settings)
-            models[target, name] = fit(data, inputs, FUTURE, settings.forecaster)
+            folds = cross_validate_forecast(folded, inputs, settings)
+            models[target, name] = fit(folded, inputs, FUTURE, settings.forecaster)
             metrics.append(
-                folds.agg(
-                    F.avg("rmse").alias("cv_rmse_mean"),
-                    F.stddev_pop("rmse").alias("cv_rmse_std"),
-                    F.avg("mae").alias("cv_mae_mean"),
-                ).select(
+                over_folds(folds).select(
                     F.lit(target).alias("target"),
                     F.lit(name).alias("horizon"),
                     "*",
-                    F.lit(data.count()).alias("n_samples"),
+                    F.lit(folded.count()).alias("n_samples"),
                 )
             )
-            data.unpersist()
     return models, _small(metrics) if metrics else None
 
 
@@ -221,8 +213,8 @@ def train_classifiers(
     if LABEL not in features.columns:
         raise ValueError(f"label column '{LABEL}' is missing")
     data = classification_dataset(features, columns)
-    inputs = [c for c in data.columns if c not in (LABEL, "asset_id", "ts")]
-    folded = _kept(fold_numbers(data, settings.n_splits))
+    inputs = [c for c in data.columns if c not in (LABEL, KEY, TIME)]
+    folded = _stored(fold_numbers(data, settings.n_splits))
 
     def one(name: str, k: int):
         learner = settings.classifiers[name]
@@ -259,5 +251,4 @@ def train_classifiers(
     for name, learner in settings.classifiers.items():
         final = replace(learner, depth=settings.final_depth.get(name, learner.depth))
         models[name] = fit(folded, inputs, LABEL, final)
-    folded.unpersist()
     return ClassifierResult(models, inputs, metrics, report, matrix)

@@ -8,7 +8,7 @@ Three building blocks replace it:
 * ``running_totals`` / ``row_index``: total per block, running offset over the
   few block rows, running total inside the block;
 * ``attach``: bring one row per asset to all rows of that asset, broadcast
-  behind a row count, through a salted shuffle beyond it.
+  behind a row count, and beyond it broadcast for hot assets only.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.config import BLOCK_ROWS, BROADCAST_ROWS, HOUR, KEY, SALTS, TIE, TIME
+from ohmwatch.config import BLOCK_ROWS, BROADCAST_ROWS, HOT_KEYS, HOUR, KEY, TIE, TIME
 from ohmwatch.functions.axis import (
     BEFORE,
     BLOCK,
@@ -31,7 +31,6 @@ from ohmwatch.functions.guards import add
 from ohmwatch.session import shared_dir
 
 HOME = "__home"
-SALT = "__salt"
 
 
 def with_halo(
@@ -123,12 +122,19 @@ def attach(
 ) -> DataFrame:
     """Join one row per key onto a large frame, whatever the share of a hot key.
 
-    Up to ``limit`` counted rows the small side is broadcast.  Beyond that the
-    hot keys are spread over ``SALTS`` tasks, each with its copy of the key's row.
+    Up to ``limit`` counted rows the small side is broadcast.  Beyond that only
+    the rows of hot keys are: a key is hot when it holds more than one part in
+    ``HOT_KEYS``, so there are at most that many.  All other keys are joined by
+    an ordinary shuffle, which no hot key enters.
     """
+    names = list(keys)
     small = held(small)
     if small.limit(limit + 1).count() <= limit:
-        return df.join(F.broadcast(small), list(keys), how)
-    salted = small.selectExpr("*", f"explode(sequence(0, {SALTS - 1})) AS {SALT}")
-    spread = df.selectExpr("*", f"CAST(pmod(xxhash64({TIME}), {SALTS}) AS INT) AS {SALT}")
-    return spread.join(salted, [*keys, SALT], how).drop(SALT)
+        return df.join(F.broadcast(small), names, how)
+    counts = held(df.groupBy(*names).agg(F.count("*").alias("__c")))
+    total = counts.agg(F.sum("__c")).first()[0] or 0
+    hot = F.broadcast(held(counts.filter(f"__c * {HOT_KEYS} > {total}").select(*names)))
+    rows_of_hot = small.join(hot, names, "left_semi")
+    spread = df.join(hot, names, "left_semi").join(F.broadcast(rows_of_hot), names, how)
+    rest = df.join(hot, names, "left_anti").join(small, names, how)
+    return spread.unionByName(rest)

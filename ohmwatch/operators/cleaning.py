@@ -140,12 +140,14 @@ def _with_neighbours(
     df: DataFrame, columns: list[str], step: int, block_rows: int
 ) -> DataFrame:
     """Add ``__p_c`` / ``__n_c``: nearest non-missing value at or before / after a row,
-    and ``__pp_c`` / ``__np_c``, their positions.
+    and ``__pp_c`` / ``__np_c``, their positions, to a series on the regular grid.
 
     Inside a block two running windows find them; beyond its borders the last
     and first known values of the other blocks do, from one summary row per block.
     """
-    placed = with_blocks(df, step, block_rows).repartition(KEY, BLOCK)
+    # The time stamp is left out and rebuilt from the position: the summary then
+    # reads the very same shuffle as the windows do.
+    placed = with_blocks(df, step, block_rows).drop(TIME).repartition(KEY, BLOCK)
     known = {c: f"CASE WHEN `{c}` IS NOT NULL THEN {POS} END" for c in columns}
     up, down = forward(TO_DATE), backward(TO_DATE)
     local = placed.selectExpr(
@@ -179,7 +181,7 @@ def _with_neighbours(
         ],
     )
     return local.join(carried, [KEY, BLOCK]).selectExpr(
-        *df.columns,
+        *[f"{stamp(POS, step, df)} AS {TIME}" if c == TIME else f"`{c}`" for c in df.columns],
         POS,
         *[f"coalesce(`{p}{c}`, `__c{p}{c}`) AS `{p}{c}`" for c in columns for p in edges],
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from ohmwatch.config import BLOCK_ROWS, HOUR, KEY, ROLLING_COLUMNS, ROLLING_WINDOWS, TIME
 from ohmwatch.functions.axis import POS, TO_DATE, backward, forward, over, without_blocks
-from ohmwatch.functions.guards import add, aliased
+from ohmwatch.functions.guards import add, aliased, replace
 from ohmwatch.operators.blocks import home_rows, with_halo
 
 STATS = ("mean", "std", "max")
@@ -42,9 +42,9 @@ def _state(column: str, spec: str, stats: tuple[str, ...]) -> str:
     return f"named_struct({', '.join(parts)})"
 
 
-def _merged(tail: str, head: str, in_use: str, stats: tuple[str, ...], need: int):
-    """Statistics of the union of two disjoint partial states."""
-    n_tail, n_head = f"if({in_use}, {tail}.n, 0)", f"{head}.n"
+def _merged(tail: str, head: str, stats: tuple[str, ...], need: int) -> dict[str, str]:
+    """Statistics of the union of two disjoint partial states; ``tail`` may be NULL."""
+    n_tail, n_head = f"coalesce({tail}.n, 0)", f"{head}.n"
     n = f"({n_tail} + {n_head})"
     m_tail, m_head = f"coalesce({tail}.mean, 0D)", f"coalesce({head}.mean, 0D)"
     gap = f"({m_head} - {m_tail})"
@@ -53,15 +53,11 @@ def _merged(tail: str, head: str, in_use: str, stats: tuple[str, ...], need: int
         f"+ {gap} * {gap} * {n_tail} * {n_head} / {n}"
     )
     out = {
-        "mean": f"CASE WHEN {n} >= {need} THEN "
-        f"({m_tail} * {n_tail} + {m_head} * {n_head}) / {n} END",
-        "std": f"CASE WHEN {n} >= {max(need, 2)} THEN sqrt(({spread}) / ({n} - 1)) END",
+        "mean": f"if({n} >= {need}, ({m_tail} * {n_tail} + {m_head} * {n_head}) / {n}, NULL)",
+        "std": f"if({n} >= {max(need, 2)}, sqrt(({spread}) / ({n} - 1)), NULL)",
+        "max": f"if({n} >= {need}, greatest({tail}.max, {head}.max), NULL)",
+        "min": f"if({n} >= {need}, least({tail}.min, {head}.min), NULL)",
     }
-    for stat, pick in (("max", "greatest"), ("min", "least")):
-        out[stat] = (
-            f"CASE WHEN {n} >= {need} THEN "
-            f"{pick}(CASE WHEN {in_use} THEN {tail}.{stat} END, {head}.{stat}) END"
-        )
     return {s: out[s] for s in stats}
 
 
@@ -77,11 +73,11 @@ def _scanned(df: DataFrame, columns, window: int, stats, need: int) -> DataFrame
         f"coalesce(lag({tail}, {window - 1}) {forward()}, "
         f"first({tail}) {forward(TO_DATE)}) AS {moved}",
     )
+    # It counts only when it lies in the chunk before.
+    cut = replace(cut, {moved: f"if({moved}.at < {chunk}, {moved}, NULL)"})
     out = {}
     for c in columns:
-        merged = _merged(
-            f"{moved}.`{c}`", f"{head}.`{c}`", f"({moved}.at < {chunk})", stats, need
-        )
+        merged = _merged(f"{moved}.`{c}`", f"{head}.`{c}`", stats, need)
         out |= {column_name(c, s, window): merged[s] for s in stats}
     return cut.selectExpr(*df.columns, *aliased(out))
 

@@ -31,15 +31,15 @@ def readings(spark, sf):
     return fixtures.readings(spark, sf)
 
 
-def test_attach_by_broadcast_and_by_salt(readings):
-    from pyspark.sql import functions as F
-
-    small = readings.groupBy("asset_id").agg(F.max("ts").alias("newest"))
-    a = b.attach(readings, small)
-    z = b.attach(readings, small, limit=0)
-    assert "BroadcastHashJoin" in plan(a)
-    assert "__salt" in plan(z)
-    assert a.exceptAll(z).count() == 0 and a.count() == z.count() == readings.count()
+def test_attach_by_broadcast_and_by_hot_keys(spark):
+    """User 0 holds a third of all rows; the others hold one row each."""
+    rows = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id) AS asset_id", "id AS x")
+    small = rows.selectExpr("asset_id", "asset_id * 2 AS y").distinct().filter("asset_id <> 1")
+    for how, n in (("inner", 8999), ("left", 9000)):
+        a = b.attach(rows, small, how=how)
+        z = b.attach(rows, small, how=how, limit=10)
+        assert "Union" in plan(z) and "Union" not in plan(a)
+        assert a.exceptAll(z).count() == 0 and a.count() == z.count() == n
 
 
 def test_rolling_needs_one_shuffle(readings):
