@@ -71,7 +71,11 @@ def _(spark, sf):
     return r6(ds.standardise(series, ds.scaling_facts(series, COLS)))
 
 
-@query("m4_minimum_rows")
+@query(
+    "m4_minimum_rows",
+    f"WITH {SUPERVISED} SELECT asset_id, count(*) AS n_rows, sum(count(*)) OVER () >= 50 AS enough "
+    "FROM supervised GROUP BY 1",
+)
 def _(spark, sf):
     data = _dataset(spark, sf)
     return data.groupBy("asset_id").agg(
@@ -146,9 +150,7 @@ CELLS = (
 )
 
 
-@query(
-    "m13_classification_report",
-    f"""WITH {o.SCORED}, cells AS ({CELLS}), k AS (
+REPORT = f"""WITH {o.SCORED}, cells AS ({CELLS}), k AS (
       SELECT '0' AS class, 1E0 * tn / (tn + fn) AS precision, 1E0 * tn / (tn + fp) AS recall, tn + fp AS support FROM cells
       UNION ALL SELECT '1', 1E0 * tp / (tp + fp), 1E0 * tp / (tp + fn), tp + fn FROM cells),
     s AS (SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM k),
@@ -158,13 +160,15 @@ CELLS = (
       UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM s
       UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
         sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM s)
-    SELECT class, {o.r6('precision', 'precision')}, {o.r6('recall', 'recall')}, {o.r6('f1', 'f1')}, support FROM rows""",
-)
+    SELECT class, {o.r6('precision', 'precision')}, {o.r6('recall', 'recall')}, {o.r6('f1', 'f1')}, support FROM rows"""
+
+
+@query("m13_classification_report", REPORT)
 def _(spark, sf):
     return r6(ev.classification_report(scored(spark, sf)))
 
 
-@query("a12_report_table")
+@query("a12_report_table", f"{REPORT} WHERE class <> 'accuracy'")
 def _(spark, sf):
     return r6(ev.report_table(ev.classification_report(scored(spark, sf))))
 
@@ -276,7 +280,10 @@ def _(spark, sf):
 
 # -- sources and sinks ------------------------------------------------------------
 
-@query("s1_csv_scan")
+@query(
+    "s1_csv_scan",
+    f"WITH {o.READINGS} SELECT asset_id, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM readings GROUP BY 1",
+)
 def _(spark, sf):
     path = run_dir(spark, "csv")
     src.write_csv(readings(spark, sf), path)
@@ -286,27 +293,45 @@ def _(spark, sf):
     )
 
 
-@query("s2_time_detection")
+@query(
+    "s2_time_detection",
+    f"WITH {o.READINGS} SELECT asset_id, min(ts) AS first_ts, max(ts) AS last_ts FROM readings GROUP BY 1",
+)
 def _(spark, sf):
     renamed = readings(spark, sf).withColumn("DateTime", F.col("ts").cast("string")).drop("ts")
     found = src.with_time_axis(renamed)
     return found.groupBy("asset_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("s3_readings_sink")
+@query(
+    "s3_readings_sink",
+    f"WITH {o.READINGS} SELECT asset_id, count(*) AS n_rows FROM readings GROUP BY 1",
+)
 def _(spark, sf):
     path = run_dir(spark, "readings")
     src.write_parquet(readings(spark, sf), path)
     return src.read_parquet(spark, path).groupBy("asset_id").agg(F.count("*").alias("n_rows"))
 
 
-@query("s4_predictions_sink")
+@query(
+    "s4_predictions_sink",
+    f"WITH {o.SCORED} SELECT asset_id, ts, {o.r6('health_score', 'health_score')}, "
+    f"{o.r6('failure_proba', 'failure_proba')}, {o.RISK} AS risk_level FROM scored",
+)
 def _(spark, sf):
     path = run_dir(spark, "predictions")
     from ohmwatch.sources import fixtures
 
     src.write_predictions(scoring.with_health(fixtures.scored(readings(spark, sf))), path)
-    return spark.read.csv(path, header=True, inferSchema=True)
+    return r6(spark.read.csv(path, header=True, inferSchema=True))
+
+
+STORED = (
+    f"WITH {FORECASTED}, per AS (SELECT asset_id, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, "
+    "avg(abs(y_true - y_pred)) AS mae FROM forecasted GROUP BY 1) "
+    f"SELECT {o.r6('avg(rmse)', 'cv_rmse_mean')}, {o.r6('stddev_pop(rmse)', 'cv_rmse_std')}, "
+    f"{o.r6('avg(mae)', 'cv_mae_mean')}, 'top_oil_temp' AS target, '1d' AS horizon, 0::BIGINT AS n_samples FROM per"
+)
 
 
 def _written_metrics(spark, sf):
@@ -317,17 +342,29 @@ def _written_metrics(spark, sf):
     return folder
 
 
-@query("s5_metrics_sink")
+@query("s5_metrics_sink", STORED)
 def _(spark, sf):
-    return spark.read.json(f"{_written_metrics(spark, sf)}/forecast_metrics")
+    return r6(spark.read.json(f"{_written_metrics(spark, sf)}/forecast_metrics"))
 
 
-@query("s6_metrics_scan")
+@query("s6_metrics_scan", STORED)
 def _(spark, sf):
-    return store.load_metrics(spark, _written_metrics(spark, sf))["forecast_metrics"]
+    return r6(store.load_metrics(spark, _written_metrics(spark, sf))["forecast_metrics"])
 
 
-@query("a11_forecast_table")
+FIGURES = ", ".join(
+    f"{o.even(x, 3)} AS {n}"
+    for n, x in {"cv_rmse_mean": "avg(rmse)", "cv_rmse_std": "stddev_pop(rmse)", "cv_mae_mean": "avg(mae)"}.items()
+)
+
+
+@query(
+    "a11_forecast_table",
+    f"WITH {FORECASTED}, per AS (SELECT asset_id, count(*) AS n, sqrt(avg(pow(y_true - y_pred, 2))) AS rmse, "
+    "avg(abs(y_true - y_pred)) AS mae FROM forecasted GROUP BY 1) "
+    f"SELECT 'top_oil_temp' AS target, '1d' AS horizon, 'nested' AS shape, {FIGURES}, sum(n)::BIGINT AS n_samples FROM per "
+    f"UNION ALL SELECT 'top_oil_temp', '1d', 'long', {FIGURES}, 0 FROM per",
+)
 def _(spark, sf):
     flat = store.forecast_table(spark.read.json(f"{_written_metrics(spark, sf)}/forecast_metrics"))
     figures = ev.regression_errors(_forecasted(spark, sf), ("asset_id",)).groupBy().agg(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import sql as o
 from catalog.registry import hourly, masked, query, r6, readings, scored
-from ohmwatch.config import BOUNDS, LIMITS, REQUIRED
+from ohmwatch.config import BOUNDS, CHANGE_COLUMNS, LIMITS, REQUIRED, ROLLING_COLUMNS
 from ohmwatch.functions import diagnostics as d
 from ohmwatch.functions.guards import add, numeric_columns, other_columns
 from ohmwatch.operators import cleaning as c
@@ -21,7 +21,10 @@ CELLS = ", ".join(COLS)
 
 # -- validation and cleaning ------------------------------------------------
 
-@query("v1_required_columns")
+@query(
+    "v1_required_columns",
+    f"WITH {o.READINGS} SELECT asset_id, count(*) AS n_rows FROM readings GROUP BY 1",
+)
 def _(spark, sf):
     checked = c.require_columns(readings(spark, sf))
     return checked.groupBy("asset_id").agg(F.count("*").alias("n_rows"))
@@ -66,7 +69,18 @@ def _(spark, sf):
     return r6(c.keep_first(c.mask_bounds(copies)))
 
 
-@query("v6_split_columns")
+@query(
+    "v6_split_columns",
+    f"WITH {o.READINGS} "
+    + " UNION ALL ".join(
+        f"SELECT '{x}' AS parameter, count({x}) AS n, '{kind}' AS kind FROM readings"
+        for kind, names in (
+            ("numeric", ["reading_id", "asset_id", *COLS]),
+            ("other", ["ts", "fault_type"]),
+        )
+        for x in names
+    ),
+)
 def _(spark, sf):
     df = readings(spark, sf)
     numeric = df.agg(*[F.count(x).alias(x) for x in numeric_columns(df)])
@@ -210,12 +224,31 @@ def _(spark, sf):
     return readings(spark, sf).select("asset_id", "ts", "load_kva", "ambient_temp", "fault_type")
 
 
-@query("p4_drop_columns")
+@query(
+    "p4_drop_columns",
+    f"WITH {o.READINGS} SELECT reading_id, asset_id, ts, {o.rounded(COLS)} FROM readings",
+)
 def _(spark, sf):
-    return readings(spark, sf).drop("fault_type", "degradation_factor", "not_there")
+    return r6(readings(spark, sf).drop("fault_type", "degradation_factor", "not_there"))
+
+
+FEATURE_NAMES = [
+    *COLS,
+    *[f"{x}_{s}_{w}h" for w in (24, 168) for x in ROLLING_COLUMNS for s in ("mean", "std", "max")],
+    *[f"{x}_roc_{p}h" for x in CHANGE_COLUMNS for p in (1, 24, 168)],
+    *["duval_pct_CH4", "duval_pct_C2H4", "duval_pct_H2", "duval_zone_code"],
+    *["rogers_R1", "rogers_R3", "rogers_R4", "rogers_code", "load_ratio", "temp_gradient"],
+    *["hot_spot_gradient", "cumulative_overload", "aging_factor", "cumulative_aging"],
+    *[f"{x}_{s}" for x in ("hour", "dow", "month") for s in ("sin", "cos")],
+    *["TDCG", "H2_CH4_ratio", "CO_H2_ratio"],
+]
 
 
-@query("p5_feature_columns")
+@query(
+    "p5_feature_columns",
+    f"WITH {o.READINGS}, {o.GRID}, names AS (SELECT unnest({FEATURE_NAMES}) AS feature) "
+    "SELECT feature, (SELECT count(*) FROM grid) AS n_rows FROM names",
+)
 def _(spark, sf):
     wide = build_features(hourly(spark, sf), (24, 168))
     names = feature_columns(wide)
@@ -346,7 +379,11 @@ def _(spark, sf):
     return r6(_laid(spark, sf))
 
 
-@query("j3_realign_predictions")
+@query(
+    "j3_realign_predictions",
+    f"WITH {o.HOURLY} SELECT asset_id, ts, {o.r6('top_oil_temp', 'top_oil_temp')}, "
+    f"{o.r6('CASE WHEN top_oil_temp > 80 THEN top_oil_temp + 1 END', 'forecast')} FROM hourly",
+)
 def _(spark, sf):
     from ohmwatch.plans.scoring import realign
 
@@ -522,7 +559,7 @@ def _(spark, sf):
 @query(
     "i2_alerts",
     f"WITH {o.READINGS}, {o.long_cte('readings')}, {o.OVER} SELECT asset_id, reading_id, ts, parameter, "
-    f"{o.even('value', 2)} AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
+    f"printf('%.2f', value)::DOUBLE AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
 )
 def _(spark, sf):
     return t.alerts(readings(spark, sf)).drop("message")
@@ -533,13 +570,17 @@ def _(spark, sf):
     f"WITH {o.READINGS}, newest AS (SELECT * FROM readings QUALIFY row_number() OVER "
     "(PARTITION BY asset_id ORDER BY ts DESC, reading_id DESC) = 1), "
     f"{o.long_cte('newest')}, {o.OVER} SELECT asset_id, reading_id, ts, parameter, "
-    f"{o.even('value', 2)} AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
+    f"printf('%.2f', value)::DOUBLE AS value, threshold, {o.SEVERITY} AS severity FROM over_limit",
 )
 def _(spark, sf):
     return t.alerts(t.latest(readings(spark, sf))).drop("message")
 
 
-@query("f18_alert_text")
+@query(
+    "f18_alert_text",
+    f"WITH {o.READINGS}, {o.long_cte('readings')}, {o.OVER} SELECT reading_id, parameter, "
+    f"printf('%s = %.1f > seuil %.1f (%s)', parameter, value, threshold, {o.SEVERITY}) AS message FROM over_limit",
+)
 def _(spark, sf):
     return t.alerts(readings(spark, sf)).select("reading_id", "parameter", "message")
 
@@ -555,7 +596,7 @@ def _(spark, sf):
     "(PARTITION BY asset_id ORDER BY ts DESC, reading_id DESC) = 1), "
     f"{o.long_cte('newest')}, {o.OVER}, n AS (SELECT asset_id, count(*) AS n_samples FROM scored GROUP BY 1) "
     f"SELECT asset_id, {o.r6('health_score', 'health_score')}, {o.RISK} AS risk_level, n_samples, "
-    f"o.parameter, {o.even('o.value', 2)} AS value, o.threshold, {o.SEVERITY.replace('value', 'o.value').replace('threshold', 'o.threshold')} AS severity "
+    f"o.parameter, printf('%.2f', o.value)::DOUBLE AS value, o.threshold, {o.SEVERITY.replace('value', 'o.value').replace('threshold', 'o.threshold')} AS severity "
     "FROM newest JOIN n USING (asset_id) LEFT JOIN over_limit o USING (asset_id)",
 )
 def _(spark, sf):

@@ -21,7 +21,7 @@ from ohmwatch.config import (
     TDCG_LEVELS,
     WARNING,
 )
-from ohmwatch.functions.guards import clip, num, rounded, sum_present
+from ohmwatch.functions.guards import clip, fixed_text, num, rounded, sum_present
 
 
 def ratio(top: str, bottom: str) -> str:
@@ -161,10 +161,14 @@ def severity(value: str = "value", limit: str = "threshold") -> str:
 def alert_text(parameter: str = "parameter", value: str = "value", limit: str = "threshold") -> str:
     # Wording of an alert.
     return (
-        f"format_string('%s = %.1f > seuil %s (%s)', {parameter}, {value}, "
-        f"CAST({limit} AS STRING), {severity(value, limit)})"
+        f"concat({parameter}, ' = ', {fixed_text(value, 1)}, ' > seuil ', "
+        f"CAST({limit} AS STRING), ' (', {severity(value, limit)}, ')')"
     )
 
 
+def alert_value(value: str = "value") -> str:
+    return f"CAST({fixed_text(value, 2)} AS DOUBLE)"
+
+
 def excess_percent(value: str = "value", limit: str = "threshold") -> str:
     return rounded(f"({value} - {limit}) / {limit} * 100D", 1)

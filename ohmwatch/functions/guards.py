@@ -40,6 +40,15 @@ def rounded(value: str, digits: int) -> str:
     return f"rint(({value}) * {scale}) / {scale}"
 
 
+def fixed_text(value: str, digits: int) -> str:
+    """Decimal text with so many digits, ties decided by the exact binary value.
+
+    ``%.1f`` of ``format_string`` rounds the shortest decimal text instead and
+    shows 50.05 as 50.1.
+    """
+    return f"replace(format_number({value}, {digits}), ',', '')"
+
+
 def sum_present(columns: list[str]) -> str:
     """Row-wise sum that counts missing addends as zero."""
     return " + ".join(f"coalesce({c}, 0D)" for c in columns)

@@ -83,7 +83,7 @@ def alerts(df: DataFrame, limits: dict[str, float] = LIMITS) -> DataFrame:
     return over_limit(df, limits).selectExpr(
         *keys,
         "parameter",
-        f"{rounded('value', 2)} AS value",
+        f"{d.alert_value()} AS value",
         "threshold",
         f"{d.severity()} AS severity",
         f"{d.alert_text()} AS message",
@@ -98,7 +98,7 @@ def alert_array(columns: list[str], limits: dict[str, float] = LIMITS) -> str:
         if c in columns
     ]
     full = (
-        f"a -> named_struct('parameter', a.parameter, 'value', {rounded('a.value', 2)}, "
+        f"a -> named_struct('parameter', a.parameter, 'value', {d.alert_value('a.value')}, "
         f"'threshold', a.threshold, 'severity', {d.severity('a.value', 'a.threshold')}, "
         f"'message', {d.alert_text('a.parameter', 'a.value', 'a.threshold')})"
     )

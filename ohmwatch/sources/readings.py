@@ -105,10 +105,15 @@ def with_time_axis(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed(name, TIME)
 
 
+# Whole microseconds; the CSV default stops at milliseconds.
+_STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_CSV = {"header": True, "timestampFormat": _STAMP, "timestampNTZFormat": _STAMP}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Readings as CSV with a header, time first; one file per task."""
     columns = [TIME, *[c for c in df.columns if c not in (TIME, TIE)]]
-    df.select(*columns).write.mode(mode).option("header", True).csv(path)
+    df.select(*columns).write.mode(mode).options(**_CSV).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -125,4 +130,4 @@ PREDICTION_COLUMNS = (KEY, TIME, "health_score", "failure_proba", "risk_level")
 
 
 def write_predictions(scored: DataFrame, path: str, mode: str = "overwrite") -> None:
-    scored.select(*PREDICTION_COLUMNS).write.mode(mode).option("header", True).csv(path)
+    scored.select(*PREDICTION_COLUMNS).write.mode(mode).options(**_CSV).csv(path)
