@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from catalog import sql as o
@@ -15,7 +13,6 @@ from ohmwatch.learning import evaluation as ev
 from ohmwatch.learning import models as m
 from ohmwatch.operators.sequences import failure_label, lags_and_future
 from ohmwatch.plans import scoring, training
-from ohmwatch.plans.features import build_features, feature_columns
 from ohmwatch.session import run_dir
 from ohmwatch.sources import readings as src
 from ohmwatch.sources import store
@@ -94,7 +91,9 @@ def _(spark, sf):
     return ds.fold_numbers(_dataset(spark, sf)).select(*KEYS, "fold", "row_no")
 
 
-FORECASTED = f"{o.HOURLY}, forecasted AS (SELECT * FROM (SELECT asset_id, top_oil_temp AS y_true, lag(top_oil_temp, 24) OVER ({o.PER_ASSET}) AS y_pred FROM hourly) WHERE y_pred IS NOT NULL AND y_true IS NOT NULL)"
+FORECASTED = f"""{o.HOURLY}, forecasted AS (SELECT * FROM (SELECT asset_id, top_oil_temp AS y_true,
+      lag(top_oil_temp, 24) OVER ({o.PER_ASSET}) AS y_pred FROM hourly)
+    WHERE y_pred IS NOT NULL AND y_true IS NOT NULL)"""
 
 
 @query(

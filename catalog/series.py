@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from catalog import sql as o
 from catalog.registry import hourly, query, r6, readings, scored
-from ohmwatch.config import CHANGE_COLUMNS, GASES, ROLLING_COLUMNS
+from ohmwatch.config import CHANGE_COLUMNS, ROLLING_COLUMNS
 from ohmwatch.functions import diagnostics as d
 from ohmwatch.functions.guards import add, aliased, rounded
 from ohmwatch.operators import sequences as s

@@ -594,10 +594,10 @@ def _(spark, sf):
     "i4_report_alerts",
     f"WITH {o.SCORED}, newest AS (SELECT * FROM scored QUALIFY row_number() OVER "
     "(PARTITION BY asset_id ORDER BY ts DESC, reading_id DESC) = 1), "
-    f"{o.long_cte('newest')}, {o.OVER}, n AS (SELECT asset_id, count(*) AS n_samples FROM scored GROUP BY 1) "
+    f"{o.long_cte('newest')}, {o.OVER}, active AS (SELECT *, {o.SEVERITY} AS severity FROM over_limit), n AS (SELECT asset_id, count(*) AS n_samples FROM scored GROUP BY 1) "
     f"SELECT asset_id, {o.r6('health_score', 'health_score')}, {o.RISK} AS risk_level, n_samples, "
-    f"o.parameter, printf('%.2f', o.value)::DOUBLE AS value, o.threshold, {o.SEVERITY.replace('value', 'o.value').replace('threshold', 'o.threshold')} AS severity "
-    "FROM newest JOIN n USING (asset_id) LEFT JOIN over_limit o USING (asset_id)",
+    f"o.parameter, printf('%.2f', o.value)::DOUBLE AS value, o.threshold, o.severity "
+    "FROM newest JOIN n USING (asset_id) LEFT JOIN active o USING (asset_id)",
 )
 def _(spark, sf):
     report = full_report(with_health(fixtures.scored(readings(spark, sf))))

@@ -6,8 +6,7 @@ import __spark_entry__ as contract
 from compare import database, difference
 
 TWINS = sorted(contract.oracle_sql())
-LIGHT = ["i4_full_report", "p10_seeded_sample", "j3_realign_predictions", "f18_alert_text", "a12_report_table",
-         "p4_drop_columns", "v1_required_columns", "v6_split_columns", "a11_forecast_table", "m4_minimum_rows"]
+LIGHT = ["i4_full_report", "p10_seeded_sample"]
 
 
 @pytest.fixture(scope="module")
