@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ohmwatch.llm import (
+    chat,
     decontamination,
+    license_scan,
+    main_text,
     packing,
     quality,
     simhash,
+    suffix_tree,
     token_blocks,
     toxicity,
 )
@@ -48,12 +52,12 @@ WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 i AS (SELECT item_id, {WORDS} AS w FROM benchmark),
 windows AS (
   SELECT DISTINCT item_id, least(len(w), 10) AS width,
-    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), p -> array_to_string(w[p:p + least(len(w), 10) - 1], ' '))) AS gram
+    unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda p: array_to_string(w[p:p + least(len(w), 10) - 1], ' '))) AS gram
   FROM i WHERE len(w) > 0),
 widths AS (SELECT DISTINCT width FROM windows),
 places AS (
   SELECT doc_id, width, unnest(range(1, len(w) - width + 2)) AS p,
-    unnest(list_transform(range(1, len(w) - width + 2), p -> array_to_string(w[p:p + width - 1], ' '))) AS gram
+    unnest(list_transform(range(1, len(w) - width + 2), lambda p: array_to_string(w[p:p + width - 1], ' '))) AS gram
   FROM d, widths WHERE len(w) >= width),
 hits AS (SELECT doc_id, p, width, item_id FROM places JOIN windows USING (width, gram)),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit
@@ -71,21 +75,60 @@ def op1(spark, sf):
     return decontamination.digest(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op2_main_text")
+def op2(spark, sf):
+    return main_text.extract(table(spark, sf, "pages"))
+
+
 @query("op3_token_blocks")
 def op3(spark, sf):
     return token_blocks.round_trip(table(spark, sf, "documents"), vocabulary())
 
 
+@query("op4_license_scan")
+def op4(spark, sf):
+    return license_scan.scan(table(spark, sf, "documents"))
+
+
 @query("op5_toxicity")
 def op5(spark, sf):
     return toxicity.digest(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+SAFE = r"""regexp_replace(regexp_replace(replace(coalesce({0}, ''), '\', '\\'), '<(/?s>)', '<\\\1', 'g'), '\[(/?INST\])', '[\\\1', 'g')"""
+SQL6 = f"""
+WITH t AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+  coalesce(role, '') AS role, coalesce(text, '') AS text, {SAFE.format("role")} AS safe_role, {SAFE.format("text")} AS safe_text FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(17 + length(safe_role) + length(safe_text)) AS BIGINT) AS formatted_chars
+FROM o GROUP BY conv_id
+"""
+
+
+@query("op6_chat_format", SQL6)
+def op6(spark, sf):
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digest(rows)
+
+
 @query("op7_pack")
 def op7(spark, sf):
     return packing.pack(table(spark, sf, "documents"), vocabulary())
 
 
+@query("op8_suffix_tree")
+def op8(spark, sf):
+    return suffix_tree.digest(table(spark, sf, "documents"))
+
+
 @query("op9_quality_rules")
 def op9(spark, sf):
     return quality.digest(table(spark, sf, "documents"))
