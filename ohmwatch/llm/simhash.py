@@ -122,6 +122,9 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Links:
     """Collects links and keeps them as a forest."""
 
+    #: Rows of a key up to which all pairs are compared step by step.
+    small = 64
+
     def __init__(self, bits: int):
         self.bits, self.u, self.v, self.n = bits, [], [], 0
 
@@ -137,10 +140,42 @@ class Links:
             u, v = self.result()
             self.u, self.v, self.n = [u], [v], 0
 
+    def group(self, own: np.ndarray) -> None:
+        for i in range(len(own) - 1):
+            self.add(np.broadcast_to(own[i], len(own) - 1 - i), own[i + 1 :])
+
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.u:
             return np.zeros(0, U64), np.zeros(0, U64)
-        return forest(np.concatenate(self.u), np.concatenate(self.v))
+        return self.reduced(np.concatenate(self.u), np.concatenate(self.v))
+
+    def reduced(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return forest(u, v)
+
+
+class Nearest(Links):
+    """Collects pairs that still have to be verified: all of a small group, and from a larger
+    one each fingerprint with its two nearest."""
+
+    small = 8
+
+    def group(self, own: np.ndarray) -> None:
+        for at in range(0, len(own), 256):
+            rows = own[at : at + 256]
+            apart = np.bitwise_count(rows[:, None] ^ own).astype(np.int16)
+            apart[np.arange(len(rows)), at + np.arange(len(rows))] = 99
+            for _ in range(2):
+                best = apart.argmin(axis=1)
+                self.add(rows, own[best])
+                apart[np.arange(len(rows)), best] = 99
+
+    def reduced(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = np.minimum(u, v), np.maximum(u, v)
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        new = np.ones(len(low), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        return low[new], high[new]
 
 
 def link_groups(links: Links, key: np.ndarray, fp: np.ndarray, limit: int = GROUP):
@@ -148,20 +183,18 @@ def link_groups(links: Links, key: np.ndarray, fp: np.ndarray, limit: int = GROU
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(start, len(key)))
     left = np.repeat(size, size) - (np.arange(len(key)) - np.repeat(start, size))  # rows to the group's end
-    wide = np.repeat(size > 64, size)
+    wide = np.repeat(size > links.small, size)
     at = np.flatnonzero((left > 1) & ~wide)
     step = 1
     while len(at):
         links.add(fp[at], fp[at + step])
         step += 1
         at = at[left[at] > step]
-    for s, n in zip(start[size > 64].tolist(), size[size > 64].tolist()):
+    for s, n in zip(start[size > links.small].tolist(), size[size > links.small].tolist()):
         if n > limit:
             yield key[s], fp[s : s + n]
         else:
-            own = fp[s : s + n]
-            for i in range(n - 1):
-                links.add(np.broadcast_to(own[i], n - 1 - i), own[i + 1 :])
+            links.group(fp[s : s + n])
 
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("size", pa.int64())])
@@ -172,9 +205,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _compare(bits: int, limit: int):
+def _compare(collector, bits: int, limit: int):
     def run(batches):
-        links = Links(bits)
+        links = collector(bits)
         key, fp = np.zeros(0, U64), np.zeros(0, U64)
 
         def large(found):
@@ -217,17 +250,22 @@ def links(distinct: DataFrame, bits: int = BITS, limit: int = GROUP) -> DataFram
         raise ValueError(f"the keys find up to {BITS} differing bits")
     parts = max(1, -(-distinct.count() // DEALT))
     keys = distinct.repartition(parts, distinct.columns[0]).mapInArrow(_make_keys, "key long, fp long")
-    compared = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits, limit), _LINKS_DDL), "simhash-links")
-    found = compared.filter("v is not null").select("u", "v")
-    large = compared.filter("v is null")
+    return compared(keys, Links, bits, limit)
+
+
+def compared(keys: DataFrame, collector, bits: int, limit: int) -> DataFrame:
+    """Links (u, v) that the collector makes of the fingerprints with equal keys (key, fp)."""
+    found = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(collector, bits, limit), _LINKS_DDL), "simhash-links")
+    pairs = found.filter("v is not null").select("u", "v")
+    large = found.filter("v is null")
     if large.isEmpty():
-        return found
+        return pairs
     # All pairs of a large key's blocks; a block meets itself and every other one.
     half = limit // 2
     blocks = large.selectExpr("key", "u AS fp", f"place div {half} AS own", f"explode(sequence(0L, (size - 1) div {half})) AS other")
     dealt = blocks.selectExpr("xxhash64(key, least(own, other), greatest(own, other)) AS key", "fp")
-    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits, 2 * limit), _LINKS_DDL)
-    return found.union(again.filter("v is not null").select("u", "v"))
+    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(collector, bits, 2 * limit), _LINKS_DDL)
+    return pairs.union(again.filter("v is not null").select("u", "v"))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -253,6 +291,37 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def shingles(column, words: int) -> tuple[np.ndarray, list[bytes]]:
+    """The rows' bounds among all shingles, and the shingles: lower-cased words joined by one
+    blank.  A text of fewer words is one shingle, a text without words has none."""
+    data, offsets = texts(column)
+    inside = NOT_BLANK[data]
+    kept = inside.copy()
+    kept[1:] |= inside[:-1]  # one blank after each word
+    shift = np.concatenate([[0], np.cumsum(kept)])
+    low = np.where(inside, LOWER[data], np.uint8(32))[kept]
+    offsets = shift[offsets]
+    starts, ends = spans(low != 32, offsets)
+    first = per_row(starts, offsets)
+    n_words = np.diff(first)
+    n = np.where(n_words == 0, 0, np.maximum(n_words - words + 1, 1))
+    bounds = np.concatenate([[0], np.cumsum(n)])
+    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], n) + np.repeat(first[:-1], n)
+    last = np.minimum(at + words, np.repeat(first[1:], n)) - 1
+    raw = low.tobytes()
+    return bounds, [raw[s:e] for s, e in zip(starts[at].tolist(), ends[last].tolist())]
+
+
+def ones(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """How many of a row's hashes (as rows of bytes) have each bit set; zero without any."""
+    bits = np.unpackbits(hashes, axis=1, bitorder="little")
+    out = np.zeros((len(bounds) - 1, bits.shape[1]), np.int32)
+    full = np.flatnonzero(bounds[1:] > bounds[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(bits, bounds[:-1][full], axis=0, dtype=np.int32)
+    return out
+
+
 def _fingerprinter(words: int):
     def start():
         import xxhash
@@ -260,29 +329,11 @@ def _fingerprinter(words: int):
         hash64 = xxhash.xxh64_intdigest
 
         def make(column):
-            data, offsets = texts(column)
-            inside = NOT_BLANK[data]
-            kept = inside.copy()
-            kept[1:] |= inside[:-1]  # one blank after each word
-            shift = np.concatenate([[0], np.cumsum(kept)])
-            low = np.where(inside, LOWER[data], np.uint8(32))[kept]
-            offsets = shift[offsets]
-            starts, ends = spans(low != 32, offsets)
-            first = per_row(starts, offsets)
-            n_words = np.diff(first)
-            n = np.where(n_words == 0, 0, np.maximum(n_words - words + 1, 1))
-            bounds = np.concatenate([[0], np.cumsum(n)])
-            at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], n) + np.repeat(first[:-1], n)
-            last = np.minimum(at + words, np.repeat(first[1:], n)) - 1
-            raw = low.tobytes()
-            h = np.fromiter((hash64(raw[s:e], SEED) for s, e in zip(starts[at].tolist(), ends[last].tolist())), U64, len(at))
-            out = np.zeros(len(n), U64)
-            bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            full = np.flatnonzero(n)
-            if len(full):
-                ones = np.add.reduceat(bits, bounds[:-1][full], axis=0, dtype=np.int32)
-                out[full] = np.packbits(2 * ones > n[full, None], axis=1, bitorder="little").view("<u8").ravel()
-            return [out.view(np.int64)]
+            bounds, parts = shingles(column, words)
+            h = np.fromiter((hash64(x, SEED) for x in parts), U64, len(parts))
+            count = ones(h.astype("<u8").view(np.uint8).reshape(-1, 8), bounds)
+            bits = 2 * count > np.diff(bounds)[:, None]
+            return [np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().view(np.int64)]
 
         return make
 
