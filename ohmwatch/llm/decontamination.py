@@ -124,6 +124,7 @@ def matches(shard: Shard, items: Shard, window: int):
     item = np.repeat(np.arange(len(sizes)), sizes)
     missing = np.concatenate([[0], np.cumsum(~there)])
     order, parts = None, []
+    # Windows of one width at a time: the full ones, then each shorter item's own.
     for width in sorted({min(window, int(s)) for s in sizes if s}):
         starts = np.arange(len(item))
         fits = starts + width <= items.stop
@@ -140,6 +141,8 @@ def matches(shard: Shard, items: Shard, window: int):
     if not parts:
         return np.zeros((4, 0), np.int64)
     word, hit, width = (np.concatenate(x) for x in zip(*parts))
+    if not len(word):
+        return np.zeros((4, 0), np.int64)
     sort = np.lexsort((word, hit - word, item[word]))
     word, hit, width = word[sort], hit[sort], width[sort]
     joins = np.zeros(len(word), bool)
