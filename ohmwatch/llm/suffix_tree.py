@@ -41,7 +41,7 @@ MIN_SHARE = 1e-4
 MIN_PAIR = 1e-6
 DISCOUNT = 0.5
 SMOOTH = 0.1
-HEAD = 1 << 20
+HEAD = 1 << 18
 #: The hash that stands for the end of a text.
 END = U64(0x5EED0FE1D0FD0C5E)
 #: Distinct counts that a task holds before it hands them on.
@@ -182,8 +182,8 @@ def learn(texts_: DataFrame, depth: int = DEPTH, head: int = HEAD) -> tuple[Tree
         if tops > head:
             break
         floor = b
-    rows = vocabulary.filter(bucket >= floor if floor is not None else F.lit(False)).toPandas()
-    tree = Tree(n, v, (rows["k"].to_numpy(np.int64).view(U64), rows["c"].to_numpy(np.int64)))
+    rows = vocabulary.filter(bucket >= floor if floor is not None else F.lit(False)).toArrow()
+    tree = Tree(n, v, tuple(rows.column(c).to_numpy().astype(kind) for c, kind in (("k", U64), ("c", np.int64))))
     if len(tree.frequent) >= 1 << 16:
         raise ValueError("MIN_SHARE lets more words in than sixteen bits number")
     shared = context.broadcast(tree.frequent)
@@ -210,9 +210,9 @@ def _kept_level(tree: Tree, pairs: DataFrame, keys: np.ndarray, counts: np.ndarr
     Pairs below MIN_PAIR of all tokens stay in Spark; what comes here is bounded.
     """
     least = max(2, math.ceil(MIN_PAIR * tree.n))
-    rows = pairs.filter(F.col("c") >= least).toPandas()
-    place, symbol = rows["k"].to_numpy(np.int64) >> 16, rows["k"].to_numpy(np.int64) & 0xFFFF
-    count = rows["c"].to_numpy(float)
+    rows = pairs.filter(F.col("c") >= least).toArrow()
+    place, symbol = rows["k"].to_numpy() >> 16, rows["k"].to_numpy() & 0xFFFF
+    count = rows["c"].to_numpy().astype(float)
     shorter = keys[place] & ((1 << 16 * (length - 1)) - 1) if length > 1 else np.zeros(len(place), np.int64)
     expected = _shares(tree, shorter, symbol, length - 1)
     total = counts[place]
@@ -235,7 +235,7 @@ def _kept_level(tree: Tree, pairs: DataFrame, keys: np.ndarray, counts: np.ndarr
     tree.levels.append(
         {"contexts": keys[kept], "rest": left[kept], "pairs": pair_key[order], "shares": share[use][order], "length": length}
     )
-    return (keys[place] << 16) | symbol, rows["c"].to_numpy(np.int64)
+    return (keys[place] << 16) | symbol, rows["c"].to_numpy()
 
 
 def _shares(tree: Tree, context: np.ndarray, symbol: np.ndarray, length: int) -> np.ndarray:
@@ -258,7 +258,7 @@ def _step(level, context: np.ndarray, symbol: np.ndarray, value: np.ndarray) ->
 
 _SCORED = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-     ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64()))]
+     ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
 )
 
 
@@ -277,13 +277,19 @@ def _score(shared):
             base = row_sums(np.log10(value), bounds)
             for level in tree.levels:
                 value = _step(level, context_keys(symbols, bounds, level["length"]), symbols, value)
-            tail = hashes[~known].view(np.int64)
-            cuts = np.concatenate([[0], np.cumsum(~known)])[bounds].astype(np.int32)
             n = piece.num_rows
+            other = np.flatnonzero(~known)
+            own = np.searchsorted(bounds, other, "right") - 1
+            order = np.lexsort((hashes[other], own))
+            tail, own = hashes[other][order], own[order]
+            new = np.flatnonzero(np.concatenate([[True], (tail[1:] != tail[:-1]) | (own[1:] != own[:-1])])[: len(tail)])
+            times = pa.array(np.diff(np.append(new, len(tail))))
+            cuts = pa.array(np.searchsorted(own[new], np.arange(n + 1)).astype(np.int32))
+            tail = pa.array(tail[new].view(np.int64))
             yield batch_of(
                 _SCORED,
                 [piece.column(0), piece.column(1), row + np.arange(n), np.diff(bounds), row_sums(known, bounds),
-                 base, row_sums(np.log10(value), bounds), pa.ListArray.from_arrays(pa.array(cuts), pa.array(tail))],
+                 base, row_sums(np.log10(value), bounds), pa.ListArray.from_arrays(cuts, tail), pa.ListArray.from_arrays(cuts, times)],
             )
             row += n
 
@@ -297,10 +303,11 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame) -> DataFrame:
     """Scores of ``docs`` (doc_id, held_out, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(tree)
-    ddl = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, tail array<long>"
+    ddl = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, tail array<long>, times array<long>"
     rows = stored(docs.select("doc_id", "held_out", "text").mapInArrow(_score(shared), ddl), "suffix-tree")
-    places = rows.select("row", F.explode("tail").alias("k")).groupBy("row", "k").agg(F.count("*").alias("times"))
-    found = places.join(vocabulary, "k", "left").select(
+    places = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x"))
+    found = places.select("row", F.col("x.tail").alias("k"), F.col("x.times").alias("times"))
+    found = found.join(vocabulary, "k", "left").select(
         "row",
         F.when(F.col("c").isNull(), 0).otherwise(F.col("times")).alias("known"),
         (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("more"),
