@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.llm.arrays import U64, batch_of, free_name, pieces, stored
+from ohmwatch.llm.arrays import U64, batch_of, distinct, free_name, pieces, stored
 from ohmwatch.llm.simhash import GROUP, Golay, Nearest, compared, components, ones, shingles
 
 WORDS = 5
@@ -80,15 +80,15 @@ def _describe(batches):
         # Neither the segments (69 bits) nor the compared half alone: 59 of its bits are its own.
         codes = segment_codes(sums, golay)
         short = np.ascontiguousarray(h[:, 8:12]).view("<u4").ravel()
-        sketches, same, distinct = [], [], []
+        sketches, same, sizes = [], [], []
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            least = np.unique(short[a:b])
-            distinct.append(len(least))
+            least = distinct(short[a:b])
+            sizes.append(len(least))
             sketches.append(least[:SKETCH].tobytes())
             same.append(xxhash.xxh3_64_intdigest(h[a:b].tobytes(), SEED))
         yield batch_of(
             _ROWS,
-            [piece.column(0), piece.column(1), np.array(same, U64).view(np.int64), fp, [x.tobytes() for x in codes], distinct, sketches],
+            [piece.column(0), piece.column(1), np.array(same, U64).view(np.int64), fp, [x.tobytes() for x in codes], sizes, sketches],
         )
 
 
@@ -113,8 +113,8 @@ def _similar(batches):
         keep = []
         for x, y, n, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
             a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-            both = np.intersect1d(a, b, assume_unique=True)
-            union = np.union1d(a, b)
+            every = np.sort(np.concatenate([a, b]))
+            both, union = every[1:][every[1:] == every[:-1]], distinct(every)
             if max(n, m) > SKETCH:  # the least of the union are known, no more
                 union = union[:SKETCH]
                 both = both[both <= union[-1]]

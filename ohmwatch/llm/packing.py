@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ohmwatch.llm.arrays import batch_of, pieces, stored
 from ohmwatch.llm.token_blocks import with_starts
-from ohmwatch.llm.tokens import Encoder, shared_vocabulary
+from ohmwatch.llm.tokens import encoder, shared_vocabulary
 
 WINDOW = 2048
 PAD = 0
@@ -32,10 +32,10 @@ _ENCODED = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("n_ids", pa
 
 def _encode(vocabulary):
     def run(batches):
-        encoder, part, before = Encoder(vocabulary.value), TaskContext.get().partitionId(), 0
-        narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16
+        known, part, before = encoder(vocabulary.value), TaskContext.get().partitionId(), 0
+        narrow = known.tokenizer.get_vocab_size() <= 1 << 16
         for piece in pieces(batches, 1):
-            ids, sizes = encoder.encode(piece.column(1).to_pylist())
+            ids, sizes = known.encode(piece.column(1))
             width = 2 if narrow else 4
             raw = ids.astype(f"<u{width}").tobytes()
             ends = np.cumsum(sizes)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ohmwatch.llm.arrays import batch_of, pieces
-from ohmwatch.llm.tokens import Encoder, shared_vocabulary
+from ohmwatch.llm.tokens import encoder, shared_vocabulary
 from ohmwatch.session import run_dir
 
 BLOCK = 1024
@@ -104,7 +104,7 @@ _ROW_DDL = "part int, before long, n_ids long, doc_ids array<long>, sizes array<
 
 def _segments(vocabulary):
     def run(batches):
-        encoder, part, before = Encoder(vocabulary.value), TaskContext.get().partitionId(), 0
+        known, part, before = encoder(vocabulary.value), TaskContext.get().partitionId(), 0
         doc_ids: list = []
         sizes: list[int] = []
         ids: list[np.ndarray] = []
@@ -117,7 +117,7 @@ def _segments(vocabulary):
 
         held = 0
         for piece in pieces(batches, 1):
-            flat, lengths = encoder.encode(piece.column(1).to_pylist())
+            flat, lengths = known.encode(piece.column(1))
             doc_ids += piece.column(0).to_pylist()
             sizes += lengths.tolist()
             ids.append(flat)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.llm.arrays import LOWER, U64, WORD, mixed, per_row, row_sums, span_hashes, spans, texts, with_struct
+from ohmwatch.llm.arrays import LOWER, U64, WORD, distinct, mixed, per_row, row_sums, span_hashes, spans, texts, with_struct
 
 BITS = 22
 MAX_ROWS = 20_000
@@ -82,7 +82,7 @@ def _train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     places, row, n = features(pa.array(rows["text"], pa.string()))
     bounds = np.searchsorted(np.sort(row), np.arange(n + 1))
     places = places[np.argsort(row, kind="stable")]
-    samples = [np.append(np.unique(places[a:b]), 1 << BITS) for a, b in zip(bounds[:-1], bounds[1:])]
+    samples = [np.append(distinct(places[a:b]), 1 << BITS) for a, b in zip(bounds[:-1], bounds[1:])]
     at, weight = train(samples, rows["toxic"].to_numpy())
     return pd.DataFrame({"place": at, "weight": weight.astype(float)})
 
@@ -134,7 +134,7 @@ def _scorer(shared):
         def score(column):
             places, row, n = features(column)
             some = np.flatnonzero(table[places] != 0)
-            pairs = np.unique(row[some] * (1 << BITS) + places[some])
+            pairs = distinct(row[some] * (1 << BITS) + places[some])
             bounds = np.searchsorted(pairs, np.arange(n + 1) << BITS)
             total = model.bias + row_sums(table[pairs & ((1 << BITS) - 1)], bounds)
             return [1 / (1 + np.exp(-np.clip(total, -500, 500)))]
