@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.llm.arrays import LOWER, U64, WORD, distinct, mixed, per_row, row_sums, span_hashes, spans, texts, with_struct
+from ohmwatch.llm.arrays import LOWER, U64, WORD, distinct, mixed, per_row, pieces, row_sums, span_hashes, spans, texts, with_struct
 
 BITS = 22
 MAX_ROWS = 20_000
@@ -79,10 +79,13 @@ def train(samples: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -
 
 def _train_shard(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("row_hash", kind="stable")
-    places, row, n = features(pa.array(rows["text"], pa.string()))
-    bounds = np.searchsorted(np.sort(row), np.arange(n + 1))
-    places = places[np.argsort(row, kind="stable")]
-    samples = [np.append(distinct(places[a:b]), 1 << BITS) for a, b in zip(bounds[:-1], bounds[1:])]
+    samples: list[np.ndarray] = []
+    texts_ = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.string())], names=["text"])
+    for piece in pieces([texts_], 0):
+        places, row, n = features(piece.column(0))
+        order = np.argsort(row, kind="stable")
+        places, bounds = places[order], np.searchsorted(row[order], np.arange(n + 1))
+        samples += [np.append(distinct(places[a:b]), 1 << BITS).astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:])]
     at, weight = train(samples, rows["toxic"].to_numpy())
     return pd.DataFrame({"place": at, "weight": weight.astype(float)})
 
