@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.llm.arrays import batch_of, pieces, stored
+from ohmwatch.llm.arrays import LARGE, batch_of, pieces, stored
 from ohmwatch.llm.token_blocks import with_starts
 from ohmwatch.llm.tokens import encoder, shared_vocabulary
 
@@ -34,7 +34,7 @@ def _encode(vocabulary):
     def run(batches):
         known, part, before = encoder(vocabulary.value), TaskContext.get().partitionId(), 0
         narrow = known.tokenizer.get_vocab_size() <= 1 << 16
-        for piece in pieces(batches, 1):
+        for piece in pieces(batches, 1, LARGE):
             ids, sizes = known.encode(piece.column(1))
             width = 2 if narrow else 4
             raw = ids.astype(f"<u{width}").tobytes()

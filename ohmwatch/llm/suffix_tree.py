@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ohmwatch.llm.arrays import (
-    LOWER, NOT_BLANK, U64, batch_of, per_row, pieces, positions, row_sums, span_hashes, spans, stored, texts,
+    LARGE, LOWER, NOT_BLANK, U64, batch_of, per_row, pieces, positions, row_sums, span_hashes, spans, stored, texts,
 )
 
 DEPTH = 2
@@ -94,7 +94,7 @@ def _counts(text_at, keys_of):
 
     def run(batches):
         make, counter = keys_of(), Counter()
-        for piece in pieces(batches, text_at):
+        for piece in pieces(batches, text_at, LARGE):
             counter.add(make(*tokens(piece.column(text_at))))
             if counter.full():
                 keys, counts = counter.merged()
@@ -266,7 +266,7 @@ def _score(shared):
     def run(batches):
         tree: Tree = shared.value
         row = TaskContext.get().partitionId() << 36
-        for piece in pieces(batches, 2):
+        for piece in pieces(batches, 2, LARGE):
             hashes, bounds = tokens(piece.column(2))
             at, known = positions(tree.head, hashes)
             symbols = tree.symbols(hashes)

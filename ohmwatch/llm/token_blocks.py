@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ohmwatch.llm.arrays import batch_of, pieces
+from ohmwatch.llm.arrays import LARGE, batch_of, pieces
 from ohmwatch.llm.tokens import encoder, shared_vocabulary
 from ohmwatch.session import run_dir
 
@@ -116,7 +116,7 @@ def _segments(vocabulary):
             return batch_of(_ROW, row), len(joined)
 
         held = 0
-        for piece in pieces(batches, 1):
+        for piece in pieces(batches, 1, LARGE):
             flat, lengths = known.encode(piece.column(1))
             doc_ids += piece.column(0).to_pylist()
             sizes += lengths.tolist()
