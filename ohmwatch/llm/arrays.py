@@ -15,7 +15,7 @@ from ohmwatch.session import run_dir
 U64 = np.uint64
 #: Bytes of text that a task holds as arrays at a time; one longer text is taken whole.
 #: LARGE is for work that gains from seeing more words at once.
-PIECE, LARGE = 1 << 19, 2 << 20
+PIECE, LARGE = 1 << 19, 1 << 20
 
 # The byte classes of the two kinds of words.
 BLANKS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)

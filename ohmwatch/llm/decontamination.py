@@ -28,7 +28,7 @@ from ohmwatch.llm.arrays import (
 )
 
 WINDOW = 10
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 32 << 20
 
 MATCH = pa.list_(

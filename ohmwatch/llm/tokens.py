@@ -15,7 +15,7 @@ from ohmwatch.llm.arrays import BLANKS, LOWER, U64, distinct, positions, ragged,
 
 END = 1
 #: Known chunks after which a worker starts anew.
-KNOWN = 1 << 21
+KNOWN = 1 << 20
 
 # Byte classes for cutting: 0 blank, 1 ASCII letter or digit, 2 other ASCII mark, 3 the rest.
 _KIND = np.full(256, 3, np.uint8)
