@@ -38,7 +38,7 @@ _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=U64) *
 
 def powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if cache.get("n", 0) < n:
+    if cache.get("n", -1) < n:
         size = max(n, 1 << 16)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             steps = np.full(size, base, U64)

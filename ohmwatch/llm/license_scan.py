@@ -52,8 +52,9 @@ def _array(values) -> str:
     return "array(" + ", ".join(values) + ")"
 
 
-def _quoted(words) -> str:
-    return _array(f"'{w}'" for w in words)
+def _stands(at: str, words: list[str]) -> str:
+    """The words stand one after the other from word ``at`` of the text."""
+    return " AND ".join(f"get(words, {at} + {k}) = '{w}'" for k, w in enumerate(words))
 
 
 class Index:
@@ -100,17 +101,11 @@ def scan(docs: DataFrame, text: str = "text", index: Index | None = None) -> Dat
     split = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     t, at = f"(c div {_TEMPLATE}L)", f"(int(c % {_TEMPLATE}L) - {_BEFORE})"
     base = " ".join(
-        f"WHEN words[i] = '{p.split()[0]}' AND slice(words, i + 1, {len(p.split())}) = {_quoted(p.split())} THEN '{label}'" for p, label in BASE.items()
+        f"WHEN {_stands('i', p.split())} THEN '{label}'" for p, label in BASE.items()
     )
     needed = index.each(t, (min(2, len({w for _, w in a})) for a in index.anchors))
     agreeing = index.each(t, (" + ".join(f"int(coalesce(get(words, {at} + {p}) = '{w}', false))" for p, w in a) for a in index.anchors))
-    phrase = index.each(
-        t,
-        (
-            f"{at} + {p} >= 0 AND slice(words, greatest({at} + {p}, 0) + 1, {len(ph)}) = {_quoted(ph)}"
-            for p, ph in zip(index.phrase_at, index.phrases)
-        ),
-    )
+    phrase = index.each(t, (_stands(f"{at} + {p}", ph) for p, ph in zip(index.phrase_at, index.phrases)))
     share = index.each(
         t,
         (
