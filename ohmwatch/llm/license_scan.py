@@ -127,14 +127,13 @@ def scan(docs: DataFrame, text: str = "text", index: Index | None = None) -> Dat
             f"array_distinct(flatten(transform(hits, i -> transform({index.lookup('words[i]')}, x -> x.t * {_TEMPLATE}L + i - x.p + {_BEFORE})))) AS proposed",
         )
         .selectExpr("doc_id", "words", "base", f"filter(filter(proposed, c -> {agreeing} >= {needed}), c -> {phrase}) AS found")
+        # Behind a generator, so that no later filter is pushed below and repeats the scan.
         .selectExpr(
             "doc_id",
-            "bigint(size(words)) AS n_words",
-            "bigint(size(base)) AS n_base",
-            "array_min(transform(base, x -> x.i)) AS first_word",
-            "array_max(transform(base, x -> x.i)) AS last_word",
-            "array_join(array_sort(array_distinct(transform(base, x -> x.label))), ',') AS base_labels",
-            f"array_join(array_sort(array_union(transform(base, x -> x.label), transform(found, c -> {names}))), ',') AS labels",
-            f"least(1D, coalesce(array_max(transform(found, c -> {share})), 0D)) AS score",
+            "inline(array(struct(bigint(size(words)) AS n_words, bigint(size(base)) AS n_base, "
+            "array_min(transform(base, x -> x.i)) AS first_word, array_max(transform(base, x -> x.i)) AS last_word, "
+            "array_join(array_sort(array_distinct(transform(base, x -> x.label))), ',') AS base_labels, "
+            f"array_join(array_sort(array_union(transform(base, x -> x.label), transform(found, c -> {names}))), ',') AS labels, "
+            f"least(1D, coalesce(array_max(transform(found, c -> {share})), 0D)) AS score)))",
         )
     )
