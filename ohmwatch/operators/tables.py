@@ -213,6 +213,6 @@ def label_intervals(
     keys = [c for c in (KEY, TIE, TIME) if c in df.columns]
     binned = df.selectExpr(*keys, f"CAST(floor({seconds()} / {bin_seconds}) AS BIGINT) AS __bin")
     inside = binned.join(spans, [KEY, "__bin"]).filter(f"{TIME} BETWEEN start_ts AND end_ts")
-    winner = inside.groupBy(*keys).agg(F.max("__priority").alias("__priority"))
-    names = " ".join(f"WHEN {p} THEN '{k}'" for k, p in FAULT_PRIORITY.items())
-    return winner.selectExpr(*keys, f"CASE __priority {names} END AS fault_label")
+    # A kind outside the table loses to all others and keeps its own name.
+    winner = inside.groupBy(*keys).agg(F.max(F.struct("__priority", "__kind")).alias("__top"))
+    return winner.selectExpr(*keys, "__top.__kind AS fault_label")
