@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ohmwatch.session import run_dir
@@ -18,6 +18,8 @@ U64 = np.uint64
 #: Bytes of text that a task holds as arrays at a time; one longer text is taken whole.
 #: LARGE is for work that gains from seeing more words at once.
 PIECE, LARGE = 1 << 19, 1 << 20
+#: Rows and bytes of text that Spark hands to a worker at a time while a table is stored.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 # The byte classes of the two kinds of words.
 BLANKS = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20)
@@ -188,12 +190,26 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches for the jobs inside; the session's own settings come back after."""
+    before = {name: spark.conf.get(name) for name in BATCH}
+    try:
+        for name, value in BATCH.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to a new folder below the shared one and read it back: a cut of the lineage
     that outlives executors."""
     spark = df.sparkSession
     path = run_dir(spark, f"{label}-{uuid.uuid4().hex[:8]}")
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
