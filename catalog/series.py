@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from catalog import sql as o
-from catalog.registry import hourly, query, r6, readings, scored
+from catalog.registry import hourly, masked, query, r6, readings, scored
 from ohmwatch.config import CHANGE_COLUMNS, ROLLING_COLUMNS
 from ohmwatch.functions import diagnostics as d
-from ohmwatch.functions.guards import add, aliased, rounded
+from ohmwatch.functions.guards import add, aliased, replace, rounded
+from ohmwatch.operators import cleaning as c
 from ohmwatch.operators import sequences as s
 from ohmwatch.operators.rolling import rolling
 from ohmwatch.plans.features import build_features, gas_diagnostics
@@ -272,10 +273,51 @@ WIDE = (
 )
 
 
-@query("f21_feature_table", WIDE)
-def _(spark, sf):
-    wide = build_features(hourly(spark, sf), WINDOWS, PERIODS)
+
+# The laid series with its gaps: no cell is interpolated, H2 starts ten days late,
+# load_kva has holes of 40 hours in every 200.
+LATE, HOLES = "ts >= TIMESTAMP '2024-01-11 00:00:00'", "(day(ts) * 24 + hour(ts)) % 200 >= 40"
+GAPS = (
+    f"gaps AS (SELECT * REPLACE (CASE WHEN {LATE} THEN H2 END AS H2, "
+    f"CASE WHEN {HOLES} THEN load_kva END AS load_kva) FROM laid)"
+)
+CARRIED = PLAIN | GAPPY | {
+    "cumulative_overload": f"CASE WHEN load_kva IS NOT NULL THEN sum({o.OVERLOAD}) OVER {o.UP} END",
+    "cumulative_aging": f"CASE WHEN hot_spot_temp IS NOT NULL THEN sum({o.AGING}) OVER {o.UP} END",
+}
+WIDE_GAPS = (
+    f"WITH {o.TO_LAID}, {GAPS}, {o.duval('gaps')}, moving AS (SELECT asset_id, ts, duval_zone, {o.CODE} AS duval_zone_code, "
+    f"{o.ROGERS} AS rogers_code, {o.CYCLIC.replace('13E-9, 6)', '13E-8, 5)')}, "
+    + ", ".join(f"{x} AS {n}" for n, x in CARRIED.items())
+    + " FROM duval) SELECT * REPLACE ("
+    + ", ".join(
+        f"round(coalesce(last_value({n} IGNORE NULLS) OVER {o.UP}, first_value({n} IGNORE NULLS) OVER {o.DOWN}) "
+        f"+ 13E-8, 5) + 0 AS {n}"
+        for n in CARRIED
+    )
+    + ") FROM moving"
+)
+
+
+def _rounded(wide):
     doubles = {n for n, kind in wide.dtypes if kind == "double"}
     return wide.selectExpr(
         *[f"round(`{n}` + 13E-8, 5) + 0 AS `{n}`" if n in doubles else f"`{n}`" for n in wide.columns]
     )
+
+
+@query("f21_feature_table", WIDE)
+def _(spark, sf):
+    return _rounded(build_features(hourly(spark, sf), WINDOWS, PERIODS))
+
+
+@query("f21_feature_table_gaps", WIDE_GAPS)
+def _(spark, sf):
+    raw = masked(spark, sf)
+    numeric, _ = c.split_columns(raw)
+    laid = c.on_grid(c.resample(c.keep_first(raw), numeric=numeric, categorical=[]), raw)
+    gaps = replace(
+        laid,
+        {"H2": f"CASE WHEN {LATE} THEN H2 END", "load_kva": f"CASE WHEN {HOLES} THEN load_kva END"},
+    )
+    return _rounded(build_features(gaps, WINDOWS, PERIODS))

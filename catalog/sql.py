@@ -121,7 +121,7 @@ HEALTH_OR_NULL = (
     f"CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in LIMITS)} THEN {HEALTH} END"
 )
 
-DUVAL_TOTAL = "(CH4 + C2H4 + greatest(H2, 0) + 1E-9)"
+DUVAL_TOTAL = "(CH4 + C2H4 + CASE WHEN H2 IS NOT NULL THEN greatest(H2, 0) END + 1E-9)"
 ZONE = """CASE WHEN d_h2 > 98 THEN 'PD' WHEN d_ch4 > 80 THEN 'T1'
   WHEN d_c2h4 > 20 AND d_c2h4 <= 50 AND d_ch4 > 40 THEN 'T2' WHEN d_c2h4 > 50 THEN 'T3'
   WHEN d_h2 > 40 AND d_h2 <= 98 AND d_ch4 < 40 THEN 'D1' WHEN d_h2 > 20 AND d_h2 <= 40 THEN 'D2' ELSE 'DT' END"""

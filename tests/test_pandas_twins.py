@@ -198,3 +198,31 @@ def test_label_at_default_window(series):
     got = s.failure_label(series({"health_index": [float(h) for h in health]}), block_rows=333)
     assert got.orderBy("ts").toPandas().failure_label.tolist() == want.tolist()
     assert d.health_index().startswith("CASE")
+
+
+@pytest.mark.parametrize("block", [50, 8192])
+def test_features_fill_any_gap_whatever_the_block(series, block):
+    """A hole of 12 hours, a sensor that starts after 150 of 200 hours, one that ends early."""
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({c: rng.uniform(10, 60, 200).round(3) for c in REQUIRED})
+    frame.loc[60:71, "H2"] = np.nan
+    frame.loc[:149, "CO"] = np.nan
+    frame.loc[:9, "load_kva"] = frame.loc[120:, "load_kva"] = np.nan
+    cells = {c: [None if np.isnan(v) else float(v) for v in frame[c]] for c in frame}
+    wide = build_features(series(cells), (4, 24), (1, 24), block_rows=block)
+    got = wide.orderBy("ts").toPandas()
+    want = frame.copy()
+    for c in ("H2", "CO", "load_kva"):
+        for w in (4, 24):
+            moving = frame[c].rolling(w, min_periods=w // 4)
+            for stat in ("mean", "std", "max"):
+                want[f"{c}_{stat}_{w}h"] = getattr(moving, stat)()
+    for p in (1, 24):
+        want[f"CO_roc_{p}h"] = frame.CO.diff(p)
+    want["load_ratio"] = frame.load_kva / 1000
+    want["cumulative_overload"] = (frame.load_kva / 1000 - 1).clip(lower=0).cumsum()
+    want["cumulative_aging"] = np.exp((frame.hot_spot_temp - 98) / 6).clip(upper=50).cumsum()
+    want = want.ffill().bfill()
+    assert not got.isna().any().any()
+    for c in want:
+        assert np.abs(got[c].to_numpy() - want[c].to_numpy()).max() < 1e-8, c
