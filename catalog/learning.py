@@ -279,37 +279,31 @@ def _(spark, sf):
 
 # -- sources and sinks ------------------------------------------------------------
 
-@query(
-    "s1_csv_scan",
-    f"WITH {o.READINGS} SELECT asset_id, count(*) AS n_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM readings GROUP BY 1",
-)
+CELLS = f"asset_id, ts, {o.rounded(o.COLS)}, fault_type"
+
+
+@query("s1_csv_scan", f"WITH {o.READINGS} SELECT {CELLS} FROM readings")
 def _(spark, sf):
+    """One folder of CSV files per asset, the asset's number only in the path."""
     path = run_dir(spark, "csv")
-    src.write_csv(readings(spark, sf), path)
-    back = src.read_csv(spark, path)
-    return back.groupBy("asset_id").agg(
-        F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    )
+    named = readings(spark, sf).withColumnRenamed("asset_id", "unit").drop("reading_id")
+    named.write.partitionBy("unit").options(**src.CSV_OPTIONS).csv(path)
+    back = src.read_csv(spark, f"{path}/unit=*/*.csv", asset_from=r"/unit=(\d+)/")
+    return r6(back.select("asset_id", "ts", *o.COLS, "fault_type"))
 
 
-@query(
-    "s2_time_detection",
-    f"WITH {o.READINGS} SELECT asset_id, min(ts) AS first_ts, max(ts) AS last_ts FROM readings GROUP BY 1",
-)
+@query("s2_time_detection", f"WITH {o.READINGS} SELECT reading_id, {CELLS} FROM readings")
 def _(spark, sf):
     renamed = readings(spark, sf).withColumn("DateTime", F.col("ts").cast("string")).drop("ts")
     found = src.with_time_axis(renamed)
-    return found.groupBy("asset_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return r6(found.select("reading_id", "asset_id", "ts", *o.COLS, "fault_type"))
 
 
-@query(
-    "s3_readings_sink",
-    f"WITH {o.READINGS} SELECT asset_id, count(*) AS n_rows FROM readings GROUP BY 1",
-)
+@query("s3_readings_sink", f"WITH {o.READINGS} SELECT reading_id, {CELLS} FROM readings")
 def _(spark, sf):
     path = run_dir(spark, "readings")
     src.write_parquet(readings(spark, sf), path)
-    return src.read_parquet(spark, path).groupBy("asset_id").agg(F.count("*").alias("n_rows"))
+    return r6(src.read_parquet(spark, path).select("reading_id", "asset_id", "ts", *o.COLS, "fault_type"))
 
 
 @query(

@@ -27,12 +27,33 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def _with_asset(raw: DataFrame, asset_id: int | None, asset_from: str | None) -> DataFrame:
+    """The asset of files that have no column for it.
+
+    ``asset_from`` is a pattern whose first group is the asset's number in the file's path;
+    a file that it does not match is an error when it is read.  Several files without
+    any name for their assets are refused, for their readings would be taken for copies.
+    """
+    if KEY in raw.columns:
+        return raw
+    if asset_from is not None:
+        return raw.withColumn(KEY, F.regexp_extract("_metadata.file_path", asset_from, 1).cast("int"))
+    if asset_id is None and len(raw.inputFiles()) > 1:
+        raise ValueError(f"several files and no column {KEY}: give asset_from or asset_id")
+    return raw
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, asset_id: int = 0
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    asset_id: int | None = None,
+    asset_from: str | None = None,
 ) -> DataFrame:
     """Readings from CSV files with a header; the time axis becomes ``ts``.
 
-    Give a schema for large inputs: inferring one reads the data twice.
+    Give a schema for large inputs: inferring one reads the data twice.  Files without a
+    column ``asset_id`` take it from their path (``asset_from``) or are all of ``asset_id``.
     """
     if not _exists(spark, path):
         raise FileNotFoundError(f"no such file: {path}")
@@ -42,14 +63,16 @@ def read_csv(
         raw = reader.csv(path)
         if not raw.columns:
             raise ValueError(f"cannot read {path} as CSV: no columns")
-        return as_readings(raw, asset_id)
+        return as_readings(_with_asset(raw, asset_id, asset_from), asset_id or 0)
     except PySparkException as error:
         raise ValueError(f"cannot read {path} as CSV: {error}") from error
 
 
-def read_parquet(spark: SparkSession, path: str, asset_id: int = 0) -> DataFrame:
+def read_parquet(
+    spark: SparkSession, path: str, asset_id: int | None = None, asset_from: str | None = None
+) -> DataFrame:
     try:
-        return as_readings(spark.read.parquet(path), asset_id)
+        return as_readings(_with_asset(spark.read.parquet(path), asset_id, asset_from), asset_id or 0)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
             raise FileNotFoundError(f"no such file: {path}") from error
@@ -82,6 +105,8 @@ def time_column(df: DataFrame) -> str:
         named = [df.schema[TIME], *named]
     order = list(dict.fromkeys([*(f.name for f in named), *df.columns[:1]]))
     tried = [c for c in order if _parses(df.schema[c])]
+    if tried and not isinstance(df.schema[tried[0]].dataType, T.StringType):
+        return tried[0]  # typed already, nothing to try
     if tried:
         bad = df.agg(
             *[
@@ -107,13 +132,13 @@ def with_time_axis(df: DataFrame) -> DataFrame:
 
 # Whole microseconds; the CSV default stops at milliseconds.
 _STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-_CSV = {"header": True, "timestampFormat": _STAMP, "timestampNTZFormat": _STAMP}
+CSV_OPTIONS = {"header": True, "timestampFormat": _STAMP, "timestampNTZFormat": _STAMP}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Readings as CSV with a header, time first; one file per task."""
     columns = [TIME, *[c for c in df.columns if c not in (TIME, TIE)]]
-    df.select(*columns).write.mode(mode).options(**_CSV).csv(path)
+    df.select(*columns).write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -130,4 +155,4 @@ PREDICTION_COLUMNS = (KEY, TIME, "health_score", "failure_proba", "risk_level")
 
 
 def write_predictions(scored: DataFrame, path: str, mode: str = "overwrite") -> None:
-    scored.select(*PREDICTION_COLUMNS).write.mode(mode).options(**_CSV).csv(path)
+    scored.select(*PREDICTION_COLUMNS).write.mode(mode).options(**CSV_OPTIONS).csv(path)

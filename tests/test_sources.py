@@ -96,3 +96,16 @@ def test_nested_metrics(spark, tmp_path):
     rows = store.nested_forecast_metrics(spark, write(tmp_path, text, "m.json")).orderBy("horizon").collect()
     assert [(r.target, r.horizon, r.cv_rmse_mean, r.n_samples) for r in rows] == [
         ("H2", "30d", None, None), ("H2", "7d", 8.0, 5)]
+
+
+def test_files_of_several_assets(spark, tmp_path):
+    """Equal time stamps in two files: the asset is in the name, or the call is refused."""
+    for k in (3, 7):
+        write(tmp_path, "".join(["ts,H2\n", *[f"2024-01-01 0{h}:00:00,{k + h}\n" for h in range(5)]]), f"unit_{k}.csv")
+    every = str(tmp_path / "unit_*.csv")
+    with pytest.raises(ValueError, match="several files"):
+        readings.read_csv(spark, every)
+    df = readings.read_csv(spark, every, asset_from=r"unit_(\d+)\.csv")
+    assert sorted((r.asset_id, r.H2) for r in df.collect()) == [(k, k + h) for k in (3, 7) for h in range(5)]
+    assert {r.asset_id for r in readings.read_csv(spark, every, asset_id=4).collect()} == {4}
+    assert {r.asset_id for r in readings.read_csv(spark, str(tmp_path / "unit_3.csv")).collect()} == {0}
