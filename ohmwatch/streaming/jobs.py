@@ -18,12 +18,14 @@ from ohmwatch.plans.scoring import score_health
 DELAY = "2 hours"
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-    )
+def read_stream(
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None
+) -> DataFrame:
+    """A stream of parquet files; all new files make one batch unless a number is given."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def event_time(stream: DataFrame) -> DataFrame:

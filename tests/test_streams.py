@@ -32,7 +32,7 @@ def files(spark, batch):
 
 
 def run(spark, batch, files, job):
-    stream = job(jobs.read_stream(spark, files, batch.schema))
+    stream = job(jobs.read_stream(spark, files, batch.schema, files_per_batch=1))
     return jobs.run_to_end(stream, run_dir(spark, "out"), run_dir(spark, "progress"))
 
 
