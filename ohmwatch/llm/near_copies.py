@@ -8,8 +8,10 @@ of their four least certain bits flipped; two segments' codewords together are a
 copies of 0.8 to 0.85 a segment shares a codeword in 92 of 100 cases, two of three in 98.
 
 Equal word sequences are joined first and only one of each makes keys.  Rows meet by key,
-pairs whose other 64 bits differ in APART or fewer are candidates; in a key with many
-rows each one is paired with its two nearest, so candidates grow with the rows and not with their square.  A
+pairs whose other 64 bits differ in APART or fewer are candidates.  In a key with many rows
+each one is first paired with its two nearest, so that candidates grow with the rows and not with their
+square.  Then, in rounds, every row meets the nearest rows of its keys that are not in its component yet, more of
+them in each round, until no row has one left: no candidate between two components stays unverified.  A
 candidate is verified on the SKETCH least shingle hashes of both texts: exact for texts with no more
 shingles, an estimate with a deviation of 0.025 at 0.8 for longer ones.  Verified
 pairs form components; the row with the least id (then the first in its file) stays.
@@ -19,6 +21,7 @@ Texts without words are equal.  The first one's row stays as it is, with all its
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmwatch.llm.arrays import U64, batch_of, distinct, free_name, pieces, stored
-from ohmwatch.llm.simhash import GROUP, Golay, Nearest, compared, components, ones, shingles
+from ohmwatch.llm.simhash import GROUP, Golay, Links, Nearest, compared, components, ones, shingles
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -38,6 +41,8 @@ SEED = 42
 #: Rows that are left by a broadcast of their numbers; more are left by a shuffled join.
 BROADCAST_ROWS = 1 << 20
 DEALT = 4096
+#: Rows of other components that a row meets in the first round, and the growth by round.
+OTHERS, GROWTH = 8, 4
 
 _SEGMENT = 23
 _SEGMENTS = 3
@@ -92,8 +97,56 @@ def _describe(batches):
         )
 
 
+_NODE = np.dtype([("fp", "<u8"), ("root", "<i8")])
+
+
+class Others(Links):
+    """Collects, from each key with more rows than Nearest compares in full, the pairs of a row and its
+    ``take`` nearest rows of other components; (fp, fp) says that a row has still more."""
+
+    small = Nearest.small
+
+    def __init__(self, bits: int, take: int):
+        super().__init__(bits)
+        self.take = take
+
+    def rows(self, batch: pa.RecordBatch) -> np.ndarray:
+        out = np.empty(batch.num_rows, _NODE)
+        out["fp"] = batch.column(1).to_numpy().view(U64)
+        out["root"] = batch.column(2).to_numpy()
+        return out
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        if x.dtype == _NODE:  # a small group: Nearest has made all its pairs
+            return
+        super().add(x, y)
+
+    def group(self, own: np.ndarray) -> None:
+        fp, root = own["fp"], own["root"]
+        if (root == root[0]).all():
+            return
+        for at in range(0, len(fp), 256):
+            rows = fp[at : at + 256]
+            apart = np.bitwise_count(rows[:, None] ^ fp)
+            apart[root[at : at + 256, None] == root] = 99
+            near = apart <= self.bits
+            beyond = near.sum(axis=1) > self.take
+            some = np.flatnonzero(beyond)
+            if len(some):
+                best = np.argpartition(apart[some], self.take - 1, axis=1)[:, : self.take]
+                self.add(np.repeat(rows[some], self.take), fp[best.ravel()])
+                self.add(rows[some], rows[some])
+                near[some] = False
+            x, y = np.nonzero(near)
+            self.add(rows[x], fp[y])
+
+    def reduced(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return Nearest.reduced(self, u, v)
+
+
 def _make_keys(batches):
-    kind = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+    """(key, fp) and, if the batches have it, the root."""
+    kind = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("root", pa.int64())])
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -103,7 +156,10 @@ def _make_keys(batches):
                 a, b = codes[:, i, :, None], codes[:, j, None, :]
                 row, *_ = there = np.nonzero((a != _NONE) & (b != _NONE))
                 keys = ((a << 12) | b)[there] | (k << 24)
-                yield batch_of(kind, [keys, fp[row]])
+                made = [keys, fp[row]]
+                if part.num_columns == 3:
+                    made.append(part.column(2).to_numpy()[row])
+                yield batch_of(pa.schema(list(kind)[: len(made)]), made)
 
 
 def _similar(batches):
@@ -144,13 +200,30 @@ def keep_one(docs: DataFrame, text: str = "text", limit: int = GROUP) -> DataFra
     nodes = stored(own.groupBy("fp").agg(F.min("same").alias("same"), F.min_by("codes", "same").alias("codes")), "near-copies")
     parts = max(1, -(-nodes.count() // DEALT))
     keys = nodes.select("fp", "codes").repartition(parts, "fp").mapInArrow(_make_keys, "key long, fp long")
-    near = compared(keys, Nearest, APART, limit).distinct()
-    place = nodes.select("fp", "same")
-    pairs = near.join(place.toDF("u", "a"), "u").join(place.toDF("v", "b"), "v").select("a", "b")
+    place, sketch = nodes.select("fp", "same"), own.select("same", "sketch", "n")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sketch.toDF("a", "x", "n"), "a").join(sketch.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
+        return stored(both.mapInArrow(_similar, "u long, v long"), "near-copies")
+
+    def of_nodes(near: DataFrame) -> DataFrame:
+        return near.distinct().join(place.toDF("u", "a"), "u").join(place.toDF("v", "b"), "v").select("a", "b")
+
     equal = own.join(place.select("fp", F.col("same").alias("a")), "fp").filter("a <> same").select("a", F.col("same").alias("b"))
-    sketch = own.select("same", "sketch", "n")
-    candidates = pairs.union(equal).join(sketch.toDF("a", "x", "n"), "a").join(sketch.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-    roots = components(candidates.mapInArrow(_similar, "u long, v long"))
+    similar = verified(of_nodes(compared(keys, Nearest, APART, limit)).union(equal))
+    roots, take = components(similar), OTHERS
+    while True:
+        rooted = nodes.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").select("fp", "codes", F.coalesce("root", "same").alias("root"))
+        keys = rooted.repartition(parts, "fp").mapInArrow(_make_keys, "key long, fp long, root long")
+        others = functools.partial(Others, take=take)
+        found = stored(compared(keys, others, APART, limit, rooted.select("fp", "root")), "near-copies")
+        more = verified(of_nodes(found.filter("u <> v")))
+        if not more.isEmpty():
+            similar = similar.union(more)
+            roots = components(similar)
+        if found.filter("u = v").isEmpty():
+            break
+        take *= GROWTH
     best = own.select("same", "best").join(roots.select(F.col("node").alias("same"), "root"), "same", "left")
     stay = best.groupBy(F.coalesce("root", "same").alias("root")).agg(F.min("best").alias("best"))
     stay = stored(stay.select(F.col("best.row").alias(number)), "near-copies")

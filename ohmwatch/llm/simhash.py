@@ -128,6 +128,10 @@ class Links:
     def __init__(self, bits: int):
         self.bits, self.u, self.v, self.n = bits, [], [], 0
 
+    def rows(self, batch: pa.RecordBatch) -> np.ndarray:
+        """What is compared of a batch (key, fp, ...)."""
+        return batch.column(1).to_numpy().view(U64)
+
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.bitwise_count(x ^ y) <= self.bits
 
@@ -208,18 +212,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _compare(collector, bits: int, limit: int):
     def run(batches):
         links = collector(bits)
-        key, fp = np.zeros(0, U64), np.zeros(0, U64)
+        key, fp = np.zeros(0, U64), None
 
         def large(found):
             for k, rows in found:
                 n = len(rows)
-                yield batch_of(_LINKS, [_signed(rows), pa.nulls(n, pa.int64()), np.full(n, k, U64).view(np.int64), np.arange(n), np.full(n, n)])
+                own = rows["fp"] if rows.dtype.names else rows
+                yield batch_of(_LINKS, [_signed(own), pa.nulls(n, pa.int64()), np.full(n, k, U64).view(np.int64), np.arange(n), np.full(n, n)])
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            more = [batch.column(i).to_numpy().view(U64) for i in (0, 1)]
-            key, fp = np.concatenate([key, more[0]]), np.concatenate([fp, more[1]])
+            more = links.rows(batch)
+            key = np.concatenate([key, batch.column(0).to_numpy().view(U64)])
+            fp = more if fp is None else np.concatenate([fp, more])
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
             if cut:
                 yield from large(link_groups(links, key[:cut], fp[:cut], limit))
@@ -253,8 +259,11 @@ def links(distinct: DataFrame, bits: int = BITS, limit: int = GROUP) -> DataFram
     return compared(keys, Links, bits, limit)
 
 
-def compared(keys: DataFrame, collector, bits: int, limit: int) -> DataFrame:
-    """Links (u, v) that the collector makes of the fingerprints with equal keys (key, fp)."""
+def compared(keys: DataFrame, collector, bits: int, limit: int, facts: DataFrame | None = None) -> DataFrame:
+    """Links (u, v) that the collector makes of the fingerprints with equal keys (key, fp).
+
+    Keys may carry further columns for the collector; ``facts`` gives them by fp again.
+    """
     found = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(collector, bits, limit), _LINKS_DDL), "simhash-links")
     pairs = found.filter("v is not null").select("u", "v")
     large = found.filter("v is null")
@@ -264,6 +273,8 @@ def compared(keys: DataFrame, collector, bits: int, limit: int) -> DataFrame:
     half = limit // 2
     blocks = large.selectExpr("key", "u AS fp", f"place div {half} AS own", f"explode(sequence(0L, (size - 1) div {half})) AS other")
     dealt = blocks.selectExpr("xxhash64(key, least(own, other), greatest(own, other)) AS key", "fp")
+    if facts is not None:
+        dealt = dealt.join(facts, "fp").select(*keys.columns)
     again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(collector, bits, 2 * limit), _LINKS_DDL)
     return pairs.union(again.filter("v is not null").select("u", "v"))
 

@@ -419,6 +419,60 @@ def _shingles(text):
     return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
 
 
+def test_rounds_meet_every_row_of_another_component():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
+    flips = (np.uint64(1) << rng.integers(0, 64, (6, 80), dtype=np.uint64)) | (np.uint64(1) << rng.integers(0, 64, (6, 80), dtype=np.uint64))
+    fp = np.unique(base[0] ^ (base[:, None] & np.uint64(0xFFF)) ^ flips)
+    own = np.zeros(len(fp), near_copies._NODE)
+    own["fp"], own["root"] = fp, rng.integers(0, 5, len(fp))
+    apart = np.bitwise_count(fp[:, None] ^ fp)
+    wanted = {(x, y) for i, x in enumerate(fp.tolist()) for j, y in enumerate(fp.tolist())
+              if x < y and apart[i, j] <= 10 and own["root"][i] != own["root"][j]}
+    counts = []
+    for take in (4, 32, len(fp)):
+        others = near_copies.Others(10, take)
+        assert not list(simhash.link_groups(others, np.zeros(len(fp), np.uint64), own, 4096))
+        u, v = others.result()
+        pairs = {(x, y) for x, y in zip(u.tolist(), v.tolist()) if x != y}
+        assert pairs <= wanted
+        assert (pairs == wanted) or (u == v).any()  # what is missing is announced
+        counts.append(len(pairs))
+    assert counts == sorted(counts) and counts[0] < counts[-1] == len(wanted)
+
+
+def test_crowded_keys_lose_no_link(spark):
+    """Many texts that share most of their words: all are near in the keys, few are copies."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    frame = rng.choice(words, 200).tolist()
+    made = []
+    for _ in range(12):
+        group = list(frame)
+        for at in rng.choice(200, 8, replace=False):
+            group[at] = str(rng.choice(words)) + "x"
+        for _ in range(10):
+            text = list(group)
+            for at in rng.choice(200, 2, replace=False):
+                text[at] = str(rng.choice(words)) + "y"
+            made.append(" ".join(text))
+    cut = [{" ".join(t.split()[i : i + 5]) for i in range(196)} for t in made]
+    root = list(range(len(made)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(made)):
+        for j in range(i):
+            if len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(made)) if root[i] == i]
+
+
 def test_one_of_each_group_of_near_copies_stays(spark, docs, texts, awkward, empty):
     rng = np.random.default_rng(8)
     base = [[f"w{x}" for x in rng.integers(0, 5000, 150)] for _ in range(6)]
