@@ -97,12 +97,15 @@ def _describe(batches):
         )
 
 
-_NODE = np.dtype([("fp", "<u8"), ("root", "<i8")])
+_NODE = np.dtype([("fp", "<u8"), ("root", "<i8"), ("n", "<i8")])
 
 
 class Others(Links):
     """Collects, from each key with more rows than Nearest compares in full, the pairs of a row and its
-    ``take`` nearest rows of other components; (fp, fp) says that a row has still more."""
+    ``take`` nearest rows of other components; (fp, fp) says that a row has still more.
+
+    Sets whose sizes differ by more than SIMILARITY cannot be that similar and do not meet.
+    """
 
     small = Nearest.small
 
@@ -113,7 +116,7 @@ class Others(Links):
     def rows(self, batch: pa.RecordBatch) -> np.ndarray:
         out = np.empty(batch.num_rows, _NODE)
         out["fp"] = batch.column(1).to_numpy().view(U64)
-        out["root"] = batch.column(2).to_numpy()
+        out["root"], out["n"] = batch.column(2).to_numpy(), batch.column(3).to_numpy()
         return out
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -122,13 +125,15 @@ class Others(Links):
         super().add(x, y)
 
     def group(self, own: np.ndarray) -> None:
-        fp, root = own["fp"], own["root"]
+        fp, root, n = own["fp"], own["root"], own["n"]
         if (root == root[0]).all():
             return
         for at in range(0, len(fp), 256):
             rows = fp[at : at + 256]
             apart = np.bitwise_count(rows[:, None] ^ fp)
             apart[root[at : at + 256, None] == root] = 99
+            size = n[at : at + 256, None]
+            apart[np.minimum(size, n) < SIMILARITY * np.maximum(size, n)] = 99
             near = apart <= self.bits
             beyond = near.sum(axis=1) > self.take
             some = np.flatnonzero(beyond)
@@ -145,8 +150,8 @@ class Others(Links):
 
 
 def _make_keys(batches):
-    """(key, fp) and, if the batches have it, the root."""
-    kind = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("root", pa.int64())])
+    """(key, fp) and, if the batches have them, root and n."""
+    kind = pa.schema([(c, pa.int64()) for c in ("key", "fp", "root", "n")])
     for batch in batches:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
@@ -156,9 +161,7 @@ def _make_keys(batches):
                 a, b = codes[:, i, :, None], codes[:, j, None, :]
                 row, *_ = there = np.nonzero((a != _NONE) & (b != _NONE))
                 keys = ((a << 12) | b)[there] | (k << 24)
-                made = [keys, fp[row]]
-                if part.num_columns == 3:
-                    made.append(part.column(2).to_numpy()[row])
+                made = [keys, fp[row], *[c.to_numpy()[row] for c in part.columns[2:]]]
                 yield batch_of(pa.schema(list(kind)[: len(made)]), made)
 
 
@@ -197,7 +200,7 @@ def keep_one(docs: DataFrame, text: str = "text", limit: int = GROUP) -> DataFra
         described.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("best"), *[F.first(c).alias(c) for c in ("fp", "codes", "n", "sketch")]),
         "near-copies",
     )
-    nodes = stored(own.groupBy("fp").agg(F.min("same").alias("same"), F.min_by("codes", "same").alias("codes")), "near-copies")
+    nodes = stored(own.groupBy("fp").agg(F.min("same").alias("same"), *[F.min_by(c, "same").alias(c) for c in ("codes", "n")]), "near-copies")
     parts = max(1, -(-nodes.count() // DEALT))
     keys = nodes.select("fp", "codes").repartition(parts, "fp").mapInArrow(_make_keys, "key long, fp long")
     place, sketch = nodes.select("fp", "same"), own.select("same", "sketch", "n")
@@ -207,17 +210,20 @@ def keep_one(docs: DataFrame, text: str = "text", limit: int = GROUP) -> DataFra
         return stored(both.mapInArrow(_similar, "u long, v long"), "near-copies")
 
     def of_nodes(near: DataFrame) -> DataFrame:
-        return near.distinct().join(place.toDF("u", "a"), "u").join(place.toDF("v", "b"), "v").select("a", "b")
+        return near.join(place.toDF("u", "a"), "u").join(place.toDF("v", "b"), "v").select("a", "b")
 
     equal = own.join(place.select("fp", F.col("same").alias("a")), "fp").filter("a <> same").select("a", F.col("same").alias("b"))
-    similar = verified(of_nodes(compared(keys, Nearest, APART, limit)).union(equal))
+    tested = stored(compared(keys, Nearest, APART, limit).distinct(), "near-copies")
+    similar = verified(of_nodes(tested).union(equal))
     roots, take = components(similar), OTHERS
     while True:
-        rooted = nodes.join(roots.select(F.col("node").alias("same"), "root"), "same", "left").select("fp", "codes", F.coalesce("root", "same").alias("root"))
-        keys = rooted.repartition(parts, "fp").mapInArrow(_make_keys, "key long, fp long, root long")
+        root = roots.select(F.col("node").alias("same"), "root")
+        rooted = nodes.join(root, "same", "left").select("fp", "codes", F.coalesce("root", "same").alias("root"), "n")
+        keys = rooted.repartition(parts, "fp").mapInArrow(_make_keys, "key long, fp long, root long, n long")
         others = functools.partial(Others, take=take)
-        found = stored(compared(keys, others, APART, limit, rooted.select("fp", "root")), "near-copies")
-        more = verified(of_nodes(found.filter("u <> v")))
+        found = stored(compared(keys, others, APART, limit, rooted.select("fp", "root", "n")), "near-copies")
+        new = stored(found.filter("u <> v").distinct().join(tested, ["u", "v"], "left_anti"), "near-copies")
+        tested, more = tested.union(new), verified(of_nodes(new))
         if not more.isEmpty():
             similar = similar.union(more)
             roots = components(similar)

@@ -425,10 +425,11 @@ def test_rounds_meet_every_row_of_another_component():
     flips = (np.uint64(1) << rng.integers(0, 64, (6, 80), dtype=np.uint64)) | (np.uint64(1) << rng.integers(0, 64, (6, 80), dtype=np.uint64))
     fp = np.unique(base[0] ^ (base[:, None] & np.uint64(0xFFF)) ^ flips)
     own = np.zeros(len(fp), near_copies._NODE)
-    own["fp"], own["root"] = fp, rng.integers(0, 5, len(fp))
+    own["fp"], own["root"], own["n"] = fp, rng.integers(0, 5, len(fp)), rng.integers(80, 120, len(fp))
     apart = np.bitwise_count(fp[:, None] ^ fp)
     wanted = {(x, y) for i, x in enumerate(fp.tolist()) for j, y in enumerate(fp.tolist())
-              if x < y and apart[i, j] <= 10 and own["root"][i] != own["root"][j]}
+              if x < y and apart[i, j] <= 10 and own["root"][i] != own["root"][j]
+              and 5 * min(own["n"][i], own["n"][j]) >= 4 * max(own["n"][i], own["n"][j])}
     counts = []
     for take in (4, 32, len(fp)):
         others = near_copies.Others(10, take)
