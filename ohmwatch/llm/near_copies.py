@@ -41,8 +41,9 @@ SEED = 42
 #: Rows that are left by a broadcast of their numbers; more are left by a shuffled join.
 BROADCAST_ROWS = 1 << 20
 DEALT = 4096
-#: Rows of other components that a row meets in the first round, and the growth by round.
-OTHERS, GROWTH = 8, 4
+#: Rows of other components that a row meets in the first round, and the growth by round: links are
+#: rare after the first, and every further round deals all keys again.
+OTHERS, GROWTH = 8, 512
 
 _SEGMENT = 23
 _SEGMENTS = 3
