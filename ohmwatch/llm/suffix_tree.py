@@ -1,20 +1,24 @@
 """Probabilistic suffix tree over words: contexts of variable length, kept by divergence.
 
-The root's distribution is that of single tokens, add-0.1 smoothed.  A context (the last
-one or two words, all of them and the symbols after it frequent) is examined if it makes up
-at least MIN_SHARE of the training tokens, and kept if its next symbols diverge from
-those of the context without its first word by more than chance (a likelihood-ratio
-test).  A kept context discounts the counts of its frequent next symbols and leaves the
-rest to the shorter context, so each state is a distribution over all tokens:
+The root's distribution is that of single tokens, add-0.1 smoothed.  A context (the last one to
+DEPTH words) is examined if it and a symbol after it occur LEAST times in the training texts, and
+kept if its next symbols diverge from those of the context without its first word by more
+than chance (a likelihood-ratio test).  A kept context discounts the counts of the symbols that
+follow it LEAST times and leaves the rest to the shorter context, so each state is a
+distribution over all tokens:
 
     P(x | s) = max(count(s x) - D, 0) / count(s) + rest(s) * P(x | s without its first word)
 
-A token is scored in the longest kept state that its predecessors end with.
+A token is scored in the longest kept state that its predecessors end with.  As log P(x | s) is
+log P(x | shorter) + log rest(s), and for a counted pair (s, x) some more, a text's score is the sum of
+what its words, its contexts and its pairs add: each is looked up on its own.
 
-Counting is one pass over the corpus per context length; tasks add up what they read and
-Spark adds up the tasks.  The shares bound the model: at most 1 / MIN_SHARE contexts of
-a length and 1 / MIN_PAIR pairs, so it is broadcast, as are the counts of the HEAD most
-frequent words.  All other words meet their counts in a join.
+The floor is a count, not a share, so the tree grows with the corpus.  Contexts and pairs are Spark
+tables; the test and the probabilities are joins and sums by context.  What LEAST rules out (a pair
+whose context or whose shorter pair is rarer) is dropped before the shuffle by a filter of the
+level before, which lets some too many through and never one too few.  Only the HEAD most
+frequent words and the most frequent states are broadcast, with a filter of all states; all others meet the
+distinct words, contexts and pairs of a text in a join.  Neither changes a result.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z, and one end per text; null and empty
 texts are the end alone.  Words are known by a 64-bit hash.  A null id is never held
@@ -24,7 +28,7 @@ every token has the probability 1 that the formula gives.
 
 from __future__ import annotations
 
-import math
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +37,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ohmwatch.llm.arrays import (
-    LARGE, LOWER, NOT_BLANK, U64, batch_of, per_row, pieces, positions, row_sums, span_hashes, spans, stored, texts,
+    LARGE, LOWER, NOT_BLANK, U64, batch_of, mixed, per_row, pieces, positions, row_sums, span_hashes, spans, stored, texts,
 )
 
-DEPTH = 2
-MIN_SHARE = 1e-4
-MIN_PAIR = 1e-6
+#: Words of the longest context; occurrences from which contexts and pairs count.
+DEPTH = 4
+LEAST = 3
 DISCOUNT = 0.5
 SMOOTH = 0.1
-HEAD = 1 << 18
+#: Words that are broadcast, and states per word of these.
+HEAD, STATES = 1 << 18, 4
 #: The hash that stands for the end of a text.
 END = U64(0x5EED0FE1D0FD0C5E)
 #: Distinct counts that a task holds before it hands them on.
 HELD = 1 << 21
+#: A filter's blocks: bits of one, keys meant for one, at most so many (64 MB).
+BLOCK, PER_BLOCK, BLOCKS = 1 << 15, 1 << 11, 1 << 14
+
+_NEXT = U64(0xD6E8FEB86659FD93)
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray]:
@@ -57,25 +66,43 @@ def tokens(column) -> tuple[np.ndarray, np.ndarray]:
     return hashes, first + np.arange(len(first))
 
 
+def grams(hashes: np.ndarray, bounds: np.ndarray, most: int):
+    """For lengths 1 to ``most``: hash of the words that end at each token, and whether its text
+    has so many."""
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    own = hashes
+    for length in range(1, most + 1):
+        yield own, place >= length - 1
+        own = appended(before(own), hashes)
+
+
+def before(values: np.ndarray) -> np.ndarray:
+    """The value at the token before; the first has none."""
+    return np.concatenate([np.zeros(1, values.dtype), values])[: len(values)]
+
+
+def appended(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Hash of a context's words and the symbol after them."""
+    return mixed(context * _NEXT + symbol)
+
+
 class Counter:
-    """Adds up counts by key; hands on what it holds when that is too much."""
+    """Adds up counts by key, with columns that depend on the key; hands on what it holds when that is too much."""
 
     def __init__(self):
-        self.keys, self.counts, self.n = [], [], 0
+        self.clear()
 
-    def add(self, keys: np.ndarray) -> None:
-        keys, counts = np.unique(keys, return_counts=True)
-        self.keys.append(keys)
-        self.counts.append(counts)
+    def add(self, keys: np.ndarray, *columns: np.ndarray) -> None:
+        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((keys, counts, *[c[at] for c in columns]))
         self.n += len(keys)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.keys:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        keys, place = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.bincount(place, np.concatenate(self.counts), len(keys)).astype(np.int64)
-        self.keys, self.counts, self.n = [keys], [counts], len(keys)
-        return keys, counts
+    def merged(self) -> tuple[np.ndarray, ...]:
+        keys, counts, *columns = [np.concatenate(c) for c in zip(*self.parts)]
+        keys, at, place = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(place, counts, len(keys)).astype(np.int64)
+        self.parts, self.n = [(keys, counts, *[c[at] for c in columns])], len(keys)
+        return self.parts[0]
 
     def full(self) -> bool:
         if self.n > HELD:
@@ -83,213 +110,295 @@ class Counter:
         return self.n > HELD // 2
 
     def clear(self) -> None:
-        self.keys, self.counts, self.n = [], [], 0
+        self.parts, self.n = [], 0
 
 
-_COUNTS = pa.schema([("k", pa.int64()), ("c", pa.int64())])
+def _long(values: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(values).view(np.int64)
 
 
-def _counts(text_at, keys_of):
-    """Task function: counts of the keys that ``keys_of()(hashes, bounds)`` gives."""
+def counted(texts_: DataFrame, names: list[str], keys_of) -> DataFrame:
+    """(names, c): how often each of the keys that ``keys_of(hashes, bounds)`` gives, one column
+    for all names or the key and a column for each name, occurs in the whole of ``texts_`` (one column)."""
+    kind = pa.schema([(x, pa.int64()) for x in (*names, "c")])
 
     def run(batches):
-        make, counter = keys_of(), Counter()
-        for piece in pieces(batches, text_at, LARGE):
-            counter.add(make(*tokens(piece.column(text_at))))
+        counter = Counter()
+
+        def held():
+            keys, counts, *columns = counter.merged()
+            return batch_of(kind, [*[_long(c) for c in columns or [keys]], counts])
+
+        for piece in pieces(batches, 0, LARGE):
+            counter.add(*keys_of(*tokens(piece.column(0))))
             if counter.full():
-                keys, counts = counter.merged()
-                yield batch_of(_COUNTS, [keys.view(np.int64), counts])
+                yield held()
                 counter.clear()
-        keys, counts = counter.merged()
-        yield batch_of(_COUNTS, [keys.view(np.int64), counts])
+        if counter.n:
+            yield held()
+
+    ddl = ", ".join(f"{x} long" for x in (*names, "c"))
+    return texts_.mapInArrow(run, ddl).groupBy(*names).agg(F.sum("c").alias("c"))
+
+
+def _all_tokens(hashes, bounds):
+    return (hashes,)
+
+
+class Filter:
+    """Which keys may be in a table: none of its keys is refused, few others are let through."""
+
+    def __init__(self, keys: DataFrame):
+        """Of the one column of ``keys``; a task fills whole blocks."""
+        count = keys.count()
+        self.blocks = 1
+        while self.blocks < min(BLOCKS, count / PER_BLOCK):
+            self.blocks *= 2
+        of, name = self._places, keys.columns[0]
+
+        def fill(batches):
+            found: dict[int, np.ndarray] = {}
+            for batch in batches:
+                block, bits = of(batch.column(0).to_numpy().view(U64))
+                order = np.argsort(block, kind="stable")
+                cuts = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0])) if len(block) else []
+                for at, end in zip(cuts, [*cuts[1:], len(block)]):
+                    own = found.setdefault(int(block[order[at]]), np.zeros(BLOCK, bool))
+                    for b in bits:
+                        own[b[order[at:end]]] = True
+            kind = pa.schema([("block", pa.int64()), ("bits", pa.binary())])
+            for block, own in found.items():
+                yield batch_of(kind, [[block], [np.packbits(own, bitorder="little").tobytes()]])
+
+        block = F.shiftrightunsigned(name, 50).bitwiseAND(F.lit(self.blocks - 1))
+        filled = keys.repartition(block).mapInArrow(fill, "block long, bits binary").toArrow()
+        self.bits = np.zeros(self.blocks * BLOCK // 8, np.uint8)
+        for number, bits in zip(filled["block"].to_pylist(), filled["bits"].to_pylist()):
+            self.bits[number * BLOCK // 8 : (number + 1) * BLOCK // 8] = np.frombuffer(bits, np.uint8)
+
+    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        block = ((keys >> U64(50)) & U64(self.blocks - 1)).astype(np.int64)
+        return block, [((keys >> U64(15 * i)) & U64(BLOCK - 1)).astype(np.int64) for i in range(3)]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        block, bits = self._places(keys)
+        found = np.ones(len(keys), bool)
+        for b in bits:
+            at = block * BLOCK + b
+            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return found
 
-    return run
 
+class Tree:
+    """The model: training tokens ``n`` and types ``v``, the most frequent words, and for contexts
+    of i + 1 words ``states[i]``: tables of the kept contexts and of the pairs, see _level."""
 
-def counted(texts_: DataFrame, keys_of) -> DataFrame:
-    """(k, c): how often each key occurs in the whole of ``texts_`` (one column)."""
-    return texts_.mapInArrow(_counts(0, keys_of), "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
+    def __init__(self, n: int, v: int, heads: tuple[np.ndarray, np.ndarray], head: int):
+        self.n, self.v, self.room = n, v, head
+        order = np.argsort(heads[0])
+        self.frequent, self.frequent_count = heads[0][order], heads[1][order]
+        self.states: list[tuple[DataFrame, DataFrame]] = []
 
+    @functools.cached_property
+    def levels(self) -> list[dict[str, np.ndarray]]:
+        """The kept states as sorted arrays, for a look at small trees."""
+        out = []
+        for contexts, pairs in self.states:
+            own = contexts.toArrow()
+            kept = pairs.filter("more is not null").select("key", "share").toArrow()
+            own, kept = [[t.column(i).to_numpy() for i in range(2)] for t in (own.select(["ctx", "rest"]), kept)]
+            level = {}
+            for (at, name), (key, value) in zip((("contexts", "rest"), ("pairs", "shares")), (own, kept)):
+                order = np.argsort(_unsigned(key))
+                level |= {at: _unsigned(key)[order], name: value[order]}
+            out.append(level)
+        return out
 
-def _all_tokens():
-    return lambda hashes, bounds: hashes
 
+def _unsigned(values) -> np.ndarray:
+    return np.ascontiguousarray(values).view(U64)
 
-class Tree:
-    """The model's arrays.  Symbols and context words are numbered by ``frequent``.
 
-    ``levels[i]`` has for contexts of i + 1 words: their sorted keys, the share left to the
-    shorter context, and sorted pair keys with the discounted shares.
-    """
+def _shares(tree: Tree, context: np.ndarray, symbol: np.ndarray, length: int) -> np.ndarray:
+    """P(frequent symbol | kept context of ``length`` words, one at most)."""
+    value = (tree.frequent_count[symbol] + SMOOTH) / (tree.n + SMOOTH * (tree.v + 1))
+    for level in tree.levels[:length]:
+        at, kept = positions(level["contexts"], context)
+        pair, there = positions(level["pairs"], appended(context, tree.frequent[symbol]))
+        extra = np.where(there, level["shares"][pair], 0.0)
+        value = np.where(kept, extra + level["rest"][at] * value, value)
+    return value
 
-    def __init__(self, n: int, v: int, heads: tuple[np.ndarray, np.ndarray]):
-        self.n, self.v = n, v
-        order = np.argsort(heads[0])
-        self.head, self.head_count = heads[0][order], heads[1][order]
-        often = self.head_count >= max(1, math.ceil(MIN_SHARE * n))
-        self.frequent, self.frequent_count = self.head[often], self.head_count[often]
-        self.levels: list[dict[str, np.ndarray]] = []
-
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        at, there = positions(self.frequent, hashes)
-        return np.where(there, at, -1)
-
-
-def context_keys(symbols: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
-    """Key of the ``length`` symbols before each token, -1 where there are not so many or
-    one is not frequent.  Sixteen bits a symbol, the oldest highest."""
-    n = len(symbols)
-    place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    key = np.zeros(n, np.int64)
-    fine = place >= length
-    for back in range(length, 0, -1):
-        before = np.full(n, -1, np.int64)
-        before[back:] = symbols[:-back]
-        fine &= before >= 0
-        key = (key << 16) | np.maximum(before, 0)
-    return np.where(fine, key, -1)
-
-
-def _pairs(shared, length: int, contexts):
-    """Keys (context, symbol) for frequent symbols after the examined contexts."""
-
-    def keys_of():
-        frequent, wanted = shared.value, contexts.value
-
-        def make(hashes, bounds):
-            at, there = positions(frequent, hashes)
-            symbols = np.where(there, at, -1)
-            context = context_keys(symbols, bounds, length)
-            place, known = positions(wanted, context)
-            known &= (context >= 0) & there
-            return (place[known].astype(U64) << U64(16)) | symbols[known].astype(U64)
-
-        return make
 
-    return keys_of
+def _head(table: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the largest counts, as many as ``most`` takes, from a small histogram of counts."""
+    bucket = F.floor(F.log2(count) * 4)
+    tops, floor = 0, None
+    for b, rows in sorted(table.groupBy(bucket.alias("b")).count().collect(), reverse=True):
+        tops += rows
+        if tops > most:
+            break
+        floor = b
+    return table.filter(bucket >= floor if floor is not None else F.lit(False))
 
 
 def learn(texts_: DataFrame, depth: int = DEPTH, head: int = HEAD) -> tuple[Tree, DataFrame]:
     """The tree from all of ``texts_`` (one column) and the table of all tokens' counts."""
-    context = texts_.sparkSession.sparkContext
-    vocabulary = stored(counted(texts_, _all_tokens), "suffix-tree")
+    vocabulary = stored(counted(texts_, ["k"], _all_tokens), "suffix-tree")
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # The smallest count whose words fit the head, from a small histogram of counts.
-    bucket = F.floor(F.log2("c") * 4)
-    tops, floor = 0, None
-    for b, words in sorted(vocabulary.groupBy(bucket.alias("b")).count().collect(), reverse=True):
-        tops += words
-        if tops > head:
-            break
-        floor = b
-    rows = vocabulary.filter(bucket >= floor if floor is not None else F.lit(False)).toArrow()
-    tree = Tree(n, v, tuple(rows.column(c).to_numpy().astype(kind) for c, kind in (("k", U64), ("c", np.int64))))
-    if len(tree.frequent) >= 1 << 16:
-        raise ValueError("MIN_SHARE lets more words in than sixteen bits number")
-    shared = context.broadcast(tree.frequent)
-    keys, counts = np.arange(len(tree.frequent), dtype=np.int64), tree.frequent_count
-    if len(tree.frequent):
-        follows = tree.frequent != END
-        keys, counts = keys[follows], counts[follows]
+    rows = _head(vocabulary, "c", head).toArrow()
+    tree = Tree(n, v, tuple(rows.column(c).to_numpy().astype(kind) for c, kind in (("k", U64), ("c", np.int64))), head)
+    # Sequences of one word more at each level: their hash, that without the first word, count, P(last | others).
+    p = (F.col("c") + F.lit(SMOOTH)) / F.lit(n + SMOOTH * (v + 1))
+    known = vocabulary.filter(F.col("c") >= LEAST).select(F.col("k").alias("key"), F.lit(None).cast("long").alias("short"), "c", p.alias("p"))
     for length in range(1, depth + 1):
-        if not len(keys):
+        contexts, known = _level(texts_, known, length)
+        if known.isEmpty():
             break
-        pairs = stored(counted(texts_, _pairs(shared, length, context.broadcast(keys))), "suffix-tree")
-        candidates = _kept_level(tree, pairs, keys, counts, length)
-        ends = tree.symbols(np.array([END], U64))[0]
-        longer = candidates[0][(candidates[1] >= MIN_SHARE * n) & ((candidates[0] & 0xFFFF) != ends)]
-        often = candidates[1][(candidates[1] >= MIN_SHARE * n) & ((candidates[0] & 0xFFFF) != ends)]
-        order = np.argsort(longer)
-        keys, counts = longer[order], often[order]
+        tree.states.append((contexts, known))
     return tree, vocabulary
 
 
-def _kept_level(tree: Tree, pairs: DataFrame, keys: np.ndarray, counts: np.ndarray, length: int):
-    """Test the contexts, add the kept ones to the tree, return (pair key, count).
+def _pairs(shared, length: int):
+    """Hash, context and symbol of the pairs that may occur LEAST times."""
+
+    def keys_of(hashes, bounds):
+        *_, (own, fine) = grams(hashes, bounds, length)
+        some = shared.value.has(own) & fine
+        some[1:] &= some[:-1]
+        # A text's first token has nothing before it.
+        some[bounds[:-1][np.diff(bounds) > 0]] = False
+        context, symbol = before(own)[some], hashes[some]
+        return appended(context, symbol), context, symbol
+
+    return keys_of
 
-    Pairs below MIN_PAIR of all tokens stay in Spark; what comes here is bounded.
+
+def _hashed(length: int):
+    """Task function: (ctx, sym, c, total, short of ctx) to the pair's hash and that of the shorter pair."""
+    kind = pa.schema([(x, pa.int64()) for x in ("key", "short", "ctx", "c", "total")])
+
+    def run(batches):
+        for batch in batches:
+            ctx, sym = (_unsigned(batch.column(i).to_numpy()) for i in range(2))
+            short = sym if length == 1 else appended(_unsigned(batch.column(4).to_numpy()), sym)
+            yield batch_of(kind, [_long(appended(ctx, sym)), _long(short), *(batch.column(i) for i in (0, 2, 3))])
+
+    return run
+
+
+def _level(texts_: DataFrame, known: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Count and test the contexts of ``length`` words.
+
+    ``known`` has the sequences of so many words that occur LEAST times.  Returns the kept contexts (ctx, total,
+    rest) and the pairs that occur LEAST times (key, short, c, p, share, more), of which those after a
+    kept context have ``more``: what log10 P grows by beside log10 rest.
     """
-    least = max(2, math.ceil(MIN_PAIR * tree.n))
-    rows = pairs.filter(F.col("c") >= least).toArrow()
-    place, symbol = rows["k"].to_numpy() >> 16, rows["k"].to_numpy() & 0xFFFF
-    count = rows["c"].to_numpy().astype(float)
-    shorter = keys[place] & ((1 << 16 * (length - 1)) - 1) if length > 1 else np.zeros(len(place), np.int64)
-    expected = _shares(tree, shorter, symbol, length - 1)
-    total = counts[place]
+    shared = texts_.sparkSession.sparkContext.broadcast(Filter(known.select("key")))
+    pairs = stored(counted(texts_, ["ctx", "sym"], _pairs(shared, length)).filter(F.col("c") >= LEAST), "suffix-tree")
+    shared.unpersist()
+    totals = known.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.col("short").alias("shorter"))
+    hashed = pairs.join(totals, "ctx").select("ctx", "sym", "c", "total", "shorter")
+    hashed = hashed.mapInArrow(_hashed(length), "key long, short long, ctx long, c long, total long")
+    pairs = stored(hashed.join(known.select(F.col("key").alias("short"), F.col("p").alias("expected")), "short"), "suffix-tree")
+    share = (F.col("c") - F.lit(DISCOUNT)) / F.col("total")
+    sums = pairs.groupBy("ctx").agg(
+        F.first("total").alias("total"), F.count("*").alias("free"), F.sum("c").alias("seen"), F.sum("expected").alias("covered"),
+        F.sum(share).alias("taken"), F.sum(F.col("c") * F.log(F.col("c") / F.col("total") / F.col("expected"))).alias("gain"),
+    )
     # Log-likelihood ratio of the counted pairs and of all other symbols taken together.
-    seen = np.bincount(place, count, len(keys))
-    covered = np.bincount(place, expected, len(keys))
-    gain = np.bincount(place, count * np.log(count / total / expected), len(keys))
-    rest = np.maximum(counts - seen, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, rest * np.log(rest / counts / np.maximum(1 - covered, 1e-12)), 0)
-    free = np.bincount(place, minlength=len(keys))
-    kept = 2 * gain > free + 4 * np.sqrt(2 * np.maximum(free, 1))
-    kept &= free > 0
-    use = kept[place]
-    share = np.maximum(count - DISCOUNT, 0) / total
-    left = 1 - np.bincount(place[use], share[use], len(keys))
-    new = np.cumsum(kept) - 1
-    pair_key = (new[place[use]] << 16) | symbol[use]
-    order = np.argsort(pair_key)
-    tree.levels.append(
-        {"contexts": keys[kept], "rest": left[kept], "pairs": pair_key[order], "shares": share[use][order], "length": length}
-    )
-    return (keys[place] << 16) | symbol, rows["c"].to_numpy()
+    left = (F.col("total") - F.col("seen")).cast("double")
+    other = F.when(left > 0, left * F.log(left / F.col("total") / F.greatest(1 - F.col("covered"), F.lit(1e-12)))).otherwise(0.0)
+    diverges = 2 * (F.col("gain") + other) > F.col("free") + 4 * F.sqrt(2 * F.col("free"))
+    contexts = stored(sums.filter(diverges).select("ctx", "total", (1 - F.col("taken")).alias("rest")), "suffix-tree")
+    both = pairs.join(contexts.select("ctx", "rest"), "ctx", "left")
+    lower = F.col("rest") * F.col("expected")
+    p = F.coalesce(share + lower, F.col("expected"))
+    return contexts, stored(both.select("key", "short", "c", p.alias("p"), share.alias("share"), F.log10(p / lower).alias("more")), "suffix-tree")
 
 
-def _shares(tree: Tree, context: np.ndarray, symbol: np.ndarray, length: int) -> np.ndarray:
-    """P(frequent symbol | context of at most ``length`` words)."""
-    value = (tree.frequent_count[symbol] + SMOOTH) / (tree.n + SMOOTH * (tree.v + 1))
-    for level in tree.levels[:length]:
-        own = context & ((1 << 16 * level["length"]) - 1)
-        value = _step(level, own, symbol, value)
-    return value
+def _salt(length: int, pair: bool) -> np.ndarray:
+    return mixed(np.array([2 * length + pair], U64))
+
+
+def _states(tree: Tree) -> DataFrame | None:
+    """(k, c, v): what each kept context and each pair after one adds to log10 P."""
+    out = None
+    for i, (contexts, pairs) in enumerate(tree.states):
+        salts = [int(_long(_salt(i + 1, pair))[0]) for pair in (False, True)]
+        own = contexts.select(F.col("ctx").bitwiseXOR(F.lit(salts[0])).alias("k"), F.col("total").alias("c"), F.log10("rest").alias("v"))
+        own = own.union(pairs.filter("more is not null").select(F.col("key").bitwiseXOR(F.lit(salts[1])), "c", "more"))
+        out = own if out is None else out.union(own)
+    return out
 
 
-def _step(level, context: np.ndarray, symbol: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """From the shorter context's shares to this level's; -1 keeps what it had."""
-    at, kept = positions(level["contexts"], context)
-    pair, there = positions(level["pairs"], (at << 16) | np.maximum(symbol, 0))
-    extra = np.where(there & (symbol >= 0), level["shares"][pair], 0.0) if len(level["pairs"]) else 0.0
-    rest = level["rest"][at] if len(level["rest"]) else 1.0
-    return np.where(kept, extra + rest * value, value)
+class Lookup:
+    """What the tasks that score need: the frequent words and states, and which states there are."""
+
+    def __init__(self, tree: Tree, states: DataFrame | None):
+        self.n, self.v, self.depth = tree.n, tree.v, len(tree.states)
+        self.frequent, self.frequent_count = tree.frequent, tree.frequent_count
+        if states is not None:
+            top = _head(states, "c", STATES * tree.room).toArrow()
+            keys = _unsigned(top["k"].to_numpy())
+            order = np.argsort(keys)
+            self.keys, self.values = keys[order], top["v"].to_numpy()[order]
+            self.filter = Filter(states.select("k"))
 
 
 _SCORED = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-     ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))]
+     ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
+     ("states", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))]
 )
+_SCORED_DDL = (
+    "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, "
+    "tail array<long>, times array<long>, states array<long>, often array<long>"
+)
+
+
+def _lists(keys: np.ndarray, own: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Distinct keys of each of the ``n`` rows, and how often each occurs there."""
+    order = np.lexsort((keys, own))
+    keys, own = keys[order], own[order]
+    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])[: len(keys)])
+    times = pa.array(np.diff(np.append(new, len(keys))))
+    cuts = pa.array(np.searchsorted(own[new], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(cuts, pa.array(_long(keys[new]))), pa.ListArray.from_arrays(cuts, times)
 
 
 def _score(shared):
     def run(batches):
-        tree: Tree = shared.value
+        tree: Lookup = shared.value
         row = TaskContext.get().partitionId() << 36
         for piece in pieces(batches, 2, LARGE):
             hashes, bounds = tokens(piece.column(2))
-            at, known = positions(tree.head, hashes)
-            symbols = tree.symbols(hashes)
+            n, own = piece.num_rows, np.repeat(np.arange(piece.num_rows), np.diff(bounds))
+            at, known = positions(tree.frequent, hashes)
             # A word outside the head counts as 1 here; its own factor comes with the join.
-            count = np.where(known, tree.head_count[at] if len(tree.head) else 0, 1 - SMOOTH)
-            total = tree.n + SMOOTH * (tree.v + 1)
-            value = (count + SMOOTH) / total
-            base = row_sums(np.log10(value), bounds)
-            for level in tree.levels:
-                value = _step(level, context_keys(symbols, bounds, level["length"]), symbols, value)
-            n = piece.num_rows
+            count = np.where(known, tree.frequent_count[at] if len(tree.frequent) else 0, 1 - SMOOTH)
+            base = row_sums(np.log10((count + SMOOTH) / (tree.n + SMOOTH * (tree.v + 1))), bounds)
+            added, keys, places = np.zeros(len(hashes)), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            for length, (words, fine) in enumerate(grams(hashes, bounds, tree.depth + 1) if tree.depth else ()):
+                # These words are a context of the token after them, and a pair of the last with the others.
+                last = np.zeros(len(hashes), bool)
+                last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+                wanted = ([(length + 1, False, fine & ~last)] if length < tree.depth else []) + ([(length, True, fine)] if length else [])
+                for level, pair, some in wanted:
+                    some = np.flatnonzero(some)
+                    key = words[some] ^ _salt(level, pair)
+                    there = tree.filter.has(key)
+                    key, some = key[there], some[there]
+                    at, there = positions(tree.keys, key)
+                    added[some[there]] += tree.values[at[there]]
+                    keys.append(key[~there])
+                    places.append(some[~there])
+            places = np.concatenate(places)
             other = np.flatnonzero(~known)
-            own = np.searchsorted(bounds, other, "right") - 1
-            order = np.lexsort((hashes[other], own))
-            tail, own = hashes[other][order], own[order]
-            new = np.flatnonzero(np.concatenate([[True], (tail[1:] != tail[:-1]) | (own[1:] != own[:-1])])[: len(tail)])
-            times = pa.array(np.diff(np.append(new, len(tail))))
-            cuts = pa.array(np.searchsorted(own[new], np.arange(n + 1)).astype(np.int32))
-            tail = pa.array(tail[new].view(np.int64))
             yield batch_of(
                 _SCORED,
                 [piece.column(0), piece.column(1), row + np.arange(n), np.diff(bounds), row_sums(known, bounds),
-                 base, row_sums(np.log10(value), bounds), pa.ListArray.from_arrays(cuts, tail), pa.ListArray.from_arrays(cuts, times)],
+                 base, base + row_sums(added, bounds), *_lists(hashes[other], own[other], n), *_lists(np.concatenate(keys), own[places], n)],
             )
             row += n
 
@@ -300,19 +409,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def _exploded(rows: DataFrame, keys: str, times: str) -> DataFrame:
+    places = rows.select("row", F.explode(F.arrays_zip(keys, times)).alias("x"))
+    return places.select("row", F.col(f"x.{keys}").alias("k"), F.col(f"x.{times}").alias("times"))
+
+
 def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame) -> DataFrame:
     """Scores of ``docs`` (doc_id, held_out, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    ddl = "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, tail array<long>, times array<long>"
-    rows = stored(docs.select("doc_id", "held_out", "text").mapInArrow(_score(shared), ddl), "suffix-tree")
-    places = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x"))
-    found = places.select("row", F.col("x.tail").alias("k"), F.col("x.times").alias("times"))
-    found = found.join(vocabulary, "k", "left").select(
+    states = _states(tree)
+    states = None if states is None else stored(states, "suffix-tree")
+    shared = docs.sparkSession.sparkContext.broadcast(Lookup(tree, states))
+    rows = stored(docs.select("doc_id", "held_out", "text").mapInArrow(_score(shared), _SCORED_DDL), "suffix-tree")
+    found = _exploded(rows, "tail", "times").join(vocabulary, "k", "left").select(
         "row",
         F.when(F.col("c").isNull(), 0).otherwise(F.col("times")).alias("known"),
         (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("more"),
+        F.lit(0.0).alias("added"),
     )
-    sums = found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("more").alias("more"))
+    if states is not None:
+        added = _exploded(rows, "states", "often").join(states.select("k", "v"), "k")
+        found = found.union(added.select("row", F.lit(0), F.lit(0.0), F.col("times") * F.col("v")))
+    sums = found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("added").alias("added"))
     more = F.coalesce("more", F.lit(0.0))
     return rows.join(sums, "row", "left").select(
         "doc_id",
@@ -321,7 +438,7 @@ def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame) -> DataFrame:
         (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(tree.n).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + more + F.coalesce("added", F.lit(0.0))).alias("score"),
     )
 
 

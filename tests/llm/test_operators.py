@@ -349,6 +349,64 @@ def test_suffix_tree_is_a_distribution_and_ignores_the_head(spark, docs):
         assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9)
 
 
+def _suffix_tree_scores(train, every):
+    """log10 P of each text by a plain suffix tree over dictionaries."""
+    depth, least, discount = suffix_tree.DEPTH, suffix_tree.LEAST, 0.5
+    after = collections.defaultdict(collections.Counter)
+    for w in train:
+        for i, x in enumerate(w):
+            for k in range(min(depth, i) + 1):
+                after[tuple(w[i - k : i])][x] += 1
+    n, v = sum(after[()].values()), len(after[()])
+
+    def share(s, x):
+        if not s:
+            return (after[s][x] + 0.1) / (n + 0.1 * (v + 1))
+        lower = share(s[1:], x)
+        if s not in kept:
+            return lower
+        c = after[s].get(x, 0)
+        return (c - discount) / kept[s][0] * (c >= least) + kept[s][1] * lower
+
+    kept = {}
+    for s in sorted((s for s in after if s), key=len):
+        total = sum(after[s].values())
+        often = {x: c for x, c in after[s].items() if c >= least}
+        if not often:
+            continue
+        lower = {x: share(s[1:], x) for x in often}
+        gain = sum(c * math.log(c / total / lower[x]) for x, c in often.items())
+        if rest := total - sum(often.values()):
+            gain += rest * math.log(rest / total / max(1 - sum(lower.values()), 1e-12))
+        if 2 * gain > len(often) + 4 * math.sqrt(2 * len(often)):
+            kept[s] = total, 1 - sum(c - discount for c in often.values()) / total
+    return [sum(math.log10(share(tuple(w[max(0, i - depth) : i]), x)) for i, x in enumerate(w)) for w in every], kept
+
+
+def test_suffix_tree_keeps_rare_and_long_contexts(spark, docs, texts):
+    """Contexts count from a few occurrences, however large the corpus, and beyond two words."""
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
+    words = {i: [*blank(t), None] for i, t in texts.items()}
+    want, kept = _suffix_tree_scores([words[i] for i in words if not out[i]], list(words.values()))
+    marked = docs.select("doc_id", suffix_tree.held_out().alias("held_out"), "text")
+    train = marked.filter("NOT held_out").select("text")
+    for head in (50, suffix_tree.HEAD):
+        tree, vocabulary_ = suffix_tree.learn(train, head=head)
+        assert [len(level["contexts"]) for level in tree.levels] == [sum(len(s) == k for s in kept) for k in range(1, 1 + len(tree.levels))]
+        got = {r.doc_id: r.score for r in suffix_tree.score(marked, tree, vocabulary_).collect()}
+        assert all(math.isclose(got[i], x, rel_tol=1e-9, abs_tol=1e-9) for i, x in zip(words, want))
+    assert max(map(len, kept)) > 2
+    rare = [(i, f"w{i} x{i}") for i in range(30_000)] + [(i, "the rare pair of words") for i in range(30_000, 30_005)]
+    tree, _ = suffix_tree.learn(spark.createDataFrame(rare, "doc_id long, text string").select("text"))
+    assert {int(x) for x in tree.frequent[tree.frequent_count == 5]} >= {int(x) for x in tree.levels[0]["contexts"]} != set()
+
+
+def test_filter_refuses_no_key(spark):
+    keys = np.random.default_rng(3).integers(0, 1 << 64, 40_000, dtype=np.uint64)
+    made = suffix_tree.Filter(spark.createDataFrame([(int(k),) for k in keys[:20_000].view(np.int64)], "k long"))
+    assert made.blocks > 1 and made.has(keys[:20_000]).all() and made.has(keys[20_000:]).mean() < 0.1
+
+
 # -- near copies ---------------------------------------------------------------------------------
 
 
