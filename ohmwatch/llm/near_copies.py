@@ -13,8 +13,9 @@ each one is first paired with its two nearest, so that candidates grow with the
 square.  Then, in rounds, every row meets the nearest rows of its keys that are not in its component yet, more of
 them in each round, until no row has one left: no candidate between two components stays unverified.  A
 candidate is verified on the SKETCH least shingle hashes of both texts: exact for texts with no more
-shingles, an estimate with a deviation of 0.025 at 0.8 for longer ones.  Verified
-pairs form components; the row with the least id (then the first in its file) stays.
+shingles.  For longer ones it is an estimate with a deviation of 0.025 at 0.8, which decides only beyond
+SURE (five deviations); all other pairs between two components are compared on all their
+shingles.  Verified pairs form components; the row with the least id (then the first in its file) stays.
 
 Texts without words are equal.  The first one's row stays as it is, with all its columns.
 """
@@ -37,6 +38,8 @@ WORDS = 5
 SIMILARITY = 0.8
 APART = 18
 SKETCH = 256
+#: Distance from SIMILARITY beyond which the sketches decide.
+SURE = 0.125
 SEED = 42
 #: Rows that are left by a broadcast of their numbers; more are left by a shuffled join.
 BROADCAST_ROWS = 1 << 20
@@ -166,21 +169,52 @@ def _make_keys(batches):
                 yield batch_of(pa.schema(list(kind)[: len(made)]), made)
 
 
+_TESTED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("open", pa.bool_())])
+_TESTED_DDL = "u long, v long, open boolean"
+
+
 def _similar(batches):
-    """Keep the candidates whose sketches say SIMILARITY or more."""
-    kind = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    """Keep the candidates whose sketches say SIMILARITY or more; those they leave open are marked."""
     for batch in batches:
-        keep = []
+        keep, unsure = [], []
         for x, y, n, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
             a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
             every = np.sort(np.concatenate([a, b]))
             both, union = every[1:][every[1:] == every[:-1]], distinct(every)
+            beyond = 0.0
             if max(n, m) > SKETCH:  # the least of the union are known, no more
                 union = union[:SKETCH]
                 both = both[both <= union[-1]]
-            keep.append(len(both) >= SIMILARITY * len(union))
+                beyond = SURE
+            possible = min(n, m) >= SIMILARITY * max(n, m)
+            keep.append(possible and len(both) >= (SIMILARITY - beyond) * len(union))
+            unsure.append(len(both) < (SIMILARITY + beyond) * len(union) and beyond > 0)
+        mask = pa.array(keep, pa.bool_())
+        yield batch_of(_TESTED, [c.filter(mask) for c in (batch.column(0), batch.column(1), pa.array(unsure, pa.bool_()))])
+
+
+def _sets(batches):
+    """All distinct shingle hashes of a text, 64 bits each, sorted."""
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    kind = pa.schema([("same", pa.int64()), ("every", pa.binary())])
+    for piece in pieces(batches, 1):
+        bounds, parts = shingles(piece.column(1), WORDS)
+        h = np.fromiter((digest(x, SEED) for x in parts), U64, len(parts))
+        yield batch_of(kind, [piece.column(0), [distinct(h[a:b]).tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]])
+
+
+def _exactly(batches):
+    """Keep the pairs whose sets have SIMILARITY or more."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column(2), batch.column(3)):
+            every = np.sort(np.concatenate([np.frombuffer(z.as_buffer(), "<u8") for z in (x, y)]))
+            both = int((every[1:] == every[:-1]).sum())
+            keep.append(both >= SIMILARITY * (len(every) - both))
         mask = pa.array(keep, pa.bool_())
-        yield batch_of(kind, [batch.column(0).filter(mask), batch.column(1).filter(mask)])
+        yield batch_of(_TESTED, [batch.column(0).filter(mask), batch.column(1).filter(mask), np.zeros(sum(keep), bool)])
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
@@ -190,7 +224,7 @@ def _numbered(docs: DataFrame, name: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text", limit: int = GROUP) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near copies, unchanged."""
-    number = free_name(docs, "row")
+    number, mark = free_name(docs, "row"), free_name(docs, "same")
     try:
         rows = _numbered(docs, number)
     except AnalysisException:  # not read from files as it is
@@ -206,9 +240,24 @@ def keep_one(docs: DataFrame, text: str = "text", limit: int = GROUP) -> DataFra
     keys = nodes.select("fp", "codes").repartition(parts, "fp").mapInArrow(_make_keys, "key long, fp long")
     place, sketch = nodes.select("fp", "same"), own.select("same", "sketch", "n")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, before: DataFrame | None = None) -> DataFrame:
         both = pairs.join(sketch.toDF("a", "x", "n"), "a").join(sketch.toDF("b", "y", "m"), "b").select("a", "b", "x", "y", "n", "m")
-        return stored(both.mapInArrow(_similar, "u long, v long"), "near-copies")
+        tested = stored(both.mapInArrow(_similar, _TESTED_DDL), "near-copies")
+        sure, unsure = tested.filter("NOT open").select("u", "v"), tested.filter("open").select("u", "v")
+        if unsure.isEmpty():
+            return sure
+        # A pair that other links join already changes nothing.
+        linked = stored(components(sure if before is None else before.union(sure)), "near-copies")
+        for c in ("u", "v"):
+            unsure = unsure.join(linked.toDF(c, f"{c}_root"), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+        unsure = stored(unsure.filter("u_root <> v_root").select("u", "v"), "near-copies")
+        wanted = unsure.select("u").union(unsure.select("v")).distinct().toDF("same")
+        wanted = own.join(wanted, "same").select(F.col("best.row").alias(number), "same")
+        # Another name, for the frame may have a column "same".
+        wanted = wanted.withColumnRenamed("same", mark)
+        sets = stored(rows.select(number, text).join(wanted, number).select(mark, text).mapInArrow(_sets, "same long, every binary"), "near-copies")
+        both = unsure.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
+        return sure.union(stored(both.mapInArrow(_exactly, _TESTED_DDL), "near-copies").select("u", "v"))
 
     def of_nodes(near: DataFrame) -> DataFrame:
         return near.join(place.toDF("u", "a"), "u").join(place.toDF("v", "b"), "v").select("a", "b")
@@ -224,7 +273,7 @@ def keep_one(docs: DataFrame, text: str = "text", limit: int = GROUP) -> DataFra
         others = functools.partial(Others, take=take)
         found = stored(compared(keys, others, APART, limit, rooted.select("fp", "root", "n")), "near-copies")
         new = stored(found.filter("u <> v").distinct().join(tested, ["u", "v"], "left_anti"), "near-copies")
-        tested, more = tested.union(new), verified(of_nodes(new))
+        tested, more = tested.union(new), verified(of_nodes(new), similar)
         if not more.isEmpty():
             similar = similar.union(more)
             roots = components(similar)

@@ -548,6 +548,22 @@ def test_one_of_each_group_of_near_copies_stays(spark, docs, texts, awkward, emp
     assert near_copies.keep_one(empty).count() == 0
 
 
+def test_long_texts_near_the_border_are_decided_exactly(spark):
+    made, stay = [], set()
+    for k in range(24):
+        # A word that differs takes five of the 3,000 shingles out: at 66 of them the similarity is 0.802.
+        base = [f"w{k}x{i}" for i in range(3004)]
+        copy = list(base)
+        for j in range(62 + k % 12 if k % 2 else 72 - k % 12):
+            copy[10 + 40 * j] += "y"
+        a, b = _shingles(" ".join(base)), _shingles(" ".join(copy))
+        made += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        stay |= {2 * k} if 5 * len(a & b) >= 4 * len(a | b) else {2 * k, 2 * k + 1}
+    assert 24 < len(stay) < 48
+    kept = near_copies.keep_one(spark.createDataFrame(made, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == stay
+
+
 def test_pipeline_stages_are_the_operators(spark, sf, docs):
     import corpus_pipeline as pipeline
     from ohmwatch.llm.arrays import stored
