@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -564,6 +565,36 @@ def test_long_texts_near_the_border_are_decided_exactly(spark):
     assert {r.doc_id for r in kept.collect()} == stay
 
 
+def _with_similarity(rng, pairs, union):
+    """Sums and fingerprints' bits of pairs of texts that share 0.8 of their ``union`` shingles."""
+    both, bits = union * 4 // 5, rng.integers(0, 2, (pairs, union, 128)) * 2 - 1
+    half = both + (union - both) // 2
+    return bits[:, :half].sum(axis=1), np.concatenate([bits[:, :both], bits[:, half:]], axis=1).sum(axis=1)
+
+
+@pytest.mark.parametrize("union", [10, 20, 40, 160])
+def test_pairs_at_the_border_share_a_key(union):
+    golay, sides = simhash.Golay(), []
+    for sums in _with_similarity(np.random.default_rng(union), 600, union):
+        codes = near_copies.segment_codes(sums, golay)
+        batch = pa.record_batch([pa.array(range(600)), pa.array([x.tobytes() for x in codes], pa.binary())], names=["fp", "codes"])
+        keys = collections.defaultdict(set)
+        for made in near_copies._make_keys([batch]):
+            for key, row in zip(*(c.to_pylist() for c in made.columns)):
+                keys[row].add(key)
+        sides.append(keys)
+    found = sum(bool(sides[0][i] & sides[1][i]) for i in range(600))
+    assert found >= 0.99 * 600
+
+
+def test_texts_with_one_fingerprint_meet_each_other(spark):
+    """A hundred equal shingles' worth of weight in one: texts whose words differ, with equal bits."""
+    said = " ".join(["la"] * 600)
+    made = [said + " " + " ".join(f"{k}w{i}" + ("y" if j and i == 20 else "") for i in range(60)) for k in range(4) for j in range(2)]
+    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6]
+
+
 def test_pipeline_stages_are_the_operators(spark, sf, docs):
     import corpus_pipeline as pipeline
     from ohmwatch.llm.arrays import stored
