@@ -216,6 +216,26 @@ def test_packing(spark, docs, awkward, empty, texts, encode):
     assert all(len(r.ids) == 2048 for r in filled) and sorted(flat) == sorted(x for r in docs.limit(3).collect() for x in encode(r.text))
 
 
+_LONG = "".join(f"<p>A long sentence of the body, number {i}, with marks; it goes on and on, as such bodies do.</p>" for i in range(6))
+_BODY = "\n".join(f"A long sentence of the body, number {i}, with marks; it goes on and on, as such bodies do." for i in range(6))
+
+
+def test_main_text_ratio_decides_beside_article_elements():
+    cards = "".join(f"<article class=card><h3>Card {i}</h3><p><a href=x>More</a> here.</p></article>" for i in range(4))
+    assert main_text.main_text(f"<body><div><div class=body>{_LONG}</div></div><div class=cards>{cards}</div></body>") == _BODY
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "has-sidebar", "elementor-widget-container", "widget"])
+def test_main_text_one_class_word_does_not_bar_the_page(name):
+    assert main_text.main_text(f"<body><div class='{name}'><article>{_LONG}</article></div></body>") == _BODY
+    assert main_text.main_text(f"<body><div class='{name}'><div>{_LONG}</div></div><div class=sidebar>no, no.</div></body>") == _BODY
+
+
+def test_main_text_keeps_lists_and_tables_of_the_body():
+    page = f"<body><div><div>{_LONG}<ul><li>one</li><li>two</li></ul><table><tr><td>3</td></tr></table></div><div><ul><li><a href=x>no</a></li></ul></div></div></body>"
+    assert main_text.main_text(page) == f"{_BODY}\none\ntwo\n3"
+
+
 # -- licences, toxicity, quality --------------------------------------------------------
 
 
