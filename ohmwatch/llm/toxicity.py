@@ -120,7 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, shard_rows
     taken = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < F.lit(min(scale, scale * max_rows // n)))
     shards = max(1, -(-min(n, max_rows) // shard_rows))
     # Bounded by max_rows, so a small broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").withColumn("row_hash", F.xxhash64("doc_id", "text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
+    # One row per id, or the equal rows of a repeated id would all meet in one shard.
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).withColumn("row_hash", F.xxhash64("doc_id", "text"))
     dealt = rows.withColumn("shard", F.pmod(F.shiftright("row_hash", 20), F.lit(shards)))
     parts = dealt.select("shard", "row_hash", "toxic", "text").groupBy("shard").applyInPandas(_train_shard, "place long, weight double")
     mean = parts.groupBy("place").agg((F.sum("weight") / shards).alias("weight")).orderBy("place").toPandas()

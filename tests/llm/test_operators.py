@@ -270,6 +270,14 @@ def test_toxicity_learns_and_holds_out(spark, sf, docs, awkward, empty):
     assert toxicity.digest(empty, labels).count() == 0 and toxicity.remove_toxic(awkward, labels.limit(0)).count() == len(AWKWARD)
 
 
+def test_toxicity_takes_a_labelled_id_once(spark, sf, docs):
+    labels = table(spark, sf, "labels")
+    known = labels.filter("toxic IS NOT NULL").filter(~toxicity.held_out()).join(docs, "doc_id").select("doc_id").first()[0]
+    again = docs.filter(F.col("doc_id") == known).crossJoin(spark.range(200)).drop("id")
+    once, often = toxicity.fit(docs, labels), toxicity.fit(docs.union(again), labels)
+    assert once.bias == often.bias and (once.places == often.places).all() and (once.weights == often.weights).all()
+
+
 def test_quality_measures_and_verdict(docs, awkward, texts, empty, spark, sf):
     for df, pairs in ((docs, list(texts.items())), (awkward, AWKWARD)):
         want = []
