@@ -17,7 +17,8 @@ linked instead of all pairs.  A key with more than GROUP fingerprints is cut int
 pairs are dealt out again.  Components then form by alternating stars over written tables.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; null texts have none and get the
-fingerprint zero.  Repeated rows stay, a component of null ids only is null.
+fingerprint zero.  Repeated rows stay, a component of null ids only is null.  ``keep_one`` leaves one
+row of each component as it is, with all its columns: of the least id (null is last), then the first.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ohmwatch.llm.arrays import LOWER, NOT_BLANK, U64, batch_of, per_row, spans, stored, texts, with_struct
+from ohmwatch.llm.arrays import LOWER, NOT_BLANK, U64, batch_of, free_name, per_row, spans, stored, texts, with_struct
 
 WORDS = 4
 BITS = 4
@@ -128,15 +129,8 @@ class Links:
     def __init__(self, bits: int):
         self.bits, self.u, self.v, self.n = bits, [], [], 0
 
-    def rows(self, batch: pa.RecordBatch) -> np.ndarray:
-        """What is compared of a batch (key, fp, ...)."""
-        return batch.column(1).to_numpy().view(U64)
-
-    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x ^ y) <= self.bits
-
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
-        some = self.near(x, y)
+        some = np.bitwise_count(x ^ y) <= self.bits
         self.u.append(x[some])
         self.v.append(y[some])
         self.n += int(some.sum())
@@ -151,35 +145,7 @@ class Links:
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.u:
             return np.zeros(0, U64), np.zeros(0, U64)
-        return self.reduced(np.concatenate(self.u), np.concatenate(self.v))
-
-    def reduced(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return forest(u, v)
-
-
-class Nearest(Links):
-    """Collects pairs that still have to be verified: all of a small group, and from a larger
-    one each fingerprint with its two nearest."""
-
-    small = 8
-
-    def group(self, own: np.ndarray) -> None:
-        for at in range(0, len(own), 256):
-            rows = own[at : at + 256]
-            apart = np.bitwise_count(rows[:, None] ^ own).astype(np.int16)
-            apart[np.arange(len(rows)), at + np.arange(len(rows))] = 99
-            for _ in range(2):
-                best = apart.argmin(axis=1)
-                self.add(rows, own[best])
-                apart[np.arange(len(rows)), best] = 99
-
-    def reduced(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        low, high = np.minimum(u, v), np.maximum(u, v)
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        new = np.ones(len(low), bool)
-        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-        return low[new], high[new]
+        return forest(np.concatenate(self.u), np.concatenate(self.v))
 
 
 def link_groups(links: Links, key: np.ndarray, fp: np.ndarray, limit: int = GROUP):
@@ -209,23 +175,21 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def _compare(collector, bits: int, limit: int):
+def _compare(bits: int, limit: int):
     def run(batches):
-        links = collector(bits)
-        key, fp = np.zeros(0, U64), None
+        links = Links(bits)
+        key, fp = np.zeros(0, U64), np.zeros(0, U64)
 
         def large(found):
             for k, rows in found:
                 n = len(rows)
-                own = rows["fp"] if rows.dtype.names else rows
-                yield batch_of(_LINKS, [_signed(own), pa.nulls(n, pa.int64()), np.full(n, k, U64).view(np.int64), np.arange(n), np.full(n, n)])
+                yield batch_of(_LINKS, [_signed(rows), pa.nulls(n, pa.int64()), np.full(n, k, U64).view(np.int64), np.arange(n), np.full(n, n)])
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            more = links.rows(batch)
             key = np.concatenate([key, batch.column(0).to_numpy().view(U64)])
-            fp = more if fp is None else np.concatenate([fp, more])
+            fp = np.concatenate([fp, batch.column(1).to_numpy().view(U64)])
             cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
             if cut:
                 yield from large(link_groups(links, key[:cut], fp[:cut], limit))
@@ -256,15 +220,12 @@ def links(distinct: DataFrame, bits: int = BITS, limit: int = GROUP) -> DataFram
         raise ValueError(f"the keys find up to {BITS} differing bits")
     parts = max(1, -(-distinct.count() // DEALT))
     keys = distinct.repartition(parts, distinct.columns[0]).mapInArrow(_make_keys, "key long, fp long")
-    return compared(keys, Links, bits, limit)
-
+    return compared(keys, bits, limit)
 
-def compared(keys: DataFrame, collector, bits: int, limit: int, facts: DataFrame | None = None) -> DataFrame:
-    """Links (u, v) that the collector makes of the fingerprints with equal keys (key, fp).
 
-    Keys may carry further columns for the collector; ``facts`` gives them by fp again.
-    """
-    found = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(collector, bits, limit), _LINKS_DDL), "simhash-links")
+def compared(keys: DataFrame, bits: int, limit: int) -> DataFrame:
+    """A forest (u, v) of the links between the fingerprints with equal keys (key, fp)."""
+    found = stored(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits, limit), _LINKS_DDL), "simhash-links")
     pairs = found.filter("v is not null").select("u", "v")
     large = found.filter("v is null")
     if large.isEmpty():
@@ -273,9 +234,7 @@ def compared(keys: DataFrame, collector, bits: int, limit: int, facts: DataFrame
     half = limit // 2
     blocks = large.selectExpr("key", "u AS fp", f"place div {half} AS own", f"explode(sequence(0L, (size - 1) div {half})) AS other")
     dealt = blocks.selectExpr("xxhash64(key, least(own, other), greatest(own, other)) AS key", "fp")
-    if facts is not None:
-        dealt = dealt.join(facts, "fp").select(*keys.columns)
-    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(collector, bits, 2 * limit), _LINKS_DDL)
+    again = dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(bits, 2 * limit), _LINKS_DDL)
     return pairs.union(again.filter("v is not null").select("u", "v"))
 
 
@@ -373,3 +332,19 @@ def digest(docs: DataFrame) -> DataFrame:
     frame, name = with_fingerprint(docs.select("doc_id", "text"))
     rows = stored(frame.select("doc_id", F.col(f"{name}.fp").alias("fp")), "simhash")
     return rows.join(groups(rows), "fp").select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", bits: int = BITS, words: int = WORDS, limit: int = GROUP) -> DataFrame:
+    """The rows of ``docs`` less all but one of each component, unchanged."""
+    number = free_name(docs, "row")
+    frame, name = with_fingerprint(docs, text, words)
+    rows = stored(frame.withColumn(number, F.monotonically_increasing_id()), "simhash-rows")
+    own = rows.select("doc_id", F.col(f"{name}.fp").alias("fp"), F.col(number).alias("row"))
+    # Components by the number of a row: each fingerprint's first row stands for it.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    heads = stored(own.groupBy("fp").agg(first.alias("best")), "simhash-heads")
+    roots = components(links(heads.select("fp"), bits, limit)).select(F.col("node").alias("fp"), "root")
+    rooted = heads.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    gone = stored(own.select("row").join(stay, "row", "left_anti"), "simhash-gone").withColumnRenamed("row", number)
+    return rows.join(gone, number, "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from compare import database, difference
 from ohmwatch.llm import (
-    chat, decontamination, license_scan, main_text, near_copies, packing, quality, simhash, suffix_tree, token_blocks, toxicity,
+    chat, decontamination, license_scan, main_text, packing, quality, simhash, suffix_tree, token_blocks, toxicity,
 )
 from ohmwatch.llm.queries import table, vocabulary
 
@@ -501,133 +501,26 @@ def test_every_pair_within_four_bits_shares_a_key():
     assert all(keys[0][i] & keys[1][i] for i in range(len(a)))
 
 
-def _shingles(text):
-    w = blank(text)
-    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
-
-
-def test_rounds_meet_every_row_of_another_component():
-    rng = np.random.default_rng(5)
-    base = rng.integers(0, 1 << 63, 6, dtype=np.uint64)
-    flips = (np.uint64(1) << rng.integers(0, 64, (6, 80), dtype=np.uint64)) | (np.uint64(1) << rng.integers(0, 64, (6, 80), dtype=np.uint64))
-    fp = np.unique(base[0] ^ (base[:, None] & np.uint64(0xFFF)) ^ flips)
-    own = np.zeros(len(fp), near_copies._NODE)
-    own["fp"], own["root"], own["n"] = fp, rng.integers(0, 5, len(fp)), rng.integers(80, 120, len(fp))
-    apart = np.bitwise_count(fp[:, None] ^ fp)
-    wanted = {(x, y) for i, x in enumerate(fp.tolist()) for j, y in enumerate(fp.tolist())
-              if x < y and apart[i, j] <= 10 and own["root"][i] != own["root"][j]
-              and 5 * min(own["n"][i], own["n"][j]) >= 4 * max(own["n"][i], own["n"][j])}
-    counts = []
-    for take in (4, 32, len(fp)):
-        others = near_copies.Others(10, take)
-        assert not list(simhash.link_groups(others, np.zeros(len(fp), np.uint64), own, 4096))
-        u, v = others.result()
-        pairs = {(x, y) for x, y in zip(u.tolist(), v.tolist()) if x != y}
-        assert pairs <= wanted
-        assert (pairs == wanted) or (u == v).any()  # what is missing is announced
-        counts.append(len(pairs))
-    assert counts == sorted(counts) and counts[0] < counts[-1] == len(wanted)
-
-
-def test_crowded_keys_lose_no_link(spark):
-    """Many texts that share most of their words: all are near in the keys, few are copies."""
-    rng = np.random.default_rng(11)
-    words = [f"w{i}" for i in range(400)]
-    frame = rng.choice(words, 200).tolist()
-    made = []
-    for _ in range(12):
-        group = list(frame)
-        for at in rng.choice(200, 8, replace=False):
-            group[at] = str(rng.choice(words)) + "x"
-        for _ in range(10):
-            text = list(group)
-            for at in rng.choice(200, 2, replace=False):
-                text[at] = str(rng.choice(words)) + "y"
-            made.append(" ".join(text))
-    cut = [{" ".join(t.split()[i : i + 5]) for i in range(196)} for t in made]
-    root = list(range(len(made)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(made)):
-        for j in range(i):
-            if len(cut[i] & cut[j]) >= 0.8 * len(cut[i] | cut[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(made)) if root[i] == i]
-
-
-def test_one_of_each_group_of_near_copies_stays(spark, docs, texts, awkward, empty):
-    rng = np.random.default_rng(8)
-    base = [[f"w{x}" for x in rng.integers(0, 5000, 150)] for _ in range(6)]
-    made = [(1000 + 50 * k + j, " ".join(w if i != 10 * j else f"new{j}" for i, w in enumerate(b))) for k, b in enumerate(base) for j in range(1, 13)]
+def test_one_row_of_each_component_stays(spark, docs, texts, awkward, empty):
+    made = [(10_000 + i, " ".join(f"w{x + (x == 40 + i)}" for x in range(400))) for i in range(9)]
     extra = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [*made, made[0]]], docs.schema)
-    kept = near_copies.keep_one(docs.union(extra))
-    assert kept.columns == docs.columns
     pairs = [*texts.items(), *made, made[0]]
-    sets = [_shingles(t) for _, t in pairs]
-    roots = _components(len(pairs), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
-    least = sorted({r: min(i for (i, _), x in zip(pairs, roots) if x == r) for r in set(roots)}.values())
-    assert sorted(r.doc_id for r in kept.collect()) == least
-    assert near_copies.keep_one(awkward).count() == len({tuple(blank(t)) for _, t in AWKWARD})
-    assert near_copies.keep_one(empty).count() == 0
-
-
-def test_long_texts_near_the_border_are_decided_exactly(spark):
-    made, stay = [], set()
-    for k in range(24):
-        # A word that differs takes five of the 3,000 shingles out: at 66 of them the similarity is 0.802.
-        base = [f"w{k}x{i}" for i in range(3004)]
-        copy = list(base)
-        for j in range(62 + k % 12 if k % 2 else 72 - k % 12):
-            copy[10 + 40 * j] += "y"
-        a, b = _shingles(" ".join(base)), _shingles(" ".join(copy))
-        made += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
-        stay |= {2 * k} if 5 * len(a & b) >= 4 * len(a | b) else {2 * k, 2 * k + 1}
-    assert 24 < len(stay) < 48
-    kept = near_copies.keep_one(spark.createDataFrame(made, "doc_id long, text string"))
-    assert {r.doc_id for r in kept.collect()} == stay
-
-
-def _with_similarity(rng, pairs, union):
-    """Sums and fingerprints' bits of pairs of texts that share 0.8 of their ``union`` shingles."""
-    both, bits = union * 4 // 5, rng.integers(0, 2, (pairs, union, 128)) * 2 - 1
-    half = both + (union - both) // 2
-    return bits[:, :half].sum(axis=1), np.concatenate([bits[:, :both], bits[:, half:]], axis=1).sum(axis=1)
-
-
-@pytest.mark.parametrize("union", [10, 20, 40, 160])
-def test_pairs_at_the_border_share_a_key(union):
-    golay, sides = simhash.Golay(), []
-    for sums in _with_similarity(np.random.default_rng(union), 600, union):
-        codes = near_copies.segment_codes(sums, golay)
-        batch = pa.record_batch([pa.array(range(600)), pa.array([x.tobytes() for x in codes], pa.binary())], names=["fp", "codes"])
-        keys = collections.defaultdict(set)
-        for made in near_copies._make_keys([batch]):
-            for key, row in zip(*(c.to_pylist() for c in made.columns)):
-                keys[row].add(key)
-        sides.append(keys)
-    found = sum(bool(sides[0][i] & sides[1][i]) for i in range(600))
-    assert found >= 0.99 * 600
-
-
-def test_texts_with_one_fingerprint_meet_each_other(spark):
-    """A hundred equal shingles' worth of weight in one: texts whose words differ, with equal bits."""
-    said = " ".join(["la"] * 600)
-    made = [said + " " + " ".join(f"{k}w{i}" + ("y" if j and i == 20 else "") for i in range(60)) for k in range(4) for j in range(2)]
-    kept = near_copies.keep_one(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
-    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6]
+    for df, own in ((docs.union(extra), pairs), (awkward, AWKWARD)):
+        kept = simhash.keep_one(df)
+        fps = [_fingerprint(t) for _, t in own]
+        roots = _components(len(own), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+        want = [min(((i is None, i) for (i, _), x in zip(own, roots) if x == r), default=None)[1] for r in set(roots)]
+        assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    clash = docs.withColumn("row", F.lit(1)).withColumn("simhash", F.lit("x"))
+    assert simhash.keep_one(clash).columns == clash.columns
+    assert simhash.keep_one(empty).count() == 0
 
 
 def test_pipeline_stages_are_the_operators(spark, sf, docs):
     import corpus_pipeline as pipeline
     from ohmwatch.llm.arrays import stored
 
-    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "quality_rules", "simhash_near_copies", "decontamination", "packing"]
+    assert [n for n, _ in pipeline.STAGES] == ["toxicity", "quality_rules", "simhash_near_dedup", "decontamination", "packing"]
     left, before = docs, None
     for _, stage in pipeline.STAGES[:-1]:
         before, left = left, stored(stage(spark, left, sf), "test")
