@@ -1,4 +1,4 @@
-"""The corpus pipeline: toxicity, quality rules, near copies, benchmark decontamination, packing.
+"""The corpus pipeline: toxicity, quality rules, SimHash near-dedup, benchmark decontamination, packing.
 
 Each stage works on all rows that the one before kept; STAGES may also be run one by
 one, each on the written result of the one before.  All but the last return the columns of
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ohmwatch.llm import decontamination, near_copies, packing, quality, toxicity
+from ohmwatch.llm import decontamination, packing, quality, simhash, toxicity
 from ohmwatch.llm.arrays import stored
 from ohmwatch.llm.queries import table, vocabulary
 
@@ -23,7 +23,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality_rules", keep_good),
-    ("simhash_near_copies", keep_one_copy),
+    ("simhash_near_dedup", keep_one_copy),
     ("decontamination", drop_benchmark),
     ("packing", pack),
 ]
