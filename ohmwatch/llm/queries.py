@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ohmwatch.llm import (
     chat,
+    collocations,
     decontamination,
     license_scan,
     main_text,
+    minhash,
     packing,
     quality,
     simhash,
@@ -137,3 +139,38 @@ def op9(spark, sf):
 @query("op10_simhash")
 def op10(spark, sf):
     return simhash.digest(table(spark, sf, "documents"))
+
+
+SQL11 = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), {UPPER}, {LOWER}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g
+  FROM w, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, g, count(*) AS f, string_split(g, ' ') AS s FROM g GROUP BY lang, k, g),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k > 1 AND f >= 10),
+inner_ AS (SELECT lang, array_to_string(s[1:2], ' ') AS g, f FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(s[2:3], ' '), f FROM c WHERE k = 3),
+longest AS (SELECT lang, g, max(f) AS f FROM inner_ GROUP BY lang, g),
+kept AS (SELECT c.* FROM c LEFT JOIN longest o ON c.k = 2 AND c.lang = o.lang AND c.g = o.g WHERE o.f IS NULL OR 100 * o.f < 50 * c.f),
+cuts AS (
+  SELECT kept.lang, kept.g, kept.f AS a, x.f AS l, y.f AS r, cut,
+    CAST((1000000::HUGEINT * kept.f * kept.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM kept, (VALUES (1), (2)) t(cut)
+  JOIN f x ON x.lang = kept.lang AND x.g = array_to_string(kept.s[1:cut], ' ')
+  JOIN f y ON y.lang = kept.lang AND y.g = array_to_string(kept.s[cut + 1:], ' ')
+  WHERE cut < kept.k),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase, a, l, r, n, score
+FROM best JOIN n USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", SQL11)
+def op11(spark, sf):
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op13_minhash")
+def op13(spark, sf):
+    return minhash.digest(table(spark, sf, "documents"))
