@@ -10,6 +10,7 @@ from ohmwatch.llm import (
     chat,
     collocations,
     decontamination,
+    lexical_search,
     license_scan,
     main_text,
     minhash,
@@ -171,6 +172,41 @@ def op11(spark, sf):
     return collocations.collocations(table(spark, sf, "documents"))
 
 
-@query("op13_minhash")
+TERMS = rf"regexp_extract_all(translate(text, {UPPER}, {LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SQL12 = rf"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents), q AS (SELECT item_id, {TERMS} AS w FROM benchmark),
+t AS (SELECT doc_id, unnest(w) AS t FROM d), qt AS (SELECT item_id, unnest(w) AS t FROM q),
+total AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM t WHERE t IN (SELECT t FROM qt) GROUP BY doc_id, t),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+size AS (SELECT doc_id, CAST(75 + (25 * len(d.w) * n) // l AS BIGINT) AS m FROM d, total),
+impact AS (SELECT tf.doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS part FROM tf JOIN size USING (doc_id) JOIN weight USING (t)),
+scores AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM qt JOIN impact USING (t) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query("op12_search", SQL12)
+def op12(spark, sf):
+    return lexical_search.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+BLANK = rf"coalesce(regexp_extract_all(translate(text, {UPPER}, {LOWER}), '[^\x20\x09-\x0D]+'), [])"
+SQL13 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {BLANK} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM least LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op13_minhash", SQL13)
 def op13(spark, sf):
     return minhash.digest(table(spark, sf, "documents"))
