@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cores: int | str = 4, name: str = "ohmwatch", **conf) -> SparkSession:
     """A single-machine session for tests and the bench."""
     builder = (
@@ -37,6 +40,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     # HotSpot leaves methods beyond this size uncompiled; wide projections then
     # run faster as the many small methods of the non-fused form.
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    # Streams with several state variables and timers need this store.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 
