@@ -24,16 +24,23 @@ text of score over 0, has no rows.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ohmwatch.llm.arrays import LOWER, U64, WORD, batch_of, distinct, per_row, pieces, positions, ragged, span_hashes, spans, stored, texts
+from ohmwatch.llm.arrays import (
+    LOWER, WORD, batch_of, distinct, per_row, pieces, positions, ragged, small_batches, span_hashes, spans, stored, texts,
+)
+from ohmwatch.session import run_dir
 
 TOP = 20
 #: Texts of a segment and of a block; without summary; leaders of one list.
-SEGMENT, BLOCK, TINY, LEADERS = 16_384, 512, 8, 64
+SEGMENT, BLOCK, TINY, LEADERS = 8192, 512, 8, 64
+#: Terms and cells that a task works on at once while it makes summaries.
+HELD = 1 << 20
 #: Step of a summary's values (impacts stay below 10^6), numbers of a text's projection.
 STEP, PROJECTED = 4096, 16
 #: Distinct terms of a part of the queries.
@@ -97,35 +104,37 @@ def weights(n_texts: int, df: np.ndarray) -> np.ndarray:
 class Segment:
     """Vectors of some texts and the blocks of their posting lists."""
 
-    def __init__(self, ids, missing, ptr, term, impact, block_ptr, block_docs, list_ptr, keys, tops):
+    def __init__(self, ids, missing, ptr, term, impact, block_ptr, block_docs, list_ptr, sizes, coordinates, tops):
         self.ids, self.missing = ids, missing  # ids of the texts, and which are null
         self.ptr, self.term, self.impact = ptr, term, impact  # vectors, text by text
         self.list_ptr = list_ptr  # first block of each term
         self.block_ptr, self.block_docs = block_ptr, block_docs  # texts of each block
-        self.keys, self.tops = keys, tops  # summaries: block * terms + term (ascending) and the greatest impact in steps
-
-    #: How the arrays are written.
-    kinds = ("<i8", "?", "<i8", "<i4", "<i4", "<i8", "<i4", "<i8", "<i8", "u1")
-
-    def packed(self) -> list[bytes]:
-        every = (self.ids, self.missing, self.ptr, self.term, self.impact, self.block_ptr, self.block_docs, self.list_ptr)
-        width = self.width
-        block, coordinate = np.divmod(self.keys, width)
-        counts = np.bincount(block, minlength=len(self.block_ptr) - 1)
-        narrow = "<u2" if width <= 1 << 16 else "<i4"
-        return [*[a.astype(k).tobytes() for a, k in zip(every, self.kinds)], counts.astype("<i4").tobytes(), coordinate.astype(narrow).tobytes(), self.tops.tobytes()]
+        self.sizes, self.coordinates, self.tops = sizes, coordinates, tops  # summaries: terms of each block, their greatest impact in steps
 
     @property
     def width(self) -> int:
         return max(1, len(self.list_ptr) - 1)
 
+    @functools.cached_property
+    def keys(self) -> np.ndarray:
+        """block * terms + term of the summaries' cells, ascending."""
+        return np.repeat(np.arange(len(self.sizes)) * self.width, self.sizes) + self.coordinates
+
+    def packed(self) -> list[bytes]:
+        arrays = (
+            self.ids, self.missing, self.ptr, self.term, self.impact, self.block_ptr, self.block_docs, self.list_ptr,
+            self.sizes, self.coordinates, self.tops,
+        )
+        return [np.ascontiguousarray(a, k).tobytes() for a, k in zip(arrays, self.kinds(self.width))]
+
+    @staticmethod
+    def kinds(width: int) -> tuple[str, ...]:
+        """How the arrays are written."""
+        return ("<i8", "?", "<i8", "<i4", "<i4", "<i8", "<i4", "<i8", "<i4", "<u2" if width <= 1 << 16 else "<i4", "u1")
+
     @classmethod
     def unpacked(cls, raw: list[bytes]) -> Segment:
-        arrays = [np.frombuffer(x, k) for x, k in zip(raw[:8], cls.kinds)]
-        width = max(1, len(arrays[7]) - 1)
-        counts, coordinate = np.frombuffer(raw[8], "<i4"), np.frombuffer(raw[9], "<u2" if width <= 1 << 16 else "<i4")
-        keys = np.repeat(np.arange(len(counts)), counts) * width + coordinate
-        return cls(*arrays, keys, np.frombuffer(raw[10], "u1"))
+        return cls(*[np.frombuffer(x, k) for x, k in zip(raw, cls.kinds(len(raw[7]) // 8 - 1))])
 
     @classmethod
     def made(cls, ids, missing, ptr, term, impact, weight, block: int) -> Segment:
@@ -155,29 +164,35 @@ class Segment:
         first = np.flatnonzero(new)
         block_ptr = np.append(first, len(docs))
         list_ptr = np.searchsorted(of[first], np.arange(n_terms + 1))
-        keys, tops = cls._summaries(block_ptr, docs, ptr, term, impact, n_terms)
-        return cls(ids, missing, ptr, term, impact, block_ptr, docs, list_ptr, keys, tops)
+        return cls(ids, missing, ptr, term, impact, block_ptr, docs, list_ptr, *cls._summaries(block_ptr, docs, ptr, term, impact, n_terms))
 
-    @staticmethod
-    def _summaries(block_ptr, docs, ptr, term, impact, n_terms):
+    @classmethod
+    def _summaries(cls, block_ptr, docs, ptr, term, impact, n_terms):
         """Coordinatewise maxima of the blocks of more than TINY texts."""
         size, width = np.diff(block_ptr), max(1, n_terms)
-        top = -(-impact // STEP)
+        top = (-(-impact // STEP)).astype(np.uint8)
         wanted = np.flatnonzero(size > TINY)
-        keys, tops = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
-        step = max(1, (1 << 22) // width)
-        for lo in range(0, len(wanted), step):
-            own = wanted[lo : lo + step]
+        narrow = cls.kinds(width)[9]
+        sizes, coordinates, tops = np.zeros(len(size), np.int32), [np.zeros(0, narrow)], [np.zeros(0, np.uint8)]
+        # Blocks whose texts hold HELD terms together, and whose table has HELD cells, at a time.
+        long = np.diff(ptr)
+        upto = np.concatenate([[0], np.cumsum(long[docs])])
+        weight = np.concatenate([[0], np.cumsum(upto[block_ptr[wanted + 1]] - upto[block_ptr[wanted]])])
+        lo = 0
+        while lo < len(wanted):
+            hi = int(np.searchsorted(weight, weight[lo] + HELD, "right")) - 1
+            hi = min(max(hi, lo + 1), lo + max(1, HELD // width), len(wanted))
+            own, lo = wanted[lo:hi], hi
             rows = docs[ragged(block_ptr[own], size[own])]
-            place = np.repeat(np.arange(len(own)), size[own])
-            some = np.diff(ptr)[rows]
+            some = long[rows]
             at = ragged(ptr[rows], some)
             table = np.zeros(len(own) * width, np.uint8)
-            np.maximum.at(table, np.repeat(place, some) * width + term[at], top[at].astype(np.uint8))
+            np.maximum.at(table, np.repeat(np.repeat(np.arange(len(own)), size[own]), some) * width + term[at], top[at])
             found = np.flatnonzero(table)
-            keys.append(own[found // width] * width + found % width)
+            sizes[own] = np.bincount(found // width, minlength=len(own))
+            coordinates.append((found % width).astype(narrow))
             tops.append(table[found])
-        return np.concatenate(keys), np.concatenate(tops)
+        return sizes, np.concatenate(coordinates), np.concatenate(tops)
 
     def scores(self, docs: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Full scores of some texts; ``value`` has the query's weight of each term."""
@@ -279,6 +294,15 @@ def build(counted: DataFrame, n_texts: int, n_terms: int, weight, size: int = SE
     return counted.mapInArrow(run, _INDEX_DDL)
 
 
+def written(index: DataFrame) -> DataFrame:
+    """The index as a table: a segment is a row group of its own, so readers and writers hold one at a time."""
+    spark = index.sparkSession
+    path = run_dir(spark, "search-index")
+    with small_batches(spark):
+        index.write.option("compression", "zstd").option("parquet.block.row.count.limit", 1).parquet(path)
+    return spark.read.schema(index.schema).parquet(path)
+
+
 _HITS = pa.schema([("number", pa.int64()), ("doc_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -320,8 +344,8 @@ def ranked(docs: DataFrame, queries: DataFrame, top: int = TOP, limit: int = TER
         found = counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toArrow()
         df[found["t"].to_numpy()] = found["df"].to_numpy()
         weight = context.broadcast(weights(n_texts, df))
-        index = stored(build(counted, n_texts, n_terms, weight, size, block), "search-index")
-        own = search(index, shared, weight, top)
+        index = written(build(counted, n_texts, n_terms, weight, size, block))
+        own = stored(search(index, shared, weight, top), "search-hits")
         hits = own if hits is None else hits.union(own)
     if hits is None:
         hits = docs.sparkSession.createDataFrame([], "number long, doc_id long, score long")
