@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ohmwatch.config import BLOCK_ROWS, HOUR, KEY, N_LAGS, N_SPLITS, TIME
-from ohmwatch.functions.guards import num, replace
-from ohmwatch.operators.blocks import attach, row_index
+from ohmwatch.functions.axis import forward, without_blocks
+from ohmwatch.functions.guards import aliased, num, replace
+from ohmwatch.operators.blocks import attach, home_rows, row_index, with_halo
 from ohmwatch.operators.sequences import lag_columns, lags_and_future
 
 FUTURE = "future_target"
@@ -91,6 +92,38 @@ def fold_numbers(
     )
 
 
+def fold_plan(df: DataFrame, n_splits: int = N_SPLITS, gap: int = 0, step: int = HOUR, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, ``fold``, ``learns``): fold ``k`` tests the rows with fold = k and trains on those with learns <= k.
+
+    The same folds as ``fold_numbers``; ``gap`` rows before each test part learn in later folds only.
+    """
+    indexed = row_index(fold_numbers(df.select(KEY, TIME), n_splits, step, block_rows), step=step, block_rows=block_rows)
+    size = f"(__n DIV {n_splits + 1})"
+    learns = f"CASE WHEN {size} = 0 THEN {n_splits + 1} ELSE {n_splits + 1} - CAST(floor((__n - __rn - {gap}) / {size}) AS INT) END"
+    return indexed.selectExpr(KEY, TIME, "fold", f"{learns} AS learns")
+
+
+def forecast_grid(
+    features: DataFrame,
+    targets: list[str],
+    horizons: dict[str, int],
+    columns: list[str],
+    n_lags: int = N_LAGS,
+    step: int = HOUR,
+    block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, list[str]]:
+    """One table for all targets and horizons, from one shuffle: the ``columns``, every target's lags, and its
+    value ahead as ``<target>_in_<horizon>``. Rows with complete inputs; and the names of all inputs."""
+    present = [c for c in columns if c in features.columns]
+    slim = features.select(KEY, TIME, *dict.fromkeys([*present, *targets]))
+    haloed = with_halo(slim, n_lags, max(horizons.values()), step, block_rows)
+    lags = {n: text for t in targets for n, text in lag_columns(t, n_lags).items()}
+    ahead = {f"{t}_in_{h}": f"lead(`{t}`, {rows}) {forward()}" for t in targets for h, rows in horizons.items()}
+    shifted = without_blocks(home_rows(haloed.selectExpr("*", *aliased(lags | ahead))))
+    inputs = [*dict.fromkeys([*present, *targets]), *lags]
+    return shifted.dropna(subset=inputs), inputs
+
+
 def train_rows(folded: DataFrame, fold: int, gap: int = 0) -> DataFrame:
     """All rows before the test part of ``fold``, less the last ``gap`` rows per asset."""
     before = folded.filter(f"fold < {fold}")

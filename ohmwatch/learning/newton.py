@@ -15,7 +15,7 @@ tasks add the newest trees.  Only splits (one per node and model) and cuts reach
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -424,4 +424,4 @@ def fit(df: DataFrame, spec: Spec, bins: int = BINS) -> Ensemble:
     cuts = quantile_cuts(df, list(spec.inputs), bins)
     keep = [spec.label, *([spec.fold] if spec.fold else [])]
     table = binned(df, list(spec.inputs), keep, cuts)
-    return Booster(table, list(spec.inputs), cuts, [replace(spec)], bins).grow()[0]
+    return Booster(table, list(spec.inputs), cuts, [spec], bins).grow()[0]

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ohmwatch.config import FORECAST_HORIZONS, FORECAST_TARGETS
 from ohmwatch.functions.guards import rounded
+from ohmwatch.learning.newton import Ensemble
 from ohmwatch.sources.readings import _exists
 
 METRIC_TABLES = ("forecast_metrics", "classifier_metrics", "classifier_report", "confusion_matrix")
@@ -20,20 +21,23 @@ def forecast_name(target: str, horizon: str) -> str:
     return f"forecast_{target}_{horizon}"
 
 
-def save_model(model: PipelineModel, folder: str, name: str) -> str:
+def save_model(model: PipelineModel | Ensemble, folder: str, name: str) -> str:
     path = f"{folder}/{name}"
-    model.write().overwrite().save(path)
+    if isinstance(model, Ensemble):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
     return path
 
 
-def load_model(spark: SparkSession, folder: str, name: str) -> PipelineModel:
+def load_model(spark: SparkSession, folder: str, name: str) -> PipelineModel | Ensemble:
     path = f"{folder}/{name}"
     if not _exists(spark, path):
         raise FileNotFoundError(f"model '{name}' not found in {folder}; train first")
-    return PipelineModel.load(path)
+    return Ensemble.load(spark, path) if _exists(spark, f"{path}/trees") else PipelineModel.load(path)
 
 
-def load_models(spark: SparkSession, folder: str) -> dict[str, PipelineModel]:
+def load_models(spark: SparkSession, folder: str) -> dict[str, PipelineModel | Ensemble]:
     """The served classifier (required) and every forecast model that is there."""
     models = {SERVED_MODEL: load_model(spark, folder, SERVED_MODEL)}
     for target in FORECAST_TARGETS:
