@@ -12,10 +12,12 @@ from ohmwatch.learning import datasets as ds
 from ohmwatch.learning import evaluation as ev
 from ohmwatch.learning import models as m
 from ohmwatch.operators.sequences import failure_label, lags_and_future
-from ohmwatch.plans import scoring, training
+from ohmwatch.plans import incremental, scoring, training
+from ohmwatch.plans.features import build_features, feature_columns
+from ohmwatch.plans.prepare import prepare
 from ohmwatch.session import run_dir
+from ohmwatch.sources import fixtures, store
 from ohmwatch.sources import readings as src
-from ohmwatch.sources import store
 
 KEYS = ["asset_id", "ts"]
 COLS = o.COLS
@@ -181,10 +183,13 @@ def _(spark, sf):
     return ev.confusion_matrix(scored(spark, sf))
 
 
-# -- fits: small ensembles over the whole tables ------------------------------------
+# -- fits over the whole tables; published targets, horizons and folds, fewer trees ------
 
 LABEL_ARGS = (6, 15.0)
 SMALL = m.TrainingSettings(n_splits=2).smaller(2, 2, targets=("top_oil_temp",), horizons={"1d": HORIZON})
+#: Trees of published depth; the published counts are 300 and 400 (README has their times).
+TREES = 3
+WEEK = 168
 
 
 def _stored_label_set(spark, sf):
@@ -201,6 +206,34 @@ def _failure_model(spark, sf, name="xgb"):
     return m.fit(data, COLS, ds.LABEL, SMALL.classifiers[name]), data
 
 
+def _written(df, spark, label):
+    path = run_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _features(spark, sf):
+    """The feature table of the labelled series, kept by two appends: all but the last day, then that."""
+    rated = add(hourly(spark, sf), {"health_index": d.health_index()})
+    series = _written(failure_label(rated, *LABEL_ARGS), spark, "series")
+    folder = run_dir(spark, "store")
+    last = series.agg(F.date_trunc("day", F.max("ts")).alias("t")).first().t
+    incremental.append(spark, folder, series.filter(F.col("ts") < F.lit(last)))
+    incremental.append(spark, folder, series.filter(F.col("ts") >= F.lit(last)))
+    return incremental.read_features(spark, folder)
+
+
+def _feature_model(features, learner=None):
+    """The served classifier on all engineered columns."""
+    columns = feature_columns(features)
+    return m.fit(ds.classification_dataset(features, columns), columns, ds.LABEL, learner or SMALL.classifiers[m.SERVED])
+
+
+def _long_features(spark, sf):
+    series = prepare(fixtures.long_readings(spark, sf))
+    return _written(build_features(series, fill=False), spark, "features")
+
+
 def _classifier_query(key: str, name: str):
     @query(key)
     def _(spark, sf):
@@ -212,69 +245,148 @@ def _classifier_query(key: str, name: str):
 
 _classifier_query("m8_random_forest", "rf")
 _classifier_query("m9_gradient_boosting", "gb")
-_classifier_query("m10_boosted_served", "xgb")
 
 
-def _forecast_model(spark, sf):
-    path = run_dir(spark, "supervised")
-    _dataset(spark, sf).write.parquet(path)
-    data = spark.read.parquet(path)
-    return m.fit(data, [*OTHERS, *LAGS], ds.FUTURE, SMALL.forecaster), data
+@query("m10_boosted_served")
+def _(spark, sf):
+    """The served classifier on the feature table: published depth and folds, F1 and AUC by fold."""
+    features = _features(spark, sf)
+    served = m.CLASSIFIERS[m.SERVED].sized(TREES)
+    settings = m.TrainingSettings(classifiers={m.SERVED: served})
+    return m.train_classifiers(features, feature_columns(features), settings).metrics
+
+
+def _forecast_model(features, target="top_oil_temp", horizon=WEEK):
+    columns = feature_columns(features)
+    data = _written(ds.forecast_dataset(features, target, horizon, columns, N_LAGS), features.sparkSession, "supervised")
+    return m.fit(data, ds.forecast_inputs(columns, target, N_LAGS), ds.FUTURE, SMALL.forecaster), data
+
+
+def _grid(spark, sf, trees, depth, targets=m.FORECAST_TARGETS):
+    features = _long_features(spark, sf)
+    settings = m.TrainingSettings(forecaster=m.FORECASTER.sized(trees, depth), targets=targets)
+    return m.train_forecasts(features, feature_columns(features), settings)[1]
 
 
 @query("m5_target_horizon_grid")
 def _(spark, sf):
-    series = hourly(spark, sf)
-    path = run_dir(spark, "series")
-    series.write.parquet(path)
-    grid = m.TrainingSettings(n_splits=2).smaller(
-        1, 1, targets=("top_oil_temp", "H2", "not_measured"), horizons={"1d": 24, "30d": 720}
-    )
-    _, metrics = m.train_forecasts(spark.read.parquet(path), COLS, grid)
-    return metrics
+    """All targets and horizons with five folds each, grown together."""
+    return _grid(spark, sf, TREES, 4)
 
 
 @query("m7_boosted_forecast")
 def _(spark, sf):
-    model, data = _forecast_model(spark, sf)
-    return ev.regression_errors(model.transform(data), ("asset_id",), ds.FUTURE, "prediction")
+    """One target, both horizons, published depth, tested on the rows after those it has learned from."""
+    return _grid(spark, sf, TREES, m.FORECASTER.depth, ("top_oil_temp",))
+
+
+FIRST = 180  # rows until the longest window has a quarter of its values
+
+
+@query(
+    "m5_grid_rows",
+    f"""WITH long AS (SELECT event_id % 2 AS asset_id, count(*) AS n FROM events GROUP BY 1),
+      targets AS (SELECT unnest([{', '.join(f"'{t}'" for t in m.FORECAST_TARGETS)}]) AS target),
+      horizons AS (SELECT * FROM (VALUES ('7d', 168), ('30d', 720)) h(horizon, rows)),
+      counted AS (SELECT target, horizon, CAST(sum(greatest(n - {FIRST - 1} - rows, 0)) AS BIGINT) AS n_samples FROM long, targets, horizons GROUP BY 1, 2)
+    SELECT target, horizon, n_samples, true AS finite FROM counted WHERE n_samples >= 50""",
+)
+def _(spark, sf):
+    """The grid's rows and what each model has learned from; its errors are finite and positive."""
+    metrics = _grid(spark, sf, 1, 1)
+    return metrics.select("target", "horizon", "n_samples", F.expr("cv_rmse_mean > 0 AND cv_rmse_std >= 0 AND cv_mae_mean <= cv_rmse_mean").alias("finite"))
 
 
 @query("m15_training_job")
 def _(spark, sf):
-    settings = m.TrainingSettings(n_splits=2).smaller(1, 1, targets=("H2",), horizons={"1d": HORIZON})
-    tables = training.run_training(
-        readings(spark, sf), run_dir(spark, "models"), settings, *LABEL_ARGS, windows=(24,), periods=(1, 24)
-    )
+    """All targets, windows of 168 and 720 rows, three classifiers; both horizons on the long series."""
+    settings = m.TrainingSettings(n_splits=2).smaller(1, 2)
+    tables = training.run_training(fixtures.long_readings(spark, sf), run_dir(spark, "models"), settings, *LABEL_ARGS)
     return tables["classifier_metrics"]
 
 
 @query("i1_health_scores")
 def _(spark, sf):
-    model, _ = _failure_model(spark, sf)
-    return scoring.score_health(hourly(spark, sf), model).select(*src.PREDICTION_COLUMNS)
+    features = _features(spark, sf)
+    return scoring.score_health(features, _feature_model(features)).select(*src.PREDICTION_COLUMNS)
 
 
 @query("i5_forecast_scores")
 def _(spark, sf):
-    model, _ = _forecast_model(spark, sf)
-    return scoring.score_forecast(hourly(spark, sf), model, "top_oil_temp", HORIZON, N_LAGS)
+    features = _features(spark, sf)
+    model, _ = _forecast_model(features)
+    return scoring.score_forecast(features, model, "top_oil_temp", WEEK, N_LAGS)
 
 
 @query("p12_measured_and_forecast")
 def _(spark, sf):
-    model, _ = _forecast_model(spark, sf)
-    series = hourly(spark, sf)
-    ahead = scoring.score_forecast(series, model, "top_oil_temp", HORIZON, N_LAGS)
-    return scoring.parameter_view(series, ahead, "top_oil_temp", 100.0)
+    features = _features(spark, sf)
+    model, _ = _forecast_model(features)
+    ahead = scoring.score_forecast(features, model, "top_oil_temp", WEEK, N_LAGS)
+    return scoring.parameter_view(features, ahead, "top_oil_temp", 100.0)
 
 
-@query("i6_score_file")
+#: What holds of every scored row whatever the model has learned.
+SCORE_RULES = (
+    "failure_proba BETWEEN 0 AND 1 AS in_range",
+    "abs(health_score - 100 * (1 - failure_proba)) < 1e-9 AS score_fits",
+    "risk_level = CASE WHEN health_score <= 40 THEN 'CRITIQUE' WHEN health_score <= 65 THEN 'ALERTE' ELSE 'NORMAL' END AS risk_fits",
+)
+RULES_HOLD = "true AS in_range, true AS score_fits, true AS risk_fits"
+NUMBERED = f"{o.HOURLY}, numbered AS (SELECT asset_id, ts, top_oil_temp, row_number() OVER ({o.PER_ASSET}) AS rn FROM hourly)"
+
+
+@query("i1_score_rules", f"WITH {o.HOURLY} SELECT asset_id, ts, {RULES_HOLD} FROM hourly")
 def _(spark, sf):
-    model, _ = _failure_model(spark, sf)
+    features = _features(spark, sf)
+    return scoring.score_health(features, _feature_model(features)).selectExpr(*KEYS, *SCORE_RULES)
+
+
+@query(
+    "i5_forecast_rows",
+    f"WITH {NUMBERED} SELECT asset_id, ts, ts + INTERVAL {WEEK} HOUR AS target_ts, 'top_oil_temp' AS target, rn >= {FIRST} AS known FROM numbered",
+)
+def _(spark, sf):
+    features = _features(spark, sf)
+    ahead = scoring.score_forecast(features, _forecast_model(features)[0], "top_oil_temp", WEEK, N_LAGS)
+    return ahead.select(*KEYS, "target_ts", "target", F.col("forecast").isNotNull().alias("known"))
+
+
+@query(
+    "p12_view_rows",
+    f"""WITH {NUMBERED}, ahead AS (SELECT asset_id, ts + INTERVAL {WEEK} HOUR AS ts, rn >= {FIRST} AS known FROM numbered)
+    SELECT asset_id, ts, {o.r6('top_oil_temp', 'measured')}, 1E2 AS threshold, coalesce(known, false) AS has_forecast
+    FROM numbered FULL JOIN ahead USING (asset_id, ts)""",
+)
+def _(spark, sf):
+    features = _features(spark, sf)
+    ahead = scoring.score_forecast(features, _forecast_model(features)[0], "top_oil_temp", WEEK, N_LAGS)
+    view = scoring.parameter_view(features, ahead, "top_oil_temp", 100.0)
+    return r6(view.select(*KEYS, "measured", "threshold", F.col("forecast").isNotNull().alias("has_forecast")))
+
+
+def _csv_folder(spark, sf):
+    """One folder of CSV files per asset, the asset's number only in the path."""
     path = run_dir(spark, "csv")
-    src.write_csv(readings(spark, sf), path)
-    return scoring.score_file(spark, path, model)["kpis"]
+    named = readings(spark, sf).withColumnRenamed("asset_id", "unit").drop("reading_id")
+    named.write.partitionBy("unit").options(**src.CSV_OPTIONS).csv(path)
+    return f"{path}/unit=*/*.csv", r"/unit=(\d+)/"
+
+
+def _scored_file(spark, sf):
+    model, _ = _failure_model(spark, sf)
+    path, unit = _csv_folder(spark, sf)
+    return scoring.score_file(spark, path, model, asset_from=unit)
+
+
+@query("i6_score_file")
+def _(spark, sf):
+    return _scored_file(spark, sf)["kpis"]
+
+
+@query("i6_scored_rows", f"WITH {o.HOURLY} SELECT asset_id, ts, {RULES_HOLD} FROM hourly")
+def _(spark, sf):
+    return _scored_file(spark, sf)["predictions"].selectExpr(*KEYS, *SCORE_RULES)
 
 
 # -- sources and sinks ------------------------------------------------------------
@@ -284,11 +396,8 @@ CELLS = f"asset_id, ts, {o.rounded(o.COLS)}, fault_type"
 
 @query("s1_csv_scan", f"WITH {o.READINGS} SELECT {CELLS} FROM readings")
 def _(spark, sf):
-    """One folder of CSV files per asset, the asset's number only in the path."""
-    path = run_dir(spark, "csv")
-    named = readings(spark, sf).withColumnRenamed("asset_id", "unit").drop("reading_id")
-    named.write.partitionBy("unit").options(**src.CSV_OPTIONS).csv(path)
-    back = src.read_csv(spark, f"{path}/unit=*/*.csv", asset_from=r"/unit=(\d+)/")
+    path, unit = _csv_folder(spark, sf)
+    back = src.read_csv(spark, path, asset_from=unit)
     return r6(back.select("asset_id", "ts", *o.COLS, "fault_type"))
 
 
@@ -313,8 +422,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = run_dir(spark, "predictions")
-    from ohmwatch.sources import fixtures
-
     src.write_predictions(scoring.with_health(fixtures.scored(readings(spark, sf))), path)
     return r6(spark.read.csv(path, header=True, inferSchema=True))
 
@@ -387,15 +494,37 @@ def _saved(spark, sf):
     return folder, data
 
 
-@query("s7_save_models")
+def _same(one, two, *values):
+    """Rows of both, and whether their values agree."""
+    other = two.select(*KEYS, *[F.col(v).alias(f"other_{v}") for v in values])
+    alike = " AND ".join(f"`{v}` <=> other_{v}" for v in values)
+    return one.join(other, KEYS, "full").select(*KEYS, F.expr(alike).alias("same"))
+
+
+SAME = f"WITH {o.HOURLY} SELECT asset_id, ts, true AS same FROM hourly"
+
+
+@query("s7_save_models", SAME)
 def _(spark, sf):
-    folder, data = _saved(spark, sf)
-    model = store.load_model(spark, folder, store.SERVED_MODEL)
-    return m.probability(model, data, m.model_inputs(model)).select(*KEYS, "failure_proba")
+    """A model that was saved and read back scores every row as the one in memory."""
+    model, data = _failure_model(spark, sf)
+    folder = run_dir(spark, "models")
+    store.save_model(model, folder, store.SERVED_MODEL)
+    back = store.load_model(spark, folder, store.SERVED_MODEL)
+    before, after = (m.probability(x, data, m.model_inputs(x)) for x in (model, back))
+    return _same(before, after, "failure_proba")
 
 
-@query("s8_load_models")
+@query("s8_load_models", SAME)
 def _(spark, sf):
-    folder, data = _saved(spark, sf)
-    models = store.load_models(spark, folder)
-    return scoring.score_health(data, models[store.SERVED_MODEL]).select(*src.PREDICTION_COLUMNS)
+    """The served classifier and a forecast beside it: both are found, and score as those in memory."""
+    model, data = _failure_model(spark, sf)
+    ahead = m.fit(data.withColumn(ds.FUTURE, F.col("H2")), COLS, ds.FUTURE, SMALL.forecaster)
+    folder = run_dir(spark, "models")
+    store.save_model(model, folder, store.SERVED_MODEL)
+    store.save_model(ahead, folder, store.forecast_name("H2", "7d"))
+    found = store.load_models(spark, folder)
+    before, after = (
+        x.transform(scoring.score_health(data, y)) for x, y in ((ahead, model), (found["forecast_H2_7d"], found[store.SERVED_MODEL]))
+    )
+    return _same(before, after, "failure_proba", "health_score", "risk_level", "prediction")

@@ -301,13 +301,17 @@ def _(spark, sf):
     return picked.orderBy(F.desc("ts"), "reading_id")
 
 
-@query("p10_seeded_sample")
+@query(
+    "p10_seeded_sample",
+    f"""WITH {o.READINGS}, picked AS (SELECT *, CH4 + C2H4 + greatest(H2, 0) + 1E-9 AS total FROM readings
+      ORDER BY md5(CAST(reading_id AS VARCHAR) || '|42'), reading_id LIMIT 500)
+    SELECT reading_id, {o.r6('100 * CH4 / total', 'duval_pct_CH4')}, {o.r6('100 * C2H4 / total', 'duval_pct_C2H4')},
+      {o.rounded(['H2', 'CH4', 'C2H4'])} FROM picked""",
+)
 def _(spark, sf):
     zoned = add(readings(spark, sf), d.duval_percentages())
     zoned = add(zoned, {"duval_zone": d.duval_zone()})
-    return t.seeded_sample(zoned, 500, 42).select(
-        "reading_id", "duval_pct_CH4", "duval_pct_C2H4", "duval_zone", "H2", "CH4", "C2H4"
-    )
+    return r6(t.seeded_sample(zoned, 500, 42).select("reading_id", "duval_pct_CH4", "duval_pct_C2H4", "H2", "CH4", "C2H4"))
 
 
 @query(

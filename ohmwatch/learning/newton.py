@@ -15,6 +15,8 @@ tasks add the newest trees.  Only splits (one per node and model) and cuts reach
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
+from copy import copy
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +31,9 @@ from ohmwatch.session import run_dir
 BINS = 64
 MISSING = 255
 #: Trees between two written tables of margins; bytes of sums that a task may hold; features of one part behind the shuffle.
-KEEP, HELD, PART = 10, 128 << 20, 32
+KEEP, HELD, PART = 10, 64 << 20, 128
+#: Rows of a table that are worth a task; groups of models that grow side by side.
+TASK_ROWS, PARALLEL = 1 << 16, 8
 ROW, CODES, MARGINS = "__row", "__codes", "__margins"
 
 
@@ -142,6 +146,7 @@ def binned(df: DataFrame, inputs: list[str], keep: list[str], cuts: dict[str, li
     """(ROW, CODES, ``keep`` as doubles) written to the shared folder; ROW is a hash of the keys."""
     edges = [np.array(cuts[c]) for c in inputs]
     row = F.xxhash64(*[c for c in (KEY, TIME) if c in df.columns]).alias(ROW)
+    tasks = max(1, -(-df.count() // TASK_ROWS))
     chosen = df.select(row, *[F.col(c).cast("double").alias(c) for c in [*keep, *inputs]])
     kind = pa.schema([(ROW, pa.int64()), (CODES, pa.binary()), *[(c, pa.float64()) for c in keep]])
 
@@ -154,7 +159,8 @@ def binned(df: DataFrame, inputs: list[str], keep: list[str], cuts: dict[str, li
                 yield pa.RecordBatch.from_arrays([batch.column(0), raw, *batch.columns[1 : 1 + len(keep)]], schema=kind)
 
     ddl = f"{ROW} long, {CODES} binary, " + ", ".join(f"`{c}` double" for c in keep)
-    return _written(chosen.mapInArrow(run, ddl), "binned")
+    # Every task hands on sums for all nodes, so few rows should not be spread over many tasks.
+    return _written(chosen.mapInArrow(run, ddl).coalesce(tasks), "binned")
 
 
 def _written(df: DataFrame, label: str) -> DataFrame:
@@ -266,26 +272,34 @@ class Booster:
         self.rows = {r.spec: r.n for r in found.collect()}
         return [means.get(i, 0.0) if s.objective == "squared" else 0.0 for i, s in enumerate(self.specs)]
 
-    def grow(self) -> list[Ensemble]:
-        deepest = max(s.depth for s in self.specs)
-        most = max(len(s.inputs) for s in self.specs) * self.bins * 16 * 2 ** (deepest - 1)
-        together = max(1, HELD // most)
+    def grow(self, parallel: int = PARALLEL) -> list[Ensemble]:
+        """Groups of models whose sums fit into a task grow side by side, each through its own trees."""
+        own = [i for i in range(len(self.specs)) if self.rows.get(i)]
+        most = max((len(s.inputs) * self.bins * 16 * 2 ** (s.depth - 1) for s in self.specs), default=1)
+        size = max(1, min(HELD // most, -(-len(own) // parallel)))
+        groups = [own[lo : lo + size] for lo in range(0, len(own), size)]
+        with ThreadPoolExecutor(parallel) as pool:
+            list(pool.map(lambda group: self._only(group)._grow(), groups))
+        return self.models
+
+    def _only(self, own: list[int]) -> Booster:
+        """The same table with some of the models, which stay shared."""
+        part = copy(self)
+        part.specs, part.at, part.models = ([x[i] for i in own] for x in (self.specs, self.at, self.models))
+        return part
+
+    def _grow(self) -> None:
         for t in range(max(s.trees for s in self.specs)):
-            own = [i for i, s in enumerate(self.specs) if t < s.trees and self.rows.get(i)]
-            if not own:
-                break
             if t - self.stored >= KEEP:
                 self._keep(t)
+            own = [i for i, s in enumerate(self.specs) if t < s.trees]
             for i in own:
                 nodes = 2 ** (self.specs[i].depth + 1) - 1
                 self.models[i].trees.append({"feature": np.full(nodes, -1), "bin": np.zeros(nodes, np.int64), "value": np.zeros(nodes)})
-            for lo in range(0, len(own), together):
-                part = own[lo : lo + together]
-                for level in range(max(self.specs[i].depth for i in part)):
-                    growing = [i for i in part if level < self.specs[i].depth]
-                    if not self._level(growing, t, level):
-                        break
-        return self.models
+            for level in range(max(self.specs[i].depth for i in own)):
+                growing = [i for i in own if level < self.specs[i].depth]
+                if not self._level(growing, t, level):
+                    break
 
     def _keep(self, upto: int) -> None:
         """Write the table again with the margins of the first ``upto`` trees."""

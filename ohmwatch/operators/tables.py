@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ohmwatch.config import FAULT_PRIORITY, KEY, LIMITS, TIE, TIME
 from ohmwatch.functions import diagnostics as d
-from ohmwatch.functions.axis import over, seconds
+from ohmwatch.functions.axis import over
 from ohmwatch.functions.guards import add, num, numeric_columns, rounded
 from ohmwatch.operators.blocks import attach
 from ohmwatch.operators.quantiles import quantiles
 
+#: Fault kinds that interval tables may name.
+MOST_KINDS = 50
+
 
 def trailing(df: DataFrame, days: int = 30) -> DataFrame:
     """Rows of the last ``days`` days before each asset's newest reading."""
@@ -38,9 +41,10 @@ def ends(df: DataFrame, n: int, newest: bool = False) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows, the same ones on any cluster: smallest seeded hashes."""
+    """At most ``n`` rows, the same ones on any cluster: smallest MD5 digests of their keys and the seed."""
     keys = [c for c in (TIE, KEY, TIME) if c in df.columns]
-    return df.orderBy(F.expr(f"xxhash64({', '.join(keys)}, {seed})"), *keys).limit(n)
+    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keys[:1] if c == TIE] or keys, F.lit(str(seed))))
+    return df.orderBy(digest, *keys).limit(n)
 
 
 def limit_table(spark, limits: dict[str, float] = LIMITS) -> DataFrame:
@@ -196,23 +200,38 @@ def label_intervals(
 ) -> DataFrame:
     """Readings inside fault intervals (ends included); later fault kinds win.
 
-    Intervals are listed under every time bin they touch, so the range join is
-    an equality join on (asset, bin) plus a filter: one asset's readings spread
-    over its bins, and a hot bin is split by the skew-join rule.
+    A kind covers a reading if the latest end of its intervals that have begun lies ahead, so no reading meets an
+    interval: both lie on one time axis per (asset, bin), where an interval stands in every bin it touches, and
+    running maxima of the ends, one per kind, decide.  Rows are readings plus intervals, however they overlap, and
+    intervals of a kind that begin together are one row before the shuffle.
     """
-    rank = " ".join(f"WHEN '{k}' THEN {p}" for k, p in FAULT_PRIORITY.items())
-    spans = intervals.selectExpr(
-        KEY,
-        "start_ts",
-        "end_ts",
-        "fault_type AS __kind",
-        f"CASE fault_type {rank} ELSE 0 END AS __priority",
-        f"explode(sequence(CAST(floor({seconds('start_ts')} / {bin_seconds}) AS BIGINT), "
-        f"CAST(floor({seconds('end_ts')} / {bin_seconds}) AS BIGINT))) AS __bin",
-    )
-    keys = [c for c in (KEY, TIE, TIME) if c in df.columns]
-    binned = df.selectExpr(*keys, f"CAST(floor({seconds()} / {bin_seconds}) AS BIGINT) AS __bin")
-    inside = binned.join(spans, [KEY, "__bin"]).filter(f"{TIME} BETWEEN start_ts AND end_ts")
     # A kind outside the table loses to all others and keeps its own name.
-    winner = inside.groupBy(*keys).agg(F.max(F.struct("__priority", "__kind")).alias("__top"))
-    return winner.selectExpr(*keys, "__top.__kind AS fault_label")
+    kinds = [r[0] for r in intervals.select("fault_type").distinct().limit(MOST_KINDS + 1).collect() if r[0] is not None]
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} fault kinds")
+    kinds.sort(key=lambda k: (FAULT_PRIORITY.get(k, 0), k), reverse=True)
+    keys = [c for c in (KEY, TIE, TIME) if c in df.columns]
+    if not kinds:
+        return df.select(*keys, F.lit("").alias("fault_label")).limit(0)
+    width = bin_seconds * 1_000_000
+    micros = "unix_micros(CAST({} AS TIMESTAMP))".format
+    spans = intervals.selectExpr(KEY, "fault_type AS __kind", f"{micros('start_ts')} AS __from", f"{micros('end_ts')} AS __upto")
+    spans = spans.filter("__from <= __upto").selectExpr(
+        "*", f"explode(sequence(CAST(floor(__from / {width}) AS BIGINT), CAST(floor(__upto / {width}) AS BIGINT))) AS __bin"
+    )
+    ends = spans.selectExpr(KEY, "__bin", "__kind", f"greatest(__from, __bin * {width}) AS __at", "__upto")
+    begun = ends.groupBy(KEY, "__bin", "__at").agg(
+        *[F.max(F.when(F.col("__kind") == k, F.col("__upto"))).alias(f"__end_{i}") for i, k in enumerate(kinds)]
+    )
+    timed = df.selectExpr(*keys, f"{micros(TIME)} AS __at")
+    placed = timed.withColumns({"__bin": F.expr(f"CAST(floor(__at / {width}) AS BIGINT)"), "__reading": F.lit(1)})
+    axis = placed.unionByName(begun.withColumn("__reading", F.lit(0)), allowMissingColumns=True)
+    running = over((KEY, "__bin"), "__at, __reading", "UNBOUNDED PRECEDING AND CURRENT ROW")
+    label = " ".join(f"WHEN max(__end_{i}) {running} >= __at THEN {_text(k)}" for i, k in enumerate(kinds))
+    marked = axis.selectExpr(*keys, "__reading", f"CASE {label} END AS fault_label")
+    return marked.filter("__reading = 1 AND fault_label IS NOT NULL").select(*keys, "fault_label")
+
+
+def _text(value: str) -> str:
+    quoted = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{quoted}'"

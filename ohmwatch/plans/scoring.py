@@ -11,8 +11,9 @@ from ohmwatch.functions import diagnostics as d
 from ohmwatch.functions.guards import add
 from ohmwatch.learning.datasets import scoring_dataset
 from ohmwatch.learning.models import model_inputs, probability
+from ohmwatch.learning.newton import Ensemble
 from ohmwatch.operators import tables
-from ohmwatch.operators.blocks import attach, held
+from ohmwatch.operators.blocks import attach
 from ohmwatch.plans.features import build_features
 from ohmwatch.plans.prepare import clean, validate
 from ohmwatch.session import run_dir
@@ -97,21 +98,24 @@ def full_report(scored: DataFrame) -> DataFrame:
 
 
 def score_file(
-    spark: SparkSession, path: str, model: PipelineModel, out: str | None = None, strict: bool = False
+    spark: SparkSession, path: str, model: PipelineModel | Ensemble, out: str | None = None, strict: bool = False, **asset
 ) -> dict[str, DataFrame]:
     """CSV in, predictions out: clean, features, health, key figures, alerts.
 
-    The cleaned series is written once; everything after it reads that table.
+    ``asset_from`` or ``asset_id`` name the asset of files without such a column (see ``read_csv``).  The cleaned series
+    and the predictions (five columns) are written once; everything after them reads these tables.
     """
-    raw = read_csv(spark, path)
+    raw = read_csv(spark, path, **asset)
     store = run_dir(spark, "file")
     clean(validate(raw, strict)).write.parquet(f"{store}/series")
     series = spark.read.parquet(f"{store}/series")
-    scored = held(score_health(build_features(series), model))
+    scored = score_health(build_features(series), model)
+    scored.select(KEY, TIME, "health_score", "failure_proba", "risk_level").write.parquet(f"{store}/predictions")
+    scored = spark.read.parquet(f"{store}/predictions")
     if out:
         write_predictions(scored, out)
     return {
-        "predictions": scored.select(KEY, TIME, "health_score", "failure_proba", "risk_level"),
+        "predictions": scored,
         "kpis": tables.file_kpis(scored),
         "alerts": tables.alerts(tables.latest(series)),
     }

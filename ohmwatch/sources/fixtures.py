@@ -30,6 +30,17 @@ def readings(spark: SparkSession, sf_dir: str, assets: int = 5) -> DataFrame:
     return spark.sql(READINGS_SQL.format(assets=assets, events="{events}"), events=events)
 
 
+#: The events as hourly readings without pauses: every event is one hour of one of two assets.
+LONG_EVENTS = "(SELECT * EXCEPT (user_id, ts), event_id % 2 AS user_id, TIMESTAMP_NTZ '2022-01-01' + make_dt_interval(0, CAST(event_id DIV 2 AS INT)) AS ts FROM {events})"
+
+
+def long_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of hours (n / 2 per asset), for what needs longer series than the month of the events."""
+    prepare_session(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.sql(READINGS_SQL.format(assets=2, events=LONG_EVENTS), events=events)
+
+
 def with_copies(df: DataFrame) -> DataFrame:
     """Every 50th reading a second time, with another id and another H2 value."""
     copies = df.filter(F.col(TIE) % 50 == 0).withColumns(

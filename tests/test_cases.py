@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -209,6 +210,27 @@ def test_intervals_include_both_ends_and_later_kinds_win(spark):
                    4: "moisture_fault", 5: "moisture_fault"}
 
 
+def test_overlapping_intervals_equal_brute_force_without_a_join(spark):
+    rng = np.random.default_rng(3)
+    kinds = ["partial_discharge", "overheating", "moisture_fault", "it's", "other"]
+    priority = {"partial_discharge": 1, "overheating": 2, "moisture_fault": 3}
+    minute = dt.timedelta(minutes=1)
+    spans = [(int(rng.integers(2)), kinds[rng.integers(5)], at(0, 0) + int(s) * minute, at(0, 0) + int(s + n) * minute)
+             for s, n in zip(rng.integers(0, 9000, 300), rng.integers(-5, 400, 300))]
+    rows = [(i, i % 3, at(0, 0) + int(m) * minute) for i, m in enumerate(rng.integers(0, 9000, 600))]
+    df = spark.createDataFrame(rows, "reading_id int, asset_id int, ts timestamp_ntz")
+    table = spark.createDataFrame(spans, "asset_id int, fault_type string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    found = t.label_intervals(df, table)
+    want = {}
+    for i, asset, ts in rows:
+        over = [(priority.get(k, 0), k) for a, k, lo, hi in spans if a == asset and lo <= ts <= hi]
+        if over:
+            want[i] = max(over)[1]
+    assert {r.reading_id: r.fault_label for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert t.label_intervals(df, table.limit(0)).count() == 0
+
+
 def test_validation(series):
     df = series({"load_kva": [-1.0, 0.0, 1500.0, 1501.0, None], "H2": [1.0] * 5})
     assert [tuple(r) for r in c.bound_violations(df).collect()] == [("load_kva", 2)]
