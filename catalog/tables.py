@@ -23,11 +23,14 @@ CELLS = ", ".join(COLS)
 
 @query(
     "v1_required_columns",
-    f"WITH {o.READINGS} SELECT asset_id, count(*) AS n_rows FROM readings GROUP BY 1",
+    f"WITH {o.READINGS}, wanted AS (SELECT unnest([{', '.join(repr(p) for p in BOUNDS)}]) AS parameter) "
+    "SELECT parameter, (SELECT count(*) FROM readings) AS n_rows FROM wanted WHERE parameter IN ('CO', 'vibration_mms')",
 )
 def _(spark, sf):
-    checked = c.require_columns(readings(spark, sf))
-    return checked.groupBy("asset_id").agg(F.count("*").alias("n_rows"))
+    """What a table without two of its sensors lacks, beside its number of rows."""
+    lacking = readings(spark, sf).drop("CO", "vibration_mms")
+    absent = F.explode(F.array(*[F.lit(name) for name in c.missing_columns(lacking)]))
+    return lacking.agg(F.count("*").alias("n_rows")).select(absent.alias("parameter"), "n_rows")
 
 
 @query(

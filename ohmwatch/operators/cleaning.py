@@ -26,8 +26,12 @@ from ohmwatch.operators.blocks import row_index
 IDS = (KEY, TIME, TIE)
 
 
+def missing_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> list[str]:
+    return [c for c in required if c not in df.columns]
+
+
 def require_columns(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> DataFrame:
-    absent = [c for c in required if c not in df.columns]
+    absent = missing_columns(df, required)
     if absent:
         raise ValueError(f"missing columns: {absent}")
     return df

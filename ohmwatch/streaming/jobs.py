@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ohmwatch.config import KEY, NO_FAULT, TIME
+from ohmwatch.config import KEY, NO_FAULT, TIE, TIME
 from ohmwatch.functions.guards import numeric_columns
 from ohmwatch.operators import tables
 from ohmwatch.plans.scoring import score_health
@@ -50,8 +50,15 @@ def alert_stream(stream: DataFrame) -> DataFrame:
 
 
 def first_copies(stream: DataFrame, delay: str = DELAY) -> DataFrame:
-    """The first arrival of each (asset, time stamp) within the watermark."""
-    return event_time(stream).withWatermark(TIME, delay).dropDuplicatesWithinWatermark([KEY, TIME])
+    """The copy with the lowest reading id of each (asset, time stamp), as ``keep_first`` takes it.
+
+    The state holds one row per time stamp until the watermark passes it; later copies are dropped.
+    """
+    timed = event_time(stream)
+    others = [c for c in timed.columns if c not in (KEY, TIME)]
+    least = F.min_by(F.struct(*others), F.col(TIE))
+    kept = timed.withWatermark(TIME, delay).groupBy(KEY, TIME).agg(least.alias("copy"))
+    return kept.select(*[c if c in (KEY, TIME) else F.col("copy")[c].alias(c) for c in timed.columns])
 
 
 def score_stream(stream: DataFrame, model: PipelineModel) -> DataFrame:
