@@ -8,6 +8,7 @@ from catalog import sql as o
 from catalog.registry import hourly, masked, query, r6, readings, scored
 from ohmwatch.config import BOUNDS, CHANGE_COLUMNS, LIMITS, REQUIRED, ROLLING_COLUMNS
 from ohmwatch.functions import diagnostics as d
+from ohmwatch.functions.axis import fitted
 from ohmwatch.functions.guards import add, numeric_columns, other_columns
 from ohmwatch.operators import cleaning as c
 from ohmwatch.operators import tables as t
@@ -102,6 +103,30 @@ def _(spark, sf):
     return r6(c.resample(c.keep_first(masked(spark, sf)), numeric=COLS, categorical=[]))
 
 
+FIRST_DAY = "(SELECT date_trunc('day', min(ts)) FROM readings)"
+STEPS = {
+    "week": f"{FIRST_DAY} + INTERVAL 7 DAY * CAST(floor((epoch(ts) - epoch({FIRST_DAY})) / 604800) AS INTEGER)",
+    "month": "date_trunc('month', ts)",
+}
+
+
+def _resampled(name: str):
+    @query(
+        f"v7_resample_{name}",
+        f"WITH {o.READINGS}, {o.masked()}, {o.SINGLE} SELECT asset_id, CAST({STEPS[name]} AS TIMESTAMP) AS ts, "
+        + ", ".join(o.r6(f"avg({p})", p) for p in COLS)
+        + ", arg_max(fault_type, ts) AS fault_type FROM single GROUP BY 1, 2",
+    )
+    def _(spark, sf):
+        df = masked(spark, sf)
+        step = fitted(df, 7 * 86400) if name == "week" else name
+        return r6(c.resample(c.keep_first(df), step, COLS, ["fault_type"]))
+
+
+_resampled("week")
+_resampled("month")
+
+
 @query("v8_resample_last", f"WITH {o.TO_BUCKETS} SELECT asset_id, ts, fault_type FROM buckets")
 def _(spark, sf):
     return c.resample(c.keep_first(masked(spark, sf)), numeric=[], categorical=["fault_type"])

@@ -11,6 +11,8 @@ from ohmwatch.functions.axis import (
     BLOCK,
     POS,
     TO_DATE,
+    Step,
+    apart,
     backward,
     block_of,
     check_step,
@@ -83,7 +85,7 @@ def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
 
 def resample(
     df: DataFrame,
-    step: int = HOUR,
+    step: Step = HOUR,
     numeric: list[str] | None = None,
     categorical: list[str] | None = None,
 ) -> DataFrame:
@@ -108,7 +110,7 @@ def resample(
     )
 
 
-def time_grid(df: DataFrame, step: int = HOUR, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def time_grid(df: DataFrame, step: Step = HOUR, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every (asset, bucket) between the first and the last reading of the asset.
 
     Bounds come from a scan of two columns; the span is cut into blocks, the
@@ -129,7 +131,7 @@ def time_grid(df: DataFrame, step: int = HOUR, block_rows: int = BLOCK_ROWS) ->
 
 
 def on_grid(
-    resampled: DataFrame, readings: DataFrame, step: int = HOUR, block_rows: int = BLOCK_ROWS
+    resampled: DataFrame, readings: DataFrame, step: Step = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Regular series: empty buckets become rows of missing values."""
     return time_grid(readings, step, block_rows).join(resampled, [KEY, TIME], "left")
@@ -141,7 +143,7 @@ def align(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def _with_neighbours(
-    df: DataFrame, columns: list[str], step: int, block_rows: int
+    df: DataFrame, columns: list[str], step: Step, block_rows: int
 ) -> DataFrame:
     """Add ``__p_c`` / ``__n_c``: nearest non-missing value at or before / after a row,
     and ``__pp_c`` / ``__np_c``, their positions, to a series on the regular grid.
@@ -191,39 +193,37 @@ def _with_neighbours(
     )
 
 
-def _between(c: str) -> str:
+def _between(c: str, step: Step) -> str:
     """Straight line in time between the known neighbours of a missing value."""
-    return (
-        f"`__p_{c}` + (`__n_{c}` - `__p_{c}`) * "
-        f"(({POS} - `__pp_{c}`) / nullif(`__np_{c}` - `__pp_{c}`, 0))"
-    )
+    passed, whole = apart(f"`__pp_{c}`", POS, step), apart(f"`__pp_{c}`", f"`__np_{c}`", step)
+    return f"`__p_{c}` + (`__n_{c}` - `__p_{c}`) * ({passed} / nullif({whole}, 0))"
 
 
-def _fill(df: DataFrame, rules: dict[str, str], step: int, block_rows: int) -> DataFrame:
+def _fill(df: DataFrame, rules: dict[str, str], step: Step, block_rows: int) -> DataFrame:
     near = _with_neighbours(df, list(rules), step, block_rows)
     return replace(near, rules).select(*df.columns)
 
 
 def interpolate(
-    df: DataFrame, columns: list[str], step: int = HOUR, block_rows: int = BLOCK_ROWS
+    df: DataFrame, columns: list[str], step: Step = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Interior gaps linearly in time, trailing gaps by the last value, leading stay."""
     rules = {
         c: f"CASE WHEN `{c}` IS NOT NULL THEN CAST(`{c}` AS DOUBLE) "
-        f"WHEN `__n_{c}` IS NOT NULL THEN {_between(c)} ELSE `__p_{c}` END"
+        f"WHEN `__n_{c}` IS NOT NULL THEN {_between(c, step)} ELSE `__p_{c}` END"
         for c in columns
     }
     return _fill(df, rules, step, block_rows)
 
 
 def forward_fill(
-    df: DataFrame, columns: list[str], step: int = HOUR, block_rows: int = BLOCK_ROWS
+    df: DataFrame, columns: list[str], step: Step = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     return _fill(df, {c: f"`__p_{c}`" for c in columns}, step, block_rows)
 
 
 def backward_fill(
-    df: DataFrame, columns: list[str], step: int = HOUR, block_rows: int = BLOCK_ROWS
+    df: DataFrame, columns: list[str], step: Step = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     return _fill(df, {c: f"`__n_{c}`" for c in columns}, step, block_rows)
 
@@ -232,7 +232,7 @@ def fill_series(
     df: DataFrame,
     numeric: list[str],
     categorical: list[str],
-    step: int = HOUR,
+    step: Step = HOUR,
     block_rows: int = BLOCK_ROWS,
     constant: str = NO_FAULT,
 ) -> DataFrame:
@@ -241,7 +241,7 @@ def fill_series(
     A single shuffle of the series serves every column and rule.
     """
     rules = {
-        c: f"coalesce(CAST(`{c}` AS DOUBLE), {_between(c)}, `__p_{c}`, `__n_{c}`)" for c in numeric
+        c: f"coalesce(CAST(`{c}` AS DOUBLE), {_between(c, step)}, `__p_{c}`, `__n_{c}`)" for c in numeric
     }
     rules |= {c: f"coalesce(`__p_{c}`, `__n_{c}`, '{constant}')" for c in categorical}
     return _fill(df, rules, step, block_rows)
@@ -258,7 +258,7 @@ def missing_cells(df: DataFrame) -> DataFrame:
 
 
 def chronological_split(
-    df: DataFrame, test_ratio: float = 0.2, step: int = HOUR, block_rows: int = BLOCK_ROWS
+    df: DataFrame, test_ratio: float = 0.2, step: Step = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add ``part``: the first share of each asset's rows is 'train', the rest 'test'."""
     indexed = row_index(df, step=step, block_rows=block_rows)

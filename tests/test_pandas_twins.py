@@ -13,7 +13,7 @@ from ohmwatch.operators import cleaning as c
 from ohmwatch.operators import sequences as s
 from ohmwatch.operators.rolling import per_asset_rolling, rolling
 from ohmwatch.plans.features import build_features, feature_columns
-from ohmwatch.plans.prepare import prepare
+from ohmwatch.plans.prepare import clean, prepare
 
 N = 400
 START = dt.datetime(2023, 12, 20)
@@ -226,3 +226,35 @@ def test_features_fill_any_gap_whatever_the_block(series, block):
     assert not got.isna().any().any()
     for c in want:
         assert np.abs(got[c].to_numpy() - want[c].to_numpy()).max() < 1e-8, c
+
+
+@pytest.mark.parametrize("step, rule", [(2 * 86400, "2D"), (7 * 86400, "7D"), (5 * 3600, "5h"), ("month", "MS"), (6 * 3600, "6h")])
+@pytest.mark.parametrize("block", [4, 8192])
+def test_any_resample_step(spark, step, rule, block):
+    """Means, last kinds, empty buckets and lines over them, on two assets that begin on one day."""
+    rng = np.random.default_rng(17)
+    parts = []
+    for asset, days in ((0, 400), (1, 150)):
+        minutes = np.sort(rng.choice(days * 1440, 300, replace=False))
+        minutes = minutes[(minutes < days * 400) | (minutes > days * 800)]  # a long pause
+        ts = [dt.datetime(2023, 11, 29) + dt.timedelta(minutes=int(x)) for x in [30 + asset, *minutes]]
+        x = np.where(rng.random(len(ts)) < 0.2, np.nan, rng.normal(50, 20, len(ts)))
+        parts.append(pd.DataFrame({"asset_id": asset, "reading_id": range(len(ts)), "ts": ts, "x": x, "fault_type": rng.choice(["a", "b"], len(ts))}))
+    frame = pd.concat(parts, ignore_index=True)
+    df = nan_to_null(spark.createDataFrame(frame))
+    got = clean(df, step, block).toPandas().sort_values(["asset_id", "ts"]).reset_index(drop=True)
+    want = []
+    for asset, own in frame.groupby("asset_id"):
+        laid = own.set_index("ts").resample(rule)
+        x = laid["x"].mean().interpolate("time").ffill().bfill()
+        kind = laid["fault_type"].last().ffill().bfill()
+        want.append(pd.DataFrame({"asset_id": asset, "ts": x.index, "x": x.values, "fault_type": kind.values}))
+    want = pd.concat(want, ignore_index=True)
+    assert got["ts"].tolist() == want["ts"].tolist() and got["fault_type"].tolist() == want["fault_type"].tolist()
+    assert got["x"].to_numpy() == pytest.approx(want["x"].to_numpy())
+
+
+def test_bad_steps_are_refused(table):
+    for step in (0, -5, "week"):
+        with pytest.raises(ValueError, match="step"):
+            c.resample(table, step)
