@@ -111,5 +111,3 @@ DROPPED_COLUMNS = ("fault_type", "degradation_factor")
 BLOCK_ROWS = 8192
 # A side is broadcast only after its rows were counted and are not more than this.
 BROADCAST_ROWS = 200_000
-# A key is hot when it holds more than this part of all rows; so many keys at most are.
-HOT_KEYS = 1000

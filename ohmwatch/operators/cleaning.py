@@ -261,7 +261,7 @@ def chronological_split(
     df: DataFrame, test_ratio: float = 0.2, step: Step = HOUR, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Add ``part``: the first share of each asset's rows is 'train', the rest 'test'."""
-    indexed = row_index(df, step=step, block_rows=block_rows)
+    indexed = row_index(df, step=step, block_rows=block_rows, dense=TIE in df.columns)
     cut = f"floor(__n * {num(1 - test_ratio)})"
     return indexed.selectExpr(
         *df.columns, f"CASE WHEN __rn <= {cut} THEN 'train' ELSE 'test' END AS part"

@@ -31,7 +31,7 @@ from ohmwatch.functions.axis import (
     without_blocks,
 )
 from ohmwatch.functions.guards import add, aliased, num
-from ohmwatch.operators.blocks import attach, home_rows, running_totals, with_halo
+from ohmwatch.operators.blocks import density_blocks, home_rows, running_totals, with_halo
 from ohmwatch.operators.rolling import column_name, rolling_columns
 
 # Rows after which 0.85^k is below the resolution of a double.
@@ -155,26 +155,6 @@ def expected_oil(
     )
 
 
-def density_blocks(df: DataFrame, target_rows: int = 200_000) -> DataFrame:
-    """Give every asset time blocks of about ``target_rows`` readings each.
-
-    Dense assets get short blocks, sparse ones long blocks; one row per asset
-    (count and span) decides.
-    """
-    facts = df.groupBy(KEY).agg(
-        F.count("*").alias("__c"),
-        F.expr(f"min({seconds()})").alias("__from"),
-        F.expr(f"max({seconds()})").alias("__to"),
-    )
-    sized = facts.selectExpr(
-        KEY,
-        f"greatest(1, CAST(floor((__to - __from + 1) * ({num(target_rows)} / __c)) AS BIGINT)) "
-        "AS __width",
-    )
-    placed = attach(df, sized)
-    return add(placed, {BLOCK: f"CAST(floor({seconds()} / __width) AS BIGINT)"}).drop("__width")
-
-
 def fault_episodes(
     df: DataFrame,
     column: str = "fault_type",

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ohmwatch.learning import evaluation as ev
 from ohmwatch.operators import blocks as b
@@ -31,14 +32,14 @@ def readings(spark, sf):
     return fixtures.readings(spark, sf)
 
 
-def test_attach_by_broadcast_and_by_hot_keys(spark):
+def test_attach_by_broadcast_and_by_shuffle(spark):
     """User 0 holds a third of all rows; the others hold one row each."""
     rows = spark.range(9000).selectExpr("if(id % 3 = 0, 0, id) AS asset_id", "id AS x")
     small = rows.selectExpr("asset_id", "asset_id * 2 AS y").distinct().filter("asset_id <> 1")
     for how, n in (("inner", 8999), ("left", 9000)):
         a = b.attach(rows, small, how=how)
         z = b.attach(rows, small, how=how, limit=10)
-        assert "Union" in plan(z) and "Union" not in plan(a)
+        assert "BroadcastHashJoin" in plan(a) and "BroadcastHint" not in plan(z)
         assert a.exceptAll(z).count() == 0 and a.count() == z.count() == n
 
 
@@ -95,6 +96,45 @@ def test_quantiles_with_one_value_holding_most_rows(spark):
     assert [got.q, got.m] == frame.v.quantile([0.25, 0.5]).tolist()
 
 
+def test_quantiles_of_many_rows_look_at_few_values(spark):
+    """Brackets hold some ten-thousandths of the rows; whatever lies in them is ranked whole or by blocks."""
+    df = spark.range(300_000).selectExpr("if(id % 3 = 0, 'a', 'b') AS g", "CAST((id * 7919) % 300007 AS DOUBLE) / 7 AS v")
+    frame = df.toPandas()
+    wanted = {"q": 0.25, "m": 0.5, "z": 0.9999, "least": 0.0, "most": 1.0}
+    for inside in (10**6, 10):
+        got = {r.g: r for r in quantiles(df, ("g",), "v", wanted, inside=inside).collect()}
+        for g, own in frame.groupby("g"):
+            assert [got[g][n] for n in wanted] == pytest.approx(own.v.quantile(list(wanted.values())).tolist(), abs=1e-9)
+
+
+def test_auc_of_many_small_groups(spark):
+    df = spark.range(60_000).selectExpr("id % 20000 AS g", "CAST(id DIV 20000 = 1 AS INT) AS y", "CAST((id * 31) % 97 AS DOUBLE) AS s")
+    got = auc(df, ("g",), "s", "y")
+    frame = df.toPandas()
+    found = {r.g: r.auc for r in got.collect()}
+    assert len(found) == 20_000
+    for g in (0, 1, 777, 19_999):
+        own = frame[frame.g == g]
+        assert found[g] == pytest.approx(brute_auc(own.y.to_numpy(), own.s.to_numpy()))
+
+
+def test_a_burst_gets_blocks_of_its_own(spark):
+    """20,000 rows of one hour, 3,000 of one second and a sparse year: no block over twice the target but that second."""
+    burst = "timestamp_ntz'2024-05-01' + make_dt_interval(0, 0, 0, CAST({} AS DECIMAL(18,6)))"
+    df = spark.range(20_000).selectExpr("0 AS asset_id", f"{burst.format('id * 0.18')} AS ts")
+    df = df.union(spark.range(3000).selectExpr("0", "timestamp_ntz'2024-05-01 12:00:00'"))
+    df = df.union(spark.range(900).selectExpr("id % 2", burst.format("id * 30000")))
+    df = df.withColumn("reading_id", F.monotonically_increasing_id())
+    blocks = b.density_blocks(df, 500).groupBy("asset_id", "__block").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()
+    assert sorted(r.n for r in blocks)[-1] == 3000 and sorted(r.n for r in blocks)[-2] <= 1000
+    for asset in (0, 1):
+        own = sorted((r for r in blocks if r.asset_id == asset), key=lambda r: r["__block"])
+        assert all(p.hi <= q.lo for p, q in zip(own, own[1:]))
+    indexed = b.row_index(df, block_rows=500, dense=True)
+    got = [r["__rn"] for r in indexed.filter("asset_id = 0").orderBy("ts", "reading_id").collect()]
+    assert got == list(range(1, 23_451))
+
+
 def brute_auc(y, s):
     pos, neg = s[y == 1], s[y == 0]
     wins = sum((p > neg).sum() + 0.5 * (p == neg).sum() for p in pos)
