@@ -11,12 +11,14 @@ and corrected for the collisions.
 
 * Equal sets are one node, known by 128 bits of hash; copies make no pairs.
 * Nodes meet by the keys that two or more of them have.  At J = 0.85 all bands differ for one pair in a million.
-* First every row of a key takes the partner of the best estimate.  Keys with many rows are dealt into blocks
+* First each key's rows are joined by FORESTS spanning forests of the best estimates, each without the pairs of the one before,
+  so that a pair that is refused does not part what belongs together.  Keys with many rows are dealt into blocks
   by a hash of key and row, other blocks for each key, so no task holds a whole key.
 * Pairs are confirmed on the full sets, made again from the texts; confirmed links form components.
 * Then all pairs of a key that lie in different components, that their sizes and the estimate (less 4.5 deviations)
-  allow and that were not confirmed or refused before are confirmed as well.  A key's rows of its
-  largest component meet the other rows only, never each other.
+  allow and that were not confirmed or refused before are confirmed as well.  The few rows concerned get a second
+  signature of LONG single bits for this, which tells 0.80 from 0.85.  A key's rows of its
+  largest component meet the other rows only, never each other, and a pair counts for its first common band.
 
 Nothing is capped: what is skipped is a pair that other links join already, or whose estimate excludes it.
 
@@ -35,24 +37,27 @@ from pyspark.sql import functions as F
 from ohmwatch.llm.arrays import (
     LOWER, NOT_BLANK, U64, batch_of, mixed, per_row, pieces, ragged, span_hashes, spans, stored, texts, window_hashes,
 )
-from ohmwatch.llm.simhash import components
+from ohmwatch.llm.simhash import components, forest
 
 WORDS = 5
 PERCENT = 85
 BANDS, ROWS = 36, 7
 BITS = 2
+#: Single bits of the second signature.
+LONG = 2048
 #: Deviations by which an estimate may fall short of the bound.
 SLACK = 4.5
 #: Rows of a key that a task compares with each other.
 GROUP = 1024
-#: Rows of a key up to which pairs are made step by step.
-SMALL = 32
+#: Rows of a key up to which pairs are made step by step; spanning forests of the first pairs.
+SMALL, FORESTS = 32, 2
+#: Rows up to which (counted) a list of row numbers is broadcast.
+BROADCAST = 1 << 21
 
 _FIELDS = BANDS * ROWS
 _rng = np.random.default_rng(850585)
-_TIMES = (_rng.integers(0, 1 << 31, _FIELDS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_PLUS = _rng.integers(0, 1 << 32, _FIELDS, dtype=np.uint32)
-_LOWEST = U64(0x5555555555555555)
+_TIMES = (_rng.integers(0, 1 << 31, LONG, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+_PLUS = _rng.integers(0, 1 << 32, LONG, dtype=np.uint32)
 
 
 def shingle_sets(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -73,14 +78,14 @@ def shingle_sets(column, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))]).astype(np.int64)
 
 
-def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The minima of each set under _FIELDS permutations; zero for empty sets."""
+def minima(hashes: np.ndarray, bounds: np.ndarray, fields: int = _FIELDS) -> np.ndarray:
+    """The minima of each set under so many permutations; zero for empty sets."""
     x = (hashes >> U64(32)).astype(np.uint32)
-    out = np.zeros((len(bounds) - 1, _FIELDS), np.uint32)
+    out = np.zeros((len(bounds) - 1, fields), np.uint32)
     full = np.flatnonzero(bounds[1:] > bounds[:-1])
     if len(full):
         first = bounds[:-1][full]
-        for i in range(_FIELDS):
+        for i in range(fields):
             out[full, i] = np.minimum.reduceat(x * _TIMES[i] + _PLUS[i], first)
     return out
 
@@ -94,33 +99,32 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key
 
 
-def packed(least: np.ndarray) -> np.ndarray:
-    """BITS low bits of each minimum's hash, packed into 64-bit words: one row per set."""
-    low = (mixed(least.astype(U64)) & U64((1 << BITS) - 1)).astype(np.uint8)
-    bits = np.unpackbits(low[:, :, None], axis=2, count=BITS, bitorder="little").reshape(len(least), -1)
-    bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64)))
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+def packed(least: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """``bits`` low bits of each minimum's hash, packed into 64-bit words: one row per set."""
+    low = (mixed(least.astype(U64)) & U64((1 << bits) - 1)).astype(np.uint8)
+    flat = np.unpackbits(low[:, :, None], axis=2, count=bits, bitorder="little").reshape(len(least), -1)
+    flat = np.pad(flat, ((0, 0), (0, -flat.shape[1] % 64)))
+    return np.packbits(flat, axis=1, bitorder="little").view("<u8")
 
 
-def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def differing(x: np.ndarray, y: np.ndarray, bits: int = BITS) -> np.ndarray:
     """In how many fields two signatures differ."""
     apart = x ^ y
-    for i in range(1, BITS):
+    for i in range(1, bits):
         apart = apart | ((x ^ y) >> U64(i))
-    mask = _LOWEST if BITS == 2 else U64(sum(1 << i for i in range(0, 64, BITS)))
-    return np.bitwise_count(apart & mask).sum(axis=-1, dtype=np.int32)
+    lowest = U64(sum(1 << i for i in range(0, 64, bits)))
+    return np.bitwise_count(apart & lowest).sum(axis=-1, dtype=np.int32)
 
 
-def estimate(apart: np.ndarray) -> np.ndarray:
+def estimate(apart: np.ndarray, fields: int = _FIELDS, bits: int = BITS) -> np.ndarray:
     """Similarity of sets whose signatures differ in so many fields, corrected for equal bits by chance."""
-    chance = 2.0**-BITS
-    return 1 - apart / _FIELDS / (1 - chance)
+    return 1 - apart / fields / (1 - 2.0**-bits)
 
 
-def most_apart(percent: int = PERCENT) -> int:
+def most_apart(percent: int = PERCENT, fields: int = _FIELDS, bits: int = BITS) -> int:
     """Differing fields beyond which a similarity of ``percent`` is excluded."""
-    miss = (1 - percent / 100) * (1 - 2.0**-BITS)
-    return int(_FIELDS * miss + SLACK * np.sqrt(_FIELDS * miss * (1 - miss)))
+    miss = (1 - percent / 100) * (1 - 2.0**-bits)
+    return int(fields * miss + SLACK * np.sqrt(fields * miss * (1 - miss)))
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -167,28 +171,78 @@ def _steps(group: np.ndarray):
             yield np.broadcast_to(own[i], n - 1 - i), own[i + 1 :]
 
 
+def spanning(n: int, i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """The pairs (by place) of FORESTS spanning forests of n rows, those that differ least first."""
+    order = np.lexsort((j, i, apart))
+    out = []
+    for _ in range(FORESTS):
+        x, y, label = i[order], j[order], np.arange(n)
+        taken = np.zeros(len(order), bool)
+        left = np.arange(len(order))
+        while True:
+            a, b = label[x[left]], label[y[left]]
+            left = left[a != b]
+            if not len(left):
+                break
+            # Each tree's first pair to another one; places are in the order of choice.
+            first = np.full(n, len(order))
+            np.minimum.at(first, label[x[left]], left)
+            np.minimum.at(first, label[y[left]], left)
+            picked = np.unique(first[first < len(order)])
+            taken[picked] = True
+            nodes, roots = forest(label[x[picked]], label[y[picked]])
+            new = np.arange(n)
+            new[nodes] = roots
+            label = new[label]
+        out.append(order[taken])
+        order = order[~taken]
+    return np.concatenate(out)
+
+
+def narrowed(keys: np.ndarray) -> np.ndarray:
+    """32 bits of a band's key."""
+    return (mixed(keys.astype(U64)) >> U64(32)).astype(np.uint32)
+
+
+def _lengthen(words: int):
+    """Task function: (row, text) to (row, signature of LONG single bits, digests of its band keys)."""
+    kind = pa.schema([("row", pa.int64()), ("long_signature", pa.binary()), ("digests", pa.binary())])
+
+    def run(batches):
+        for piece in pieces(batches, 1):
+            for at in range(0, piece.num_rows, 512):
+                own = piece.slice(at, 512)
+                least = minima(*shingle_sets(own.column(1), words), LONG)
+                made = packed(least, 1), narrowed(band_keys(least[:, :_FIELDS]))
+                yield batch_of(kind, [own.column(0), *[pa.array([x.tobytes() for x in rows], pa.binary()) for rows in made]])
+
+    return run
+
+
 def _compare(best: bool, percent: int):
-    """Task function: rows (cell, row, root, n, signature) sorted by cell to candidate pairs: for each row the
-    partner of the best estimate, or else all of other roots."""
-    limit = most_apart(percent)
+    """Task function: rows (cell, row, root, n, signature) sorted by cell to candidate pairs: those that join
+    the rows best; or else, from rows with a long signature, the cell's key and digests of all their keys, those of
+    different roots in the first band that they share."""
+    fields, bits = (_FIELDS, BITS) if best else (LONG, 1)
+    limit = most_apart(percent, fields, bits)
     kind = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
-    def pairs(cell, row, root, n, signature):
+    def pairs(cell, row, root, n, signature, key=None, digests=None):
         found = [np.zeros((3, 0), np.int64)]
         for i, j in _steps(cell):
             fine = (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])) & (root[i] != root[j])
             i, j = i[fine], j[fine]
-            apart = differing(signature[i], signature[j])
+            if not best:
+                shared = (digests[i] == digests[j]).argmax(axis=1)
+                fine = digests[i, shared] == narrowed(key[i])
+                i, j = i[fine], j[fine]
+            apart = differing(signature[i], signature[j], bits)
             fine = apart <= limit
             found.append(np.stack([i[fine], j[fine], apart[fine]]))
         i, j, apart = np.concatenate(found, axis=1)
         if best:
-            i, j, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
-            order = np.lexsort((row[j], apart, i))
-            i, j = i[order], j[order]
-            new = np.ones(len(i), bool)
-            new[1:] = i[1:] != i[:-1]
-            i, j = i[new], j[new]
+            chosen = spanning(len(row), i, j, apart)
+            i, j = i[chosen], j[chosen]
         u, v = np.minimum(row[i], row[j]), np.maximum(row[i], row[j])
         return batch_of(kind, [u, v])
 
@@ -199,6 +253,9 @@ def _compare(best: bool, percent: int):
                 continue
             signature = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(batch.num_rows, -1)
             own = [*(batch.column(i).to_numpy() for i in range(4)), signature]
+            if not best:
+                digests = np.frombuffer(b"".join(batch.column(6).to_pylist()), "<u4").reshape(batch.num_rows, BANDS)
+                own += [batch.column(5).to_numpy(), digests]
             held = own if held is None else [np.concatenate(x) for x in zip(held, own)]
             cell = held[0]
             cut = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if cell[0] != cell[-1] else 0
@@ -232,31 +289,40 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _small(numbers: DataFrame) -> DataFrame:
+    """A stored list of row numbers, broadcast if it is short."""
+    return F.broadcast(numbers) if numbers.limit(BROADCAST + 1).count() <= BROADCAST else numbers
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     rows = stored(docs.select("doc_id", "text").mapInArrow(_describe(words), _ROWS_DDL), "minhash-rows")
     heads = stored(rows.filter("n > 0").groupBy("a", "b").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "minhash-heads")
-    nodes = stored(rows.select("row", "n", "bands", "signature").join(heads.select("row"), "row", "left_semi"), "minhash-nodes")
+    copies = stored(rows.filter("n > 0").select("row").join(heads, "row", "left_anti"), "minhash-copies")
+    nodes = rows.filter("n > 0").select("row", "n", "bands", "signature").join(_small(copies), "row", "left_anti")
     keys = nodes.select("row", F.explode("bands").alias("key"))
     crowded = stored(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "minhash-keys")
     keyed = stored(keys.join(crowded, "key"), "minhash-keyed")
-    facts = nodes.select("row", "n", "signature")
 
-    def candidates(cells: DataFrame, best: bool) -> DataFrame:
-        dealt = cells.join(facts, "row").select("cell", "row", "root", "n", "signature")
+    def candidates(dealt: DataFrame, best: bool) -> DataFrame:
         found = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(best, percent), "u long, v long")
         return found.distinct()
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        return rows.select("row", "text").join(_small(wanted), "row", "left_semi")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "minhash-pairs")
-        wanted = pairs.select("u").union(pairs.select("v")).distinct().toDF("row")
-        own = stored(rows.select("row", "text").join(wanted, "row", "left_semi"), "minhash-texts")
+        wanted = stored(pairs.select("u").union(pairs.select("v")).distinct().toDF("row"), "minhash-wanted")
+        own = stored(texts_of(wanted), "minhash-texts")
         both = pairs.join(own.toDF("u", "x"), "u").join(own.toDF("v", "y"), "v").select("u", "v", "x", "y")
         return stored(both.mapInArrow(_confirm(words, percent), "u long, v long, linked boolean"), "minhash-confirmed")
 
     # Some block of each key, so that every row meets others; blocks differ from key to key.
     block = F.pmod(F.xxhash64("row", "key"), F.ceil(F.col("size") / group))
-    first = confirmed(candidates(keyed.select(F.xxhash64("key", block).alias("cell"), "row", F.col("row").alias("root")), True))
+    dealt = keyed.select(F.xxhash64("key", block).alias("cell"), "row", F.col("row").alias("root"))
+    dealt = dealt.join(nodes.select("row", "n", "signature"), "row").select("cell", "row", "root", "n", "signature")
+    first = confirmed(candidates(dealt, True))
     linked = first.filter("linked").select("u", "v")
     roots = stored(components(linked), "minhash-roots").toDF("row", "root")
 
@@ -275,6 +341,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, gro
         .select(
             "row",
             "root",
+            "key",
             F.explode(
                 F.expr(
                     """CASE WHEN small THEN array(xxhash64(key))
@@ -285,7 +352,12 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, gro
             ).alias("cell"),
         )
     )
-    second = candidates(cells, False).join(first.select("u", "v"), ["u", "v"], "left_anti")
+    wanted = stored(placed.join(split.select("key"), "key", "left_semi").select("row").distinct(), "minhash-wanted")
+    facts = texts_of(wanted).mapInArrow(_lengthen(words), "row long, long_signature binary, digests binary")
+    sizes = rows.select("row", "n").join(_small(wanted), "row", "left_semi")
+    facts = stored(facts.join(sizes, "row"), "minhash-long")
+    dealt = cells.join(facts, "row").select("cell", "row", "root", "n", "long_signature", "key", "digests")
+    second = candidates(dealt, False).join(first.select("u", "v"), ["u", "v"], "left_anti")
     linked = linked.union(confirmed(second).filter("linked").select("u", "v"))
 
     roots = components(linked).toDF("row", "root")
