@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ohmwatch.operators import tables as t
+from ohmwatch.operators.sequences import fault_episodes
 from ohmwatch.session import run_dir
 from ohmwatch.sources import fixtures
 from ohmwatch.streaming import jobs
+from ohmwatch.streaming.runs import fault_runs
 
 LATER = dt.datetime(2100, 1, 1)
 
@@ -68,6 +70,20 @@ def test_fault_sessions(spark, batch, files):
     assert rows(out, *names) == rows(jobs.fault_sessions(batch), *names)
 
 
+def test_fault_runs_of_files_in_any_order(spark, batch):
+    """Four files whose times overlap, within the delay: the runs of the stored readings, but for each asset's last one."""
+    path = run_dir(spark, "mixed")
+    for part in (2, 0, 3, 1):
+        batch.filter(F.col("reading_id") % 4 == part).coalesce(1).write.mode("append").parquet(path)
+    last = batch.limit(1).withColumns({"ts": F.lit(LATER), "asset_id": F.lit(-1)})
+    last.coalesce(1).write.mode("append").parquet(path)
+    out = run(spark, batch, path, lambda s: fault_runs(s, delay="60 days"))
+    want = fault_episodes(batch)
+    names = ("asset_id", "fault_type", "start_ts", "end_ts", "n_rows")
+    newest = {r.asset_id: r.ts for r in batch.groupBy("asset_id").agg(F.max("ts").alias("ts")).collect()}
+    assert rows(out, *names) == [r for r in rows(want, *names) if r[3] < newest[r[0]]]
+
+
 def test_rows_behind_the_watermark_are_dropped(spark, batch):
     path = run_dir(spark, "late")
     one = batch.limit(1)
