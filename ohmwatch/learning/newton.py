@@ -228,7 +228,10 @@ class Booster:
     """Grows the models of ``specs`` on one binned table."""
 
     def __init__(self, table: DataFrame, features: list[str], cuts: dict[str, list[float]], specs: list[Spec], bins: int = BINS):
-        self.spark, self.table, self.features, self.specs, self.bins = table.sparkSession, table, features, specs, bins
+        self.spark, self.features, self.specs, self.bins = table.sparkSession, features, specs, bins
+        # The sums of one task are complete: it finds the splits itself, and a level needs no shuffle.
+        self.single = table.count() <= TASK_ROWS
+        self.table = table.coalesce(1) if self.single else table
         place = {c: i for i, c in enumerate(features)}
         self.at = [np.array([place[c] for c in s.inputs]) for s in specs]
         self.models = [Ensemble(list(s.inputs), s.objective, 0.0, {c: cuts[c] for c in s.inputs}) for s in specs]
@@ -318,7 +321,8 @@ class Booster:
             return work
 
         ddl = ", ".join(f"`{c}` {types[c]}" for c in names) + f", {MARGINS} binary"
-        self.table, self.stored = _written(self._run(start, ddl), "margins"), upto
+        table = _written(self._run(start, ddl), "margins")
+        self.table, self.stored = table.coalesce(1) if self.single else table, upto
 
     def _level(self, own: list[int], tree: int, level: int) -> bool:
         """Split the nodes of one level of one tree of each model; false when no node was split."""
@@ -326,6 +330,7 @@ class Booster:
         drawn = {i: _columns(specs[i], tree) for i in own}
         base, nodes = 2**level - 1, 2**level
         kind = pa.schema([("spec", pa.int64()), ("node", pa.int64()), ("part", pa.int64()), ("sums", pa.binary())])
+        single = self.single
 
         def start():
             held: dict[int, np.ndarray] = {}
@@ -333,6 +338,11 @@ class Booster:
             def work(rows):
                 if rows is None:
                     for i, sums in held.items():
+                        if single:
+                            nodes_ = np.flatnonzero(sums[1].any(axis=(1, 2))).tolist()
+                            rows_ = [best_split(specs[i], i, node, 0, sums[:, node]) for node in nodes_]
+                            yield pa.RecordBatch.from_pylist([dict(zip(_SPLITS.names, r)) for r in rows_], schema=_SPLITS)
+                            continue
                         for node in np.flatnonzero(sums[1].any(axis=(1, 2))).tolist():
                             for lo in range(0, len(drawn[i]), PART):
                                 raw = np.ascontiguousarray(sums[:, node, lo : lo + PART]).tobytes()
@@ -364,8 +374,11 @@ class Booster:
 
             return work
 
-        found = self._run(start, "spec long, node long, part long, sums binary")
-        best = found.groupBy("spec", "node", "part").applyInArrow(_best_split({i: specs[i] for i in own}, bins), _SPLITS_DDL)
+        if single:
+            best = self._run(start, _SPLITS_DDL)
+        else:
+            found = self._run(start, "spec long, node long, part long, sums binary")
+            best = found.groupBy("spec", "node", "part").applyInArrow(_group_split({i: specs[i] for i in own}, bins), _SPLITS_DDL)
         chosen: dict[tuple[int, int], dict] = {}
         for r in best.toArrow().to_pylist():
             key = (r["spec"], r["node"])
@@ -414,20 +427,24 @@ _SPLITS = pa.schema(
 _SPLITS_DDL = "spec long, node long, gain double, feature long, bin long, gl double, hl double, g double, h double"
 
 
-def _best_split(specs: dict[int, Spec], bins: int):
+def best_split(s: Spec, number: int, node: int, part: int, sums: np.ndarray) -> tuple:
+    """A row of _SPLITS from the sums of gradients and Hessians by (feature from ``part`` on, bin)."""
+    g, h = sums[:, 0].sum(axis=1)
+    left = sums.cumsum(axis=2)
+    right = np.array([g, h])[:, None, None] - left
+    gain = 0.5 * (left[0] ** 2 / (left[1] + s.l2) + right[0] ** 2 / (right[1] + s.l2) - g**2 / (h + s.l2))
+    gain = np.where((left[1] >= s.least_weight) & (right[1] >= s.least_weight), gain, 0.0)
+    k, b = np.unravel_index(np.argmax(gain), gain.shape)
+    return number, node, float(gain[k, b]), part + int(k), int(b), float(left[0, k, b]), float(left[1, k, b]), float(g), float(h)
+
+
+def _group_split(specs: dict[int, Spec], bins: int):
     """Group function: the tasks' sums of one node's part to its best split."""
 
     def run(table: pa.Table) -> pa.Table:
         number, node, part = (table.column(i)[0].as_py() for i in range(3))
-        s = specs[number]
         sums = sum(np.frombuffer(x.as_py(), "<f8") for x in table.column("sums")).reshape(2, -1, bins)
-        g, h = sums[:, 0].sum(axis=1)
-        left = sums.cumsum(axis=2)
-        right = np.array([g, h])[:, None, None] - left
-        gain = 0.5 * (left[0] ** 2 / (left[1] + s.l2) + right[0] ** 2 / (right[1] + s.l2) - g**2 / (h + s.l2))
-        gain = np.where((left[1] >= s.least_weight) & (right[1] >= s.least_weight), gain, 0.0)
-        k, b = np.unravel_index(np.argmax(gain), gain.shape)
-        row = (number, node, float(gain[k, b]), part + int(k), int(b), float(left[0, k, b]), float(left[1, k, b]), float(g), float(h))
+        row = best_split(specs[number], number, node, part, sums)
         return pa.Table.from_pylist([dict(zip(_SPLITS.names, row))], schema=_SPLITS)
 
     return run

@@ -53,8 +53,11 @@ def frame(spark):
     return data, spark.createDataFrame(data)
 
 
+@pytest.mark.parametrize("rows", [1 << 16, 60])
 @pytest.mark.parametrize("objective, label", [("squared", "y"), ("logistic", "z")])
-def test_trees_equal_the_slow_ones(frame, objective, label):
+def test_trees_equal_the_slow_ones(frame, monkeypatch, objective, label, rows):
+    """In one task, and with the sums of several tasks met by a shuffle."""
+    monkeypatch.setattr(newton, "TASK_ROWS", rows)
     data, df = frame
     spec = newton.Spec("m", label, ("a", "b", "c", "d"), objective, trees=13, depth=3, rate=0.3)
     model = newton.fit(df.repartition(5), spec, bins=16)
