@@ -38,6 +38,7 @@ from ohmwatch.llm.arrays import (
     LOWER, NOT_BLANK, U64, batch_of, mixed, per_row, pieces, ragged, span_hashes, spans, stored, texts, window_hashes,
 )
 from ohmwatch.llm.simhash import components, forest
+from ohmwatch.llm.suffix_tree import Filter
 
 WORDS = 5
 PERCENT = 85
@@ -289,6 +290,20 @@ def _confirm(words: int, percent: int):
     return run
 
 
+def _shared_keys(allowed):
+    """Task function: (row, bands) to (row, key) of the keys that the filter lets through."""
+    kind = pa.schema([("row", pa.int64()), ("key", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            keys = batch.column(1).flatten().to_numpy()
+            row = np.repeat(batch.column(0).to_numpy(), BANDS)
+            some = allowed.value.has(np.ascontiguousarray(keys).view(U64))
+            yield batch_of(kind, [row[some], keys[some]])
+
+    return run
+
+
 def _small(numbers: DataFrame) -> DataFrame:
     """A stored list of row numbers, broadcast if it is short."""
     return F.broadcast(numbers) if numbers.limit(BROADCAST + 1).count() <= BROADCAST else numbers
@@ -302,6 +317,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, gro
     nodes = rows.filter("n > 0").select("row", "n", "bands", "signature").join(_small(copies), "row", "left_anti")
     keys = nodes.select("row", F.explode("bands").alias("key"))
     crowded = stored(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "minhash-keys")
+    # Few keys are shared: a filter of these (one that refuses none of them) thins the rows out before the join.
+    allowed = docs.sparkSession.sparkContext.broadcast(Filter(crowded.select("key")))
+    keys = nodes.select("row", "bands").mapInArrow(_shared_keys(allowed), "row long, key long")
     keyed = stored(keys.join(crowded, "key"), "minhash-keyed")
 
     def candidates(dealt: DataFrame, best: bool) -> DataFrame:
