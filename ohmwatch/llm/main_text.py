@@ -58,11 +58,16 @@ SKIPPED_WORDS = frozenset(
     "nav navbar navigation newsletter notice notification pagination popup promo promoted related replies reply share sharing sidebar social sponsor "
     "sponsored subscribe toolbar widget alert contentinfo complementary search".split()
 )
+# What class words of reader comments consist of beside "comment" itself.
+COMMENT_WORDS = frozenset("comment comments list area section wrap wrapper body content thread container box item children form respond reply replies".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
+#: Attributes up to the end of a tag; a quote counts only right behind an equals sign.
+_INNER = r"(?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|noscript|iframe|svg|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<svg(?=[\s/>]){_INNER}(?<=/)>"
+    rf"|<(script|style|textarea|title|noscript|iframe|svg|template)(?=[\s/>]){_INNER}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*)({_INNER})>"
     r"|<[!?/][^>]*>"
     r"|<[a-zA-Z/!?][^<]*\Z",
     re.S | re.I,
@@ -72,13 +77,16 @@ _PART = re.compile(r"[a-z]+")
 
 
 def _named(tag: str, attributes: str) -> int:
-    """2 if a class, id or role consists of skipped words, 1 if one contains such a word, else 0."""
+    """3 if a class, id or role speaks of reader comments only, 2 if it consists of skipped words, 1 if it contains such a word, else 0."""
     if "=" not in attributes or tag in ("html", "body", "main"):
         return 0
     found = 0
     for names in _NAMES.findall(attributes):
         for token in " ".join(names).lower().split():
-            parts = [part in SKIPPED_WORDS for part in _PART.findall(token)]
+            words = _PART.findall(token)
+            if words and words[0] in ("comment", "comments") and COMMENT_WORDS.issuperset(words):
+                return 3
+            parts = [part in SKIPPED_WORDS for part in words]
             found = max(found, 2 if parts and all(parts) else int(any(parts)))
     return found
 
@@ -165,9 +173,13 @@ def _places(page: _Page) -> list[_Node]:
     held = [0] * len(page.nodes)
     for node, text, _ in page.blocks:
         held[node] += len(text)
+    every = list(held)
+    for i in range(len(page.nodes) - 1, 0, -1):
+        every[page.nodes[i][0]] += every[i]
     skipped = [False] * len(page.nodes)
     for i, (parent, tag, _) in enumerate(page.nodes[1:], 1):
-        skipped[i] = skipped[parent] or tag in SKIPPED
+        # A form around most of the page is its frame.
+        skipped[i] = skipped[parent] or (tag in SKIPPED and not (tag == "form" and every[i] > MOST * every[0]))
     says = [tag in CONTENT and not out for (_, tag, _), out in zip(page.nodes, skipped)]  # holds article or main
     for i in range(len(page.nodes) - 1, 0, -1):
         if not skipped[i]:
@@ -182,7 +194,7 @@ def _places(page: _Page) -> list[_Node]:
         else:
             above = out[parent]
             own.barred = above.barred or skipped[i] or (tag == "header" and not above.content)
-            own.barred |= named == 2 and (held[i] <= MOST * total or says[0] > says[i])
+            own.barred |= named == 3 or named == 2 and (held[i] <= MOST * total or says[0] > says[i])
             few = named == 1 and held[i] <= FEW * total
             own.weight = min(above.weight, NAMED_WEIGHT) if few else above.weight
             # Paths of other weight are other paths, though their elements are the same.

@@ -157,6 +157,41 @@ def test_main_text_cases(page, text):
     assert main_text.main_text(page) == text
 
 
+LONG = "A long sentence, with marks; it goes on and on."
+COMMENT = "A reader says this, and then that; it is of some length, too."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        # Elements whose names begin like those without text, and some that close themselves.
+        ("<article><p>x</p><svg-icon></svg-icon><style-guide>y</style-guide><svg class=i /><p>z</p><!--><p>w</p></article>", "x\ny\nz\nw"),
+        ("<article><svg><path d='M0'/></svg><p>x</p></article>", "x"),
+        # Quotes inside an unquoted value, and a greater-than sign inside a quoted one.
+        ("<article><p title=don't>it's here</p><p title='a > b'>so</p></article>", "it's here\nso"),
+        # Reader comments, however many there are.
+        (f"<article><p>{LONG}</p><ol class='comment-list'><li>{COMMENT}</li><li>{COMMENT}</li></ol></article>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='comments-area'><p>{COMMENT}</p></div>", LONG),
+        (f"<div><p>{LONG}</p></div><div id=comments>{f'<p>{COMMENT}</p>' * 3}</div>", LONG),
+        (f"<body class='has-comments comments-open'><article><p>{LONG}</p></article></body>", LONG),
+        # A page in one form; a form in a page.
+        (f"<form><div><p>{LONG}</p><p>{LONG}</p></div></form>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><form><p>Your name, please.</p></form></article>", LONG),
+    ],
+)
+def test_main_text_of_awkward_markup(page, text):
+    assert main_text.main_text(page) == text
+
+
+def test_main_text_of_an_empty_table_and_of_repeated_and_long_rows(spark):
+    page = f"<article>{f'<p>{LONG}</p>' * 20_000}</article>"
+    made = [(1, "u", page), (2, "u", None), (2, "u", None), (None, None, "<p>x</p>")]
+    df = spark.createDataFrame(made, "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = rows(main_text.extract(df))
+    assert got == sorted([(1, "u", "\n".join([LONG] * 20_000), 20_000 * (len(LONG) + 1) - 1), (2, "u", "", 0), (2, "u", "", 0), (None, None, "x", 1)], key=repr)
+    assert main_text.extract(df.limit(0)).count() == 0
+
+
 # -- tokens ----------------------------------------------------------------------------
 
 
