@@ -63,7 +63,8 @@ def quantiles(
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key; keys name a small fixed set of groups.
 
-    Passes: one sketch, one count; brackets with more than ``inside`` rows in all are narrowed first.
+    Up to ``inside`` rows (counted) every value is ranked. Beyond, one pass makes the sketch, one counts, one ranks what
+    lies in brackets; more than ``inside`` values there are ranked along value blocks.
     """
     shown = keys
     df, keys = _grouped(df, keys)
@@ -72,6 +73,13 @@ def quantiles(
     lower = [max(0.0, wanted[n] - 2 / ACCURACY) for n in names]
     upper = [min(1.0, wanted[n] + 2 / ACCURACY) for n in names]
 
+    at = lambda share: f"((__n - 1) * {num(share)})"
+    if rows.limit(inside + 1).count() <= inside:
+        counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__c"))
+        whole = f"OVER (PARTITION BY {', '.join(keys)})"
+        ranks = counts.selectExpr("*", f"sum(__c) {over(keys, '__v', TO_DATE)} AS __upto", f"sum(__c) {whole} AS __n")
+        return _picked(ranks, shown, keys, wanted, at, lambda i: ("true", "__upto"))
+
     def sketched(shares):
         return f"percentile_approx(__v, array({', '.join(map(num, shares))}), {ACCURACY})"
 
@@ -102,13 +110,19 @@ def quantiles(
     # Ranks among the values in brackets, moved to ranks among all: what lies below a bracket and outside earlier ones.
     first = ranks.groupBy(*keys).agg(*[F.expr(f"coalesce(max(CASE WHEN __v < __lo[{i}] THEN __upto END), 0) AS __seen_{i}") for i in range(len(names))])
     facts = started.join(first, list(keys))
-    picked, at = [], lambda share: f"((__n - 1) * {num(share)})"
-    for i, name in enumerate(names):
-        for part, rank in (("lo", f"floor({at(wanted[name])})"), ("hi", f"ceil({at(wanted[name])})")):
-            here = f"(__upto - __seen_{i} + __below_{i})"
-            hit = f"__v BETWEEN __lo[{i}] AND __hi[{i}] AND {here} - __c <= {rank} AND {rank} < {here}"
+    inner = ranks.join(F.broadcast(facts), list(keys))
+    return _picked(inner, shown, keys, wanted, at, lambda i: (f"__v BETWEEN __lo[{i}] AND __hi[{i}]", f"(__upto - __seen_{i} + __below_{i})"))
+
+
+def _picked(ranks: DataFrame, shown, keys, wanted, at, place) -> DataFrame:
+    """The values at the wanted ranks and the lines between them; ``place(i)``: where to look, and a value's rank there."""
+    picked = []
+    for i, (name, share) in enumerate(wanted.items()):
+        near, here = place(i)
+        for part, rank in (("lo", f"floor({at(share)})"), ("hi", f"ceil({at(share)})")):
+            hit = f"{near} AND {here} - __c <= {rank} AND {rank} < {here}"
             picked.append(F.expr(f"max(CASE WHEN {hit} THEN __v END) AS __{part}_{name}"))
-    found = ranks.join(F.broadcast(facts), list(keys)).groupBy(*keys, "__n").agg(*picked)
+    found = ranks.groupBy(*keys, "__n").agg(*picked)
     return found.selectExpr(
         *shown,
         *[

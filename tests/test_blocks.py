@@ -101,7 +101,7 @@ def test_quantiles_of_many_rows_look_at_few_values(spark):
     df = spark.range(300_000).selectExpr("if(id % 3 = 0, 'a', 'b') AS g", "CAST((id * 7919) % 300007 AS DOUBLE) / 7 AS v")
     frame = df.toPandas()
     wanted = {"q": 0.25, "m": 0.5, "z": 0.9999, "least": 0.0, "most": 1.0}
-    for inside in (10**6, 10):
+    for inside in (10**6, 3000, 10):
         got = {r.g: r for r in quantiles(df, ("g",), "v", wanted, inside=inside).collect()}
         for g, own in frame.groupby("g"):
             assert [got[g][n] for n in wanted] == pytest.approx(own.v.quantile(list(wanted.values())).tolist(), abs=1e-9)
