@@ -1,6 +1,7 @@
 """Hand-made frames with the expected values written out."""
 
 import datetime as dt
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,27 @@ def test_interpolation_edges(series, column, block):
     assert column(filled, "x") == [1, 1, 2, 3, 4, 4]
 
 
+def test_means_do_not_depend_on_the_order_of_readings(spark):
+    """The mean is 80, which is not above 80; 2 of the 24 plain sums are."""
+    values = [81.2, 65.7, 44.8, 128.3]
+    rows = [(i, at(0, m), v) for i, p in enumerate(itertools.permutations(values)) for m, v in enumerate(p)]
+    df = spark.createDataFrame(rows, "asset_id int, ts timestamp_ntz, top_oil_temp double").coalesce(1)
+    for parts in (df, df.repartition(7)):
+        means = c.resample(parts)
+        assert {r.top_oil_temp for r in means.collect()} == {80.0}
+        assert t.above(means, "top_oil_temp", 80.0).count() == 0
+
+
+def test_means_of_odd_values(spark):
+    """Missing, infinite and huge values as in a plain mean; whole numbers too."""
+    inf = float("inf")
+    cells = [[(None, None, None)], [(inf, 1.5, 1), (1.0, None, 2)], [(1e300, 1e-300, 2), (-1e300, 1e-300, 5)], [(0.1, 3e9, 1), (0.2, 0.5, None)]]
+    rows = [(i, at(0, m), *v) for i, own in enumerate(cells) for m, v in enumerate(own)]
+    df = spark.createDataFrame(rows, "asset_id int, ts timestamp_ntz, x double, y float, n int")
+    got = {r.asset_id: (r.x, r.y, r.n) for r in c.resample(df).collect()}
+    assert got == {0: (None, None, None), 1: (inf, 1.5, 1.5), 2: (0.0, 0.0, 3.5), 3: ((0.1 + 0.2) / 2, (3e9 + 0.5) / 2, 1.0)}
+
+
 @pytest.mark.parametrize("block", BLOCKS)
 def test_fills_carry_across_blocks(series, column, block):
     df = series({"x": [None, 1.0, None, None, None, None, None, 2.0, None], "k": ["a"] + [None] * 7 + ["b"]})
