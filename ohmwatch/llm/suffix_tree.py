@@ -13,10 +13,11 @@ A token is scored in the longest kept state that its predecessors end with.  As
 log P(x | shorter) + log rest(s), and for a counted pair (s, x) some more, a text's score is the sum of
 what its words, its contexts and its pairs add: each is looked up on its own.
 
-The floor is a count, not a share, so the tree grows with the corpus.  Contexts and pairs are Spark
-tables; the test and the probabilities are joins and sums by context.  What LEAST rules out (a pair
-whose context or whose shorter pair is rarer) is dropped before the shuffle by a filter of the
-level before, which lets some too many through and never one too few.  Only the HEAD most
+The floor is a count, not a share, so the tree grows with the corpus.  Pairs are counted in packed blocks by
+ranges of their hash, each a small sort; contexts and pairs that count are Spark tables, the test and the
+probabilities are joins and sums by context.  What LEAST rules out (a pair whose context or whose shorter pair
+is rarer) is dropped before the shuffle by a filter of the level before, which lets some too many through and
+never one too few.  Shuffles are let go as soon as the table they made is written.  Only the HEAD most
 frequent words and the most frequent states are broadcast, with a filter of all states; all others meet the
 distinct words, contexts and pairs of a text in a join.  Neither changes a result.
 
@@ -28,6 +29,7 @@ every token has the probability 1 that the formula gives.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 
 import numpy as np
@@ -47,10 +49,13 @@ DISCOUNT = 0.5
 SMOOTH = 0.1
 #: Words that are broadcast, and states per word of these.
 HEAD, STATES = 1 << 18, 4
+#: Parts of the keys that meet the states one after the other, as a power of two.
+PARTS = 2
 #: The hash that stands for the end of a text.
 END = U64(0x5EED0FE1D0FD0C5E)
-#: Distinct counts that a task holds before it hands them on.
+#: Distinct counts that a task holds before it hands them on; pairs likewise, and those meant for one block.
 HELD = 1 << 21
+HELD_PAIRS, BLOCK_PAIRS = 1 << 20, 1 << 19
 #: A filter's blocks: bits of one, keys meant for one, at most so many (64 MB).
 BLOCK, PER_BLOCK, BLOCKS = 1 << 15, 1 << 11, 1 << 14
 
@@ -86,22 +91,32 @@ def appended(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mixed(context * _NEXT + symbol)
 
 
+def _added(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, the place of one of each, and the sum of their counts (1 if none are given)."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if counts is None:
+        sums = np.diff(np.append(at, len(keys)))
+    else:
+        sums = np.add.reduceat(counts[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+    return keys[at], order[at], sums
+
+
 class Counter:
-    """Adds up counts by key, with columns that depend on the key; hands on what it holds when that is too much."""
+    """Adds up counts by key; hands on what it holds when that is too much."""
 
     def __init__(self):
         self.clear()
 
-    def add(self, keys: np.ndarray, *columns: np.ndarray) -> None:
-        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((keys, counts, *[c[at] for c in columns]))
+    def add(self, keys: np.ndarray) -> None:
+        keys, _, counts = _added(keys)
+        self.parts.append((keys, counts))
         self.n += len(keys)
 
-    def merged(self) -> tuple[np.ndarray, ...]:
-        keys, counts, *columns = [np.concatenate(c) for c in zip(*self.parts)]
-        keys, at, place = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.bincount(place, counts, len(keys)).astype(np.int64)
-        self.parts, self.n = [(keys, counts, *[c[at] for c in columns])], len(keys)
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, _, counts = _added(*[np.concatenate(c) for c in zip(*self.parts)])
+        self.parts, self.n = [(keys, counts)], len(keys)
         return self.parts[0]
 
     def full(self) -> bool:
@@ -117,32 +132,46 @@ def _long(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.int64)
 
 
-def counted(texts_: DataFrame, names: list[str], keys_of) -> DataFrame:
-    """(names, c): how often each of the keys that ``keys_of(hashes, bounds)`` gives, one column
-    for all names or the key and a column for each name, occurs in the whole of ``texts_`` (one column)."""
-    kind = pa.schema([(x, pa.int64()) for x in (*names, "c")])
+@contextlib.contextmanager
+def _shuffles_let_go(df: DataFrame):
+    """Jobs run inside delete their shuffles when they end; the session's own setting comes back after."""
+    spark, name = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "true")
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _delete(table: DataFrame) -> None:
+    """Remove the folder of a stored table that nothing reads any more."""
+    files, spark = table.inputFiles(), table.sparkSession
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def counted(texts_: DataFrame) -> DataFrame:
+    """(k, c): how often each token occurs in the whole of ``texts_`` (one column)."""
+    kind = pa.schema([("k", pa.int64()), ("c", pa.int64())])
 
     def run(batches):
         counter = Counter()
 
         def held():
-            keys, counts, *columns = counter.merged()
-            return batch_of(kind, [*[_long(c) for c in columns or [keys]], counts])
+            keys, counts = counter.merged()
+            return batch_of(kind, [_long(keys), counts])
 
         for piece in pieces(batches, 0, LARGE):
-            counter.add(*keys_of(*tokens(piece.column(0))))
+            counter.add(tokens(piece.column(0))[0])
             if counter.full():
                 yield held()
                 counter.clear()
         if counter.n:
             yield held()
 
-    ddl = ", ".join(f"{x} long" for x in (*names, "c"))
-    return texts_.mapInArrow(run, ddl).groupBy(*names).agg(F.sum("c").alias("c"))
-
-
-def _all_tokens(hashes, bounds):
-    return (hashes,)
+    return texts_.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
 
 
 class Filter:
@@ -159,7 +188,8 @@ class Filter:
         def fill(batches):
             found: dict[int, np.ndarray] = {}
             for batch in batches:
-                block, bits = of(batch.column(0).to_numpy().view(U64))
+                keys = batch.column(0).to_numpy().view(U64)
+                block, bits = of(keys, 0)[0], [of(keys, i)[1] for i in range(3)]
                 order = np.argsort(block, kind="stable")
                 cuts = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0])) if len(block) else []
                 for at, end in zip(cuts, [*cuts[1:], len(block)]):
@@ -176,16 +206,18 @@ class Filter:
         for number, bits in zip(filled["block"].to_pylist(), filled["bits"].to_pylist()):
             self.bits[number * BLOCK // 8 : (number + 1) * BLOCK // 8] = np.frombuffer(bits, np.uint8)
 
-    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _places(self, keys: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
         block = ((keys >> U64(50)) & U64(self.blocks - 1)).astype(np.int64)
-        return block, [((keys >> U64(15 * i)) & U64(BLOCK - 1)).astype(np.int64) for i in range(3)]
+        return block, ((keys >> U64(15 * i)) & U64(BLOCK - 1)).astype(np.int64)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
-        block, bits = self._places(keys)
-        found = np.ones(len(keys), bool)
-        for b in bits:
-            at = block * BLOCK + b
-            found &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        left = np.arange(len(keys))
+        for i in range(3):  # most keys that are not there fail the first time
+            block, bits = self._places(keys[left], i)
+            at = block * BLOCK + bits
+            left = left[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        found = np.zeros(len(keys), bool)
+        found[left] = True
         return found
 
 
@@ -244,77 +276,116 @@ def _head(table: DataFrame, count: str, most: int) -> DataFrame:
 
 def learn(texts_: DataFrame, depth: int = DEPTH, head: int = HEAD) -> tuple[Tree, DataFrame]:
     """The tree from all of ``texts_`` (one column) and the table of all tokens' counts."""
-    vocabulary = stored(counted(texts_, ["k"], _all_tokens), "suffix-tree")
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    rows = _head(vocabulary, "c", head).toArrow()
-    tree = Tree(n, v, tuple(rows.column(c).to_numpy().astype(kind) for c, kind in (("k", U64), ("c", np.int64))), head)
-    # Sequences of one word more at each level: their hash, that without the first word, count, P(last | others).
-    p = (F.col("c") + F.lit(SMOOTH)) / F.lit(n + SMOOTH * (v + 1))
-    known = vocabulary.filter(F.col("c") >= LEAST).select(F.col("k").alias("key"), F.lit(None).cast("long").alias("short"), "c", p.alias("p"))
-    for length in range(1, depth + 1):
-        contexts, known = _level(texts_, known, length)
-        if known.isEmpty():
-            break
-        tree.states.append((contexts, known))
+    with _shuffles_let_go(texts_):
+        vocabulary = stored(counted(texts_), "suffix-tree")
+        n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        rows = _head(vocabulary, "c", head).toArrow()
+        tree = Tree(n, v, tuple(rows.column(c).to_numpy().astype(kind) for c, kind in (("k", U64), ("c", np.int64))), head)
+        # Sequences of one word more at each level: their hash, count, P(last | others).
+        p = (F.col("c") + F.lit(SMOOTH)) / F.lit(n + SMOOTH * (v + 1))
+        known = vocabulary.filter(F.col("c") >= LEAST).select(F.col("k").alias("key"), "c", p.alias("p"))
+        most = max(n // BLOCK_PAIRS, 4 * int(texts_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        for length in range(1, depth + 1):
+            contexts, known = _level(texts_, known, length, most.bit_length(), length == depth)
+            if known.isEmpty():
+                break
+            tree.states.append((contexts, known))
     return tree, vocabulary
 
 
-def _pairs(shared, length: int):
-    """Hash, context and symbol of the pairs that may occur LEAST times."""
+def _pairs(shared, length: int, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, context and shorter pair of the pairs that may occur LEAST times."""
+    *_, (own, fine) = grams(hashes, bounds, length)
+    some = shared.value.has(own) & fine
+    some[1:] &= some[:-1]
+    # A text's first token has nothing before it.
+    some[bounds[:-1][np.diff(bounds) > 0]] = False
+    context = before(own)[some]
+    return appended(context, hashes[some]), context, own[some]
+
+
+def _dealt(shared, length: int, bits: int):
+    """Task function: texts to packed blocks (range of the pairs' hash, pairs with their counts)."""
+    kind = pa.schema([("range", pa.int64()), ("pairs", pa.binary())])
+    # The hash of a pair after one word follows from the two.
+    sent = slice(1 if length == 1 else 0, 3)
+
+    def packed(held):
+        columns = [np.concatenate(c) for c in zip(*held)]
+        held.clear()
+        keys, at, counts = _added(columns[0])
+        columns = [keys, columns[1][at], columns[2][at]][sent]
+        ranges = (keys >> U64(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1], [True]])) if len(keys) else np.zeros(1, np.int64)
+        columns.append(counts.astype(np.uint32))
+        blocks = [b"".join(c[a:b].tobytes() for c in columns) for a, b in zip(cuts[:-1], cuts[1:])]
+        return batch_of(kind, [ranges[cuts[:-1]], blocks])
 
-    def keys_of(hashes, bounds):
-        *_, (own, fine) = grams(hashes, bounds, length)
-        some = shared.value.has(own) & fine
-        some[1:] &= some[:-1]
-        # A text's first token has nothing before it.
-        some[bounds[:-1][np.diff(bounds) > 0]] = False
-        context, symbol = before(own)[some], hashes[some]
-        return appended(context, symbol), context, symbol
+    def run(batches):
+        held, n = [], 0
+        for piece in pieces(batches, 0, LARGE):
+            held.append(_pairs(shared, length, *tokens(piece.column(0))))
+            n += len(held[-1][0])
+            if n > HELD_PAIRS:
+                yield packed(held)
+                n = 0
+        if n:
+            yield packed(held)
 
-    return keys_of
+    return run
 
 
-def _hashed(length: int):
-    """Task function: (ctx, sym, c, total, short of ctx) to the pair's hash and that of the shorter pair."""
-    kind = pa.schema([(x, pa.int64()) for x in ("key", "short", "ctx", "c", "total")])
+def _frequent(length: int):
+    """Group function: the blocks of one range to the pairs (key, ctx, short, c) that occur LEAST times."""
+    kind = pa.schema([(x, pa.int64()) for x in ("key", "ctx", "short", "c")])
+    width = 2 if length == 1 else 3
 
-    def run(batches):
-        for batch in batches:
-            ctx, sym = (_unsigned(batch.column(i).to_numpy()) for i in range(2))
-            short = sym if length == 1 else appended(_unsigned(batch.column(4).to_numpy()), sym)
-            yield batch_of(kind, [_long(appended(ctx, sym)), _long(short), *(batch.column(i) for i in (0, 2, 3))])
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for block in table["pairs"].to_pylist():
+            n = len(block) // (8 * width + 4)
+            parts.append([*np.frombuffer(block, U64, width * n).reshape(width, n), np.frombuffer(block, np.uint32, n, 8 * width * n)])
+        *keys, context, short, counts = [np.concatenate(c) for c in zip(*parts)]
+        keys, at, counts = _added(keys[0] if keys else appended(context, short), counts)
+        often = counts >= LEAST
+        at = at[often]
+        return pa.Table.from_batches([batch_of(kind, [_long(keys[often]), _long(context[at]), _long(short[at]), counts[often]])])
 
     return run
 
 
-def _level(texts_: DataFrame, known: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+def _level(texts_: DataFrame, known: DataFrame, length: int, bits: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """Count and test the contexts of ``length`` words.
 
     ``known`` has the sequences of so many words that occur LEAST times.  Returns the kept contexts (ctx, total,
-    rest) and the pairs that occur LEAST times (key, short, c, p, share, more), of which those after a
-    kept context have ``more``: what log10 P grows by beside log10 rest.
+    rest) and the pairs that occur LEAST times (key, c, p, share, more), of which those after a kept context have
+    ``share`` and ``more``: what log10 P grows by beside log10 rest.  The ``last`` level has only these.
     """
     shared = texts_.sparkSession.sparkContext.broadcast(Filter(known.select("key")))
-    pairs = stored(counted(texts_, ["ctx", "sym"], _pairs(shared, length)).filter(F.col("c") >= LEAST), "suffix-tree")
+    blocks = texts_.mapInArrow(_dealt(shared, length, bits), "range long, pairs binary")
+    pairs = blocks.groupBy("range").applyInArrow(_frequent(length), "key long, ctx long, short long, c long")
+    expected = known.select(F.col("key").alias("short"), F.col("p").alias("expected")).hint("shuffle_hash")
+    pairs = stored(pairs.join(expected, "short").select("key", "ctx", "c", "expected"), "suffix-tree")
     shared.unpersist()
-    totals = known.select(F.col("key").alias("ctx"), F.col("c").alias("total"), F.col("short").alias("shorter"))
-    hashed = pairs.join(totals, "ctx").select("ctx", "sym", "c", "total", "shorter")
-    hashed = hashed.mapInArrow(_hashed(length), "key long, short long, ctx long, c long, total long")
-    pairs = stored(hashed.join(known.select(F.col("key").alias("short"), F.col("p").alias("expected")), "short"), "suffix-tree")
-    share = (F.col("c") - F.lit(DISCOUNT)) / F.col("total")
     sums = pairs.groupBy("ctx").agg(
-        F.first("total").alias("total"), F.count("*").alias("free"), F.sum("c").alias("seen"), F.sum("expected").alias("covered"),
-        F.sum(share).alias("taken"), F.sum(F.col("c") * F.log(F.col("c") / F.col("total") / F.col("expected"))).alias("gain"),
+        F.count("*").alias("free"), F.sum("c").alias("seen"), F.sum("expected").alias("covered"),
+        F.sum(F.col("c") * F.log(F.col("c") / F.col("expected"))).alias("against"),
     )
+    sums = sums.join(known.select(F.col("key").alias("ctx"), F.col("c").alias("total")), "ctx")
     # Log-likelihood ratio of the counted pairs and of all other symbols taken together.
+    gain = F.col("against") - F.col("seen") * F.log("total")
     left = (F.col("total") - F.col("seen")).cast("double")
     other = F.when(left > 0, left * F.log(left / F.col("total") / F.greatest(1 - F.col("covered"), F.lit(1e-12)))).otherwise(0.0)
-    diverges = 2 * (F.col("gain") + other) > F.col("free") + 4 * F.sqrt(2 * F.col("free"))
-    contexts = stored(sums.filter(diverges).select("ctx", "total", (1 - F.col("taken")).alias("rest")), "suffix-tree")
-    both = pairs.join(contexts.select("ctx", "rest"), "ctx", "left")
+    diverges = 2 * (gain + other) > F.col("free") + 4 * F.sqrt(2 * F.col("free"))
+    taken = (F.col("seen") - F.lit(DISCOUNT) * F.col("free")) / F.col("total")
+    contexts = stored(sums.filter(diverges).select("ctx", "total", (1 - taken).alias("rest")), "suffix-tree")
+    both = pairs.join(contexts, "ctx", "inner" if last else "left")
+    share = (F.col("c") - F.lit(DISCOUNT)) / F.col("total")
     lower = F.col("rest") * F.col("expected")
     p = F.coalesce(share + lower, F.col("expected"))
-    return contexts, stored(both.select("key", "short", "c", p.alias("p"), share.alias("share"), F.log10(p / lower).alias("more")), "suffix-tree")
+    made = stored(both.select("key", "c", p.alias("p"), share.alias("share"), F.log10(p / lower).alias("more")), "suffix-tree")
+    _delete(pairs)
+    return contexts, made
 
 
 def _salt(length: int, pair: bool) -> np.ndarray:
@@ -349,17 +420,18 @@ class Lookup:
 _SCORED = pa.schema(
     [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
      ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())),
-     ("states", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))]
+     *((f"{name}{i}", pa.list_(pa.int64())) for i in range(1 << PARTS) for name in ("states", "often"))]
 )
 _SCORED_DDL = (
     "doc_id long, held_out boolean, row long, n_tokens long, n_known long, base double, score double, "
-    "tail array<long>, times array<long>, states array<long>, often array<long>"
-)
+    "tail array<long>, times array<long>, "
+) + ", ".join(f"states{i} array<long>, often{i} array<long>" for i in range(1 << PARTS))
 
 
 def _lists(keys: np.ndarray, own: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
     """Distinct keys of each of the ``n`` rows, and how often each occurs there."""
-    order = np.lexsort((keys, own))
+    order = np.argsort(keys)
+    order = order[np.argsort(own[order].astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")]
     keys, own = keys[order], own[order]
     new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])])[: len(keys)])
     times = pa.array(np.diff(np.append(new, len(keys))))
@@ -374,31 +446,47 @@ def _score(shared):
         for piece in pieces(batches, 2, LARGE):
             hashes, bounds = tokens(piece.column(2))
             n, own = piece.num_rows, np.repeat(np.arange(piece.num_rows), np.diff(bounds))
-            at, known = positions(tree.frequent, hashes)
+            # Sorted keys find their places in the tables from near to near.
+            order = np.argsort(hashes)
+            at, known = np.empty(len(hashes), np.int64), np.empty(len(hashes), bool)
+            at[order], known[order] = positions(tree.frequent, hashes[order])
             # A word outside the head counts as 1 here; its own factor comes with the join.
             count = np.where(known, tree.frequent_count[at] if len(tree.frequent) else 0, 1 - SMOOTH)
             base = row_sums(np.log10((count + SMOOTH) / (tree.n + SMOOTH * (tree.v + 1))), bounds)
             added, keys, places = np.zeros(len(hashes)), [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+            last = np.zeros(len(hashes), bool)
+            last[bounds[1:][np.diff(bounds) > 0] - 1] = True
+            after, sure, rare = (np.zeros(len(hashes), bool) for _ in range(3))
             for length, (words, fine) in enumerate(grams(hashes, bounds, tree.depth + 1) if tree.depth else ()):
-                # These words are a context of the token after them, and a pair of the last with the others.
-                last = np.zeros(len(hashes), bool)
-                last[bounds[1:][np.diff(bounds) > 0] - 1] = True
-                wanted = ([(length + 1, False, fine & ~last)] if length < tree.depth else []) + ([(length, True, fine)] if length else [])
-                for level, pair, some in wanted:
-                    some = np.flatnonzero(some)
+                # These words are a context of the token after them, and a pair of the last with the others, if these are a state.
+                # What is no pair after a context that surely is one is rare, and so is all that holds it.
+                rare = rare | before(rare)
+                for level, pair in [(length, True)] * (length > 0) + [(length + 1, False)] * (length < tree.depth):
+                    some = np.flatnonzero(fine & ~rare & (after if pair else ~last))
                     key = words[some] ^ _salt(level, pair)
+                    order = np.argsort(key)
+                    key, some = key[order], some[order]
                     there = tree.filter.has(key)
+                    if pair:
+                        gone = some[~there]
+                        rare[gone[sure[gone]]] = True
                     key, some = key[there], some[there]
                     at, there = positions(tree.keys, key)
+                    if not pair:
+                        after, sure = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+                        after[some + 1] = True
+                        sure[some[there] + 1] = True
                     added[some[there]] += tree.values[at[there]]
                     keys.append(key[~there])
                     places.append(some[~there])
-            places = np.concatenate(places)
+            keys, places = np.concatenate(keys), np.concatenate(places)
+            part = keys >> U64(64 - PARTS)
             other = np.flatnonzero(~known)
             yield batch_of(
                 _SCORED,
                 [piece.column(0), piece.column(1), row + np.arange(n), np.diff(bounds), row_sums(known, bounds),
-                 base, base + row_sums(added, bounds), *_lists(hashes[other], own[other], n), *_lists(np.concatenate(keys), own[places], n)],
+                 base, base + row_sums(added, bounds), *_lists(hashes[other], own[other], n),
+                 *(x for i in range(1 << PARTS) for x in _lists(keys[part == i], own[places[part == i]], n))],
             )
             row += n
 
@@ -417,18 +505,22 @@ def _exploded(rows: DataFrame, keys: str, times: str) -> DataFrame:
 def score(docs: DataFrame, tree: Tree, vocabulary: DataFrame) -> DataFrame:
     """Scores of ``docs`` (doc_id, held_out, text)."""
     states = _states(tree)
-    states = None if states is None else stored(states, "suffix-tree")
-    shared = docs.sparkSession.sparkContext.broadcast(Lookup(tree, states))
-    rows = stored(docs.select("doc_id", "held_out", "text").mapInArrow(_score(shared), _SCORED_DDL), "suffix-tree")
-    found = _exploded(rows, "tail", "times").join(vocabulary, "k", "left").select(
+    with _shuffles_let_go(docs):
+        states = None if states is None else stored(states, "suffix-tree")
+        shared = docs.sparkSession.sparkContext.broadcast(Lookup(tree, states))
+        rows = stored(docs.select("doc_id", "held_out", "text").mapInArrow(_score(shared), _SCORED_DDL), "suffix-tree")
+    found = _exploded(rows, "tail", "times").join(vocabulary.hint("shuffle_hash"), "k", "left").select(
         "row",
         F.when(F.col("c").isNull(), 0).otherwise(F.col("times")).alias("known"),
         (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("more"),
         F.lit(0.0).alias("added"),
     )
-    if states is not None:
-        added = _exploded(rows, "states", "often").join(states.select("k", "v"), "k")
-        found = found.union(added.select("row", F.lit(0), F.lit(0.0), F.col("times") * F.col("v")))
+    for i in range(1 << PARTS if states is not None else 0):
+        own = states.filter(F.shiftrightunsigned("k", 64 - PARTS) == i).select("k", "v")
+        added = _exploded(rows, f"states{i}", f"often{i}").join(own.hint("shuffle_hash"), "k")
+        with _shuffles_let_go(docs):
+            added = stored(added.groupBy("row").agg(F.sum(F.col("times") * F.col("v")).alias("added")), "suffix-tree")
+        found = found.union(added.select("row", F.lit(0), F.lit(0.0), "added"))
     sums = found.groupBy("row").agg(F.sum("known").alias("known"), F.sum("more").alias("more"), F.sum("added").alias("added"))
     more = F.coalesce("more", F.lit(0.0))
     return rows.join(sums, "row", "left").select(

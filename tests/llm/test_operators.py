@@ -4,6 +4,7 @@ import collections
 import html
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -465,6 +466,40 @@ def test_suffix_tree_keeps_rare_and_long_contexts(spark, docs, texts):
     assert {int(x) for x in tree.frequent[tree.frequent_count == 5]} >= {int(x) for x in tree.levels[0]["contexts"]} != set()
 
 
+def test_suffix_tree_lets_its_shuffles_go(spark, docs):
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {every.apply(i).getName() for i in range(every.size()) if every.apply(i).getName().startswith("shuffle_")}
+
+    old = files()
+    tree, _ = suffix_tree.learn(docs.select("text"))
+    assert len(tree.states) > 1
+    for _ in range(50):  # executors delete in their own time
+        if not (left := files() - old):
+            break
+        time.sleep(0.2)
+    assert not left
+
+
+def test_suffix_tree_counts_pairs_over_blocks(spark, docs, texts, monkeypatch):
+    """Pairs handed on early, in many blocks, count as in one."""
+    monkeypatch.setattr(suffix_tree, "HELD_PAIRS", 1000)
+    monkeypatch.setattr(suffix_tree, "BLOCK_PAIRS", 100)
+    tree, _ = suffix_tree.learn(docs.select("text").repartition(3))
+    for length, (_, pairs) in enumerate(tree.states[:3], 2):
+        count = collections.Counter(tuple(w[i : i + length]) for t in texts.values() for w in [[*blank(t), None]] for i in range(len(w) - length + 1))
+        assert sorted(r.c for r in pairs.collect()) == sorted(c for c in count.values() if c >= suffix_tree.LEAST)
+
+
+def test_suffix_tree_does_not_depend_on_what_its_filters_let_through(spark, docs, monkeypatch):
+    marked = docs.select("doc_id", suffix_tree.held_out().alias("held_out"), "text")
+    tree, vocabulary_ = suffix_tree.learn(marked.filter("NOT held_out").select("text"), head=50)
+    want = {r.doc_id: r.score for r in suffix_tree.score(marked, tree, vocabulary_).collect()}
+    monkeypatch.setattr(suffix_tree, "BLOCKS", 1)
+    got = {r.doc_id: r.score for r in suffix_tree.score(marked, tree, vocabulary_).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
+
+
 def test_filter_refuses_no_key(spark):
     keys = np.random.default_rng(3).integers(0, 1 << 64, 40_000, dtype=np.uint64)
     made = suffix_tree.Filter(spark.createDataFrame([(int(k),) for k in keys[:20_000].view(np.int64)], "k long"))
