@@ -3,6 +3,8 @@
 import collections
 import html
 import math
+import os
+import random
 import re
 import time
 import zlib
@@ -500,6 +502,46 @@ def test_suffix_tree_does_not_depend_on_what_its_filters_let_through(spark, docs
     assert all(math.isclose(got[i], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want)
 
 
+def test_suffix_tree_texts_meet_states_without_joined_rows(spark, docs, monkeypatch):
+    """A row for each state in each text grew faster than the texts; ranges of packed keys take their place, whatever their number."""
+    plans, kept = [], suffix_tree.stored
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or kept(df, label))
+    marked = docs.select("doc_id", suffix_tree.held_out().alias("held_out"), "text")
+    tree, vocabulary_ = suffix_tree.learn(marked.filter("NOT held_out").select("text"), head=50)
+    del plans[:]
+    want = {r.doc_id: r for r in suffix_tree.score(marked, tree, vocabulary_).collect()}
+    assert plans and not any("Join" in plan for plan in plans)
+    monkeypatch.setattr(suffix_tree, "HELD_ASKED", 1000)
+    monkeypatch.setattr(suffix_tree, "ROWS", 7)
+    monkeypatch.setattr(suffix_tree, "PER_RANGE", 50)
+    got = {r.doc_id: r for r in suffix_tree.score(marked.repartition(3), tree, vocabulary_).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert r[:5] == want[i][:5] and all(math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9) for x, y in zip(r[5:], want[i][5:]))
+
+
+def test_suffix_tree_deletes_the_levels_it_no_longer_needs(docs, monkeypatch):
+    """What lies in the shared folder while texts are scored counts as disk."""
+    made, kept = [], suffix_tree.stored
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, label: made.append(kept(df, label)) or made[-1])
+    assert suffix_tree.digest(docs).count() == docs.count()
+    vocabulary_, *levels, states, scores = [sum(os.path.exists(f.removeprefix("file://")) for f in table_.inputFiles()) for table_ in made]
+    assert vocabulary_ and states and scores and len(levels) > 2 and not any(levels)
+
+
+def test_suffix_tree_knows_words_of_any_length():
+    """Words take equal hashes wherever they stand, and different words different ones."""
+    rng = random.Random(1)
+    every = ["".join(rng.choices("abAZz[@`{é\x00\x08\x0e\x1f!", k=rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(2000)]
+    lines = [None, "", " ", *(rng.choice([" ", "\n", "\x0b ", "\r"]).join(rng.choices(every, k=rng.randint(0, 30))) for _ in range(500))]
+    hashes, bounds = suffix_tree.tokens(pa.array(lines))
+    seen = {}
+    for line, a, b in zip(lines, bounds, bounds[1:]):
+        w = [*blank(line), None]
+        assert len(w) == b - a and all(seen.setdefault(x, h) == h for x, h in zip(w, hashes[a:b]))
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_filter_refuses_no_key(spark):
     keys = np.random.default_rng(3).integers(0, 1 << 64, 40_000, dtype=np.uint64)
     made = suffix_tree.Filter(spark.createDataFrame([(int(k),) for k in keys[:20_000].view(np.int64)], "k long"))
