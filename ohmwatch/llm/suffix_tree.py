@@ -54,7 +54,7 @@ SMOOTH = 0.1
 #: Words that are broadcast, and states per word of these.
 HEAD, STATES = 1 << 18, 4
 #: States of one range; keys that a chunk of texts asks for, about, and its rows at most (their numbers take 16 bits).
-PER_RANGE = 1 << 17
+PER_RANGE = 1 << 18
 HELD_ASKED, ROWS = 1 << 20, 1 << 16
 #: The hash that stands for the end of a text.
 END = U64(0x5EED0FE1D0FD0C5E)
