@@ -5,8 +5,10 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ohmwatch.learning import datasets as ds
+from ohmwatch.learning import evaluation as ev
 from ohmwatch.learning import models as m
 from ohmwatch.plans import scoring, training
 from ohmwatch.session import run_dir
@@ -108,3 +110,14 @@ def test_training_job_store_and_file_scoring(spark, sf, tmp_path):
     assert {r.asset_id for r in result["kpis"].collect()} == {0, 1}
     report = scoring.full_report(scoring.with_health(fixtures.scored(raw))).collect()
     assert all(len(r.active_alerts) <= 8 and r.n_samples > 100 for r in report)
+
+
+def test_a_forest_of_one_class_gives_probability_zero(separable):
+    calm = separable.withColumn("failure_label", F.lit(0))
+    model = m.fit(calm, ["a", "b"], "failure_label", SMALL.classifiers["rf"])
+    tested = m._tested(model, separable)
+    assert {(r.y_pred, r.failure_proba) for r in tested.collect()} == {(0, 0.0)}
+    got = ev.f1_and_auc(tested).first()
+    assert (got.f1, got.auc) == (0.0, 0.5)
+    assert ev.f1_and_auc(m._tested(model, calm)).first().auc is None
+    assert {r.failure_proba for r in m.probability(model, calm.drop("b"), ["a", "b"]).collect()} == {0.0}
