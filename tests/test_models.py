@@ -121,3 +121,17 @@ def test_a_forest_of_one_class_gives_probability_zero(separable):
     assert (got.f1, got.auc) == (0.0, 0.5)
     assert ev.f1_and_auc(m._tested(model, calm)).first().auc is None
     assert {r.failure_proba for r in m.probability(model, calm.drop("b"), ["a", "b"]).collect()} == {0.0}
+
+
+def test_training_with_one_class_keeps_a_row_per_classifier(spark, separable):
+    calm = separable.withColumn("failure_label", F.lit(0))
+    got = m.train_classifiers(calm, ["a", "b", "failure_label"], SMALL)
+    assert set(got.models) == {"rf", "gb", "xgb"}
+    folder = run_dir(spark, "metrics")
+    for name, table in (("classifier_metrics", got.metrics), ("classifier_report", got.report), ("confusion_matrix", got.matrix)):
+        store.save_metrics(table, folder, name)
+    back = store.load_metrics(spark, folder)
+    assert dict(back["classifier_metrics"].dtypes) == {"model": "string", "f1_cv": "double", "auc_cv": "double"}
+    assert {tuple(r) for r in back["classifier_metrics"].select("model", "f1_cv", "auc_cv").collect()} == {(n, None, None) for n in ("rf", "gb", "xgb")}
+    assert back["classifier_report"].columns == ["class", "f1", "precision", "recall", "support"] and back["classifier_report"].count() == 0
+    assert back["confusion_matrix"].count() == 4
