@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ohmwatch.operators import tables as t
 from ohmwatch.operators.sequences import fault_episodes
 from ohmwatch.session import run_dir
 from ohmwatch.sources import fixtures
-from ohmwatch.streaming import jobs
+from ohmwatch.streaming import jobs, runs
 from ohmwatch.streaming.runs import fault_runs
 
 LATER = dt.datetime(2100, 1, 1)
@@ -94,3 +96,26 @@ def test_rows_behind_the_watermark_are_dropped(spark, batch):
         one.withColumns({"ts": F.lit(at), "H2": F.lit(h2)}).coalesce(1).write.mode("append").parquet(path)
     out = run(spark, batch, path, lambda s: jobs.hourly_means(s, ["H2"]))
     assert [r.H2 for r in out.filter(F.col("ts") < F.lit(LATER)).orderBy("ts").collect()] == [1.0, 2.0]
+
+
+def test_ended_runs_of_a_task_leave_it_packed(monkeypatch):
+    """A row holds many runs, as the rows of a task wait for its last one; ids and kinds break ties, kinds are named per part."""
+    monkeypatch.setattr(runs, "PACKED", 3)
+    kinds = ["a", "b", "b", "normal", "a", "b", "a", "b"]
+    held = [(0, np.arange(5), np.arange(5), [runs._packed(kinds[:2]), runs._packed(kinds[2:5])]), (1, np.arange(5, 8), np.arange(3), [runs._packed(kinds[5:])])]
+    state = {}
+
+    class Value:
+        def __init__(self, name):
+            self.exists, self.get, self.update = (lambda: name in state), (lambda: state[name]), (lambda x: state.__setitem__(name, x))
+
+    processor = runs.RunProcessor()
+    processor.closed, processor.run = Value("closed"), Value("run")
+    processor.open = type("Open", (), {"take": staticmethod(lambda due: iter(held))})
+    times = type("Times", (), {"getCurrentWatermarkInMs": staticmethod(lambda: 2 * 3_600_000)})
+    made = list(processor.handleExpiredTimer((7,), times, None))
+    packed = pa.RecordBatch.from_pylist([r.asDict() for r in made])
+    flat = [x for batch in runs.unpack([packed]) for x in zip(*(c.to_pylist() for c in batch.columns))]
+    assert len(made) == 2
+    assert flat == [(7, "a", 0, 0, 1), (7, "b", 1, 2, 2), (7, "a", 4, 4, 1), (7, "b", 5, 5, 1), (7, "a", 6, 6, 1)]
+    assert state == {"closed": (2,), "run": ("b", 7, 7, 1)}
