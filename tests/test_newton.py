@@ -1,11 +1,14 @@
 """The booster equals a slow one, whatever the partitions; trees survive a store."""
 
+import time
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from ohmwatch.learning import newton
-from ohmwatch.session import run_dir
+from ohmwatch.session import run_dir, shuffles_freed
 
 
 def slow(codes, y, spec, bins):
@@ -105,3 +108,42 @@ def test_missing_and_empty_rows(spark, frame):
     assert model.base == pytest.approx(known.y.mean())
     none = newton.fit(holes.filter("ts < 0"), spec, bins=8)
     assert none.trees == [] and none.transform(df).filter("prediction <> 0").count() == 0
+
+
+@pytest.mark.parametrize("rows, groups, tasks", [(1 << 16, 4, 1), (60, 1, 7)])
+def test_a_large_table_is_scanned_once_for_all_models(frame, monkeypatch, rows, groups, tasks):
+    """A table of one task needs models side by side to fill the cores; one of many tasks does not."""
+    monkeypatch.setattr(newton, "TASK_ROWS", rows)
+    _, df = frame
+    cuts = newton.quantile_cuts(df, list("abcd"), 16)
+    specs = [newton.Spec(f"m{k}", "y", tuple("abcd"), trees=1, depth=2, fold="fold", below=k) for k in range(1, 5)]
+    booster = newton.Booster(newton.binned(df.repartition(9), list("abcd"), ["y", "fold"], cuts), list("abcd"), cuts, specs, 16)
+    scans = []
+    grow = newton.Booster._grow
+    monkeypatch.setattr(newton.Booster, "_grow", lambda self: scans.append(len(self.specs)) or grow(self))
+    assert all(len(m.trees) == 1 for m in booster.grow())
+    assert (len(scans), sum(scans), booster.tasks) == (groups, 4, tasks)
+
+
+def test_inputs_are_checked_once_for_all_models_of_a_batch():
+    codes = np.array([[1, 2, 255], [3, 255, 4], [5, 6, 7]], np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([0.5, None, 1.5])], names=["__row", "__codes", "y"]).slice(1)
+    rows = newton._Rows(batch, 3)
+    assert (rows.codes == codes[1:]).all() and rows.whole(np.array([0, 2])).tolist() == [True, True] and rows.whole(np.array([0, 1])).tolist() == [False, True]
+    assert rows.whole(np.array([0, 1])) is rows.whole(np.array([0, 1]))
+
+
+def test_shuffles_of_a_chain_of_tables_go_with_their_job(spark):
+    held = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    write = lambda: spark.range(1000).repartition(3, "id").write.parquet(run_dir(spark, "freed"))
+    before, setting = held(), spark.conf.get(name)
+    write()
+    assert held() == before + 1
+    with shuffles_freed(spark):
+        write()
+    for _ in range(50):
+        if held() == before + 1:
+            break
+        time.sleep(0.1)
+    assert held() == before + 1 and spark.conf.get(name) == setting
