@@ -1,5 +1,6 @@
 """The booster equals a slow one, whatever the partitions; trees survive a store."""
 
+import datetime as dt
 import time
 
 import numpy as np
@@ -7,6 +8,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from ohmwatch.learning import datasets as ds
 from ohmwatch.learning import newton
 from ohmwatch.session import run_dir, shuffles_freed
 
@@ -147,3 +149,28 @@ def test_shuffles_of_a_chain_of_tables_go_with_their_job(spark):
             break
         time.sleep(0.1)
     assert held() == before + 1 and spark.conf.get(name) == setting
+
+
+def test_folds_of_the_grid_equal_the_plan(spark):
+    """Numbered inside blocks and by one row per block, with gaps, several assets and rows without a future."""
+    rng = np.random.default_rng(5)
+    rows = [
+        (asset, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), float(rng.normal()), None if rng.random() < 0.1 else float(rng.normal()), None if rng.random() < 0.1 else float(rng.normal()))
+        for asset, n in ((1, 130), (2, 37), (None, 20))
+        for i in range(n)
+    ]
+    df = spark.createDataFrame(rows, "asset_id int, ts timestamp, H2 double, CO double, a double")
+    targets, horizons = ["H2", "CO"], {"x": 5, "y": 30}
+    grid, inputs = ds.forecast_grid(df, targets, horizons, ["a", "H2"], 2, block_rows=16)
+    grid = newton._written(grid, "grid")
+    assert inputs == ["a", "H2", "CO", "H2_lag1", "H2_lag2", "CO_lag1", "CO_lag2"]
+    for h in horizons:
+        got = ds.grid_folds(grid, targets, h, 3, gap=2)
+        known = grid.filter(f"H2_in_{h} IS NOT NULL OR CO_in_{h} IS NOT NULL")
+        want = grid.join(ds.fold_plan(known, 3, 2).toDF("asset_id", "ts", f"fold_{h}", f"learns_{h}"), ["asset_id", "ts"], "left")
+        names = ["asset_id", "ts", f"fold_{h}", f"learns_{h}"]
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        one, two = (sorted((tuple(r) for r in x.select(names).collect()), key=key) for x in (got, want))
+        assert one == two and len({r[2] for r in one}) == 5
+        text = got._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text  # the wide rows stay where they are
